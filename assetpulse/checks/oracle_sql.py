@@ -122,6 +122,58 @@ alerts AS (
          COALESCE(c.base_priority, 'LOW') AS base_priority
   FROM alert_rows a LEFT JOIN catalog c ON c.code = a.fault_code
 ),
+edge_q AS (SELECT quantile_cont(anomaly_score, 0.92) AS aq FROM telemetry),
+readings AS (
+  SELECT s.*, CASE WHEN s.anomaly_score > q.aq THEN 1 ELSE 0 END AS edge_flag
+  FROM scored s CROSS JOIN edge_q q
+),
+block_sum AS (
+  SELECT asset_id AS block_id,
+         round(avg(health_score), 1) AS avg_health,
+         round(avg(vibration), 3) AS avg_vibration,
+         round(avg(rul_days), 1) AS avg_rul,
+         CAST(sum(CASE WHEN alert_level_basic = 'CRITICAL' THEN 1 ELSE 0 END) AS BIGINT) AS n_critical,
+         CAST(sum(CASE WHEN alert_level_basic = 'WARNING' THEN 1 ELSE 0 END) AS BIGINT) AS n_warning,
+         CAST(sum(edge_flag) AS BIGINT) AS n_anomalies
+  FROM readings WHERE asset_id IS NOT NULL GROUP BY asset_id
+),
+top_alerts AS (
+  SELECT row_number() OVER (ORDER BY alert_score DESC, reading_id) AS rank,
+         asset_id AS block_id, site_id AS location, alert_level_full AS level,
+         round(alert_score, 1) AS score, fault_description AS fault, recommended_action AS action,
+         round(failure_prob, 3) AS failure_prob, round(rul_days, 1) AS rul
+  FROM alerts
+),
+mm AS (
+  SELECT min(failure_prob) AS p_lo, max(failure_prob) AS p_hi, min(vibration) AS v_lo,
+         max(vibration) AS v_hi, min(age_days) AS a_lo, max(age_days) AS a_hi FROM telemetry
+),
+relab AS (
+  SELECT t.*,
+         round(CASE WHEN r.raw < 5 THEN 5e0 WHEN r.raw > 365 THEN 365e0 ELSE r.raw END, 2) AS rul_new,
+         round(CASE WHEN r.pb < 0 THEN 0e0 WHEN r.pb > 1 THEN 1e0 ELSE r.pb END, 4) AS prob_new
+  FROM telemetry t JOIN (
+    SELECT t2.reading_id,
+           (0.40e0 * (1 - CASE WHEN p_hi - p_lo > 0 THEN (failure_prob - p_lo) / (p_hi - p_lo) ELSE 0e0 END)
+            + 0.30e0 * (1 - CASE WHEN v_hi - v_lo > 0 THEN (vibration - v_lo) / (v_hi - v_lo) ELSE 0e0 END)
+            + 0.30e0 * (1 - CASE WHEN a_hi - a_lo > 0 THEN (age_days - a_lo) / (a_hi - a_lo) ELSE 0e0 END))
+             * 340e0 + 0e0 AS raw,
+           0.60e0 * (CASE fault_code WHEN 'C1' THEN 0.9e0 WHEN 'C3' THEN 0.85e0 WHEN 'C5' THEN 0.80e0
+                          WHEN 'C9' THEN 0.75e0 WHEN 'C10' THEN 0.70e0 WHEN 'C8' THEN 0.65e0
+                          WHEN 'C2' THEN 0.55e0 WHEN 'C6' THEN 0.50e0 WHEN 'C4' THEN 0.40e0
+                          WHEN 'C7' THEN 0.30e0 END) + 0.40e0 * failure_prob + 0e0 AS pb
+    FROM telemetry t2 CROSS JOIN mm
+  ) r ON r.reading_id = t.reading_id
+),
+pseudo AS (
+  SELECT reading_id, fault_code AS actual,
+         CASE WHEN u < 0.25 THEN concat('C', CAST(1 + CAST(floor(u * 40) AS INTEGER) AS VARCHAR))
+              ELSE fault_code END AS predicted
+  FROM (SELECT reading_id, fault_code,
+               CAST(CAST(('0x' || substring(md5('pred:' || CAST(reading_id AS VARCHAR)), 1, 8)) AS BIGINT) AS DOUBLE)
+                 / 4294967296e0 AS u
+        FROM telemetry) z
+),
 vibration AS (
   SELECT e.event_id AS sample_id, e.ts AS event_time, concat('B', CAST(e.user_id AS VARCHAR)) AS asset_id,
          e.value / 100 AS x,
@@ -130,20 +182,351 @@ vibration AS (
          20 + CAST((e.event_id * 6271 + 29) % 1013 AS DOUBLE) / 50 AS Temp,
          40 + CAST((e.event_id * 4801 + 47) % 1019 AS DOUBLE) / 25 AS Hum
   FROM events e
+),
+vib_f AS (SELECT v.*, sqrt(x * x + y * y + z * z) AS accel_magnitude FROM vibration v),
+vib_s AS (SELECT avg(accel_magnitude) AS m, stddev_samp(accel_magnitude) AS sd FROM vib_f),
+vib_feat AS (
+  SELECT f.*,
+         avg(accel_magnitude) OVER (ORDER BY event_time, sample_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS rolling_mag,
+         CASE WHEN s.sd > 0 THEN (accel_magnitude - s.m) / s.sd ELSE 0e0 END AS vibr_zscore
+  FROM vib_f f CROSS JOIN vib_s s
 )
 """
 
 
 def with_ctes(body: str) -> str:
-    return "WITH " + TELEMETRY_CTES.strip() + "\n" + body.strip()
+    body = body.strip()
+    if body[:5].upper() == "WITH ":
+        # The body's own CTEs follow the shared ones in the same WITH list.
+        return "WITH " + TELEMETRY_CTES.strip() + ",\n" + body[5:]
+    return "WITH " + TELEMETRY_CTES.strip() + "\n" + body
 
 
 SQL: dict[str, str] = {}
 
 
+def _decimal_round(sql: str) -> str:
+    """Rewrite ``round(x, d)`` to round the decimal text of x half-up.
+
+    That is Spark's definition of ``round`` on doubles (HALF_UP applied to
+    the shortest decimal representation); DuckDB's double ``round`` can differ
+    on values whose text ends in 5 one digit below the rounding position.
+    """
+    out, i, low = [], 0, sql
+    while True:
+        j = low.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 1, j + 6, -1
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner_x = _decimal_round(sql[j + 6:comma]) if comma > 0 else None
+        digits = sql[comma + 1:k - 1].strip() if comma > 0 else ""
+        out.append(sql[i:j])
+        if inner_x is not None and digits.isdigit():
+            out.append(f"CAST(round(CAST(CAST(({inner_x}) AS VARCHAR) AS DECIMAL(38, 24)), {digits}) AS DOUBLE)")
+        else:
+            out.append(sql[j:k])
+        i = k
+
+
 def register(name: str, body: str) -> None:
-    SQL[name] = with_ctes(body)
+    SQL[name] = _decimal_round(with_ctes(body))
 
 
 register("alert_log", "SELECT * FROM alerts")
 register("scan_readings", "SELECT * FROM telemetry")
+
+# --- rules (F) -------------------------------------------------------------
+register("health_score", "SELECT reading_id, health_score FROM scored")
+register("alert_level_basic", "SELECT reading_id, alert_level_basic FROM scored")
+register("alert_level_full", "SELECT reading_id, alert_level_full FROM scored")
+register("alert_score", """
+SELECT reading_id,
+       LEAST(100e0, GREATEST(0e0, 0.40e0 * failure_prob * 100e0
+            + 0.30e0 * GREATEST(0e0, LEAST(1e0, 1e0 - rul_days / 365e0)) * 100e0
+            + 0.15e0 * anomaly_score * 100e0 + 0.15e0 * 0e0 * 100e0)) AS alert_score
+FROM telemetry""")
+register("rul_band", """
+SELECT reading_id, rul_days,
+       CASE WHEN rul_days < 15 THEN 'CRITICAL' WHEN rul_days < 60 THEN 'WARNING'
+            WHEN rul_days < 120 THEN 'MONITOR' ELSE 'HEALTHY' END AS rul_band
+FROM telemetry""")
+register("health_band", """
+SELECT block_id, avg_health,
+       CASE WHEN avg_health >= 70 THEN 'good' WHEN avg_health >= 40 THEN 'fair' ELSE 'poor' END AS health_band,
+       avg_rul,
+       CASE WHEN avg_rul < 60 THEN 'poor' WHEN avg_rul < 120 THEN 'fair' ELSE 'good' END AS rul_band
+FROM block_sum""")
+register("fault_cascade", "SELECT reading_id, fault_code FROM telemetry")
+register("maintenance_map", "SELECT reading_id, fault_code, maintenance_action FROM telemetry")
+register("fault_catalog_join", """
+SELECT t.reading_id, t.fault_code,
+       COALESCE(c.fault_description, 'Unknown') AS fault_description,
+       COALESCE(c.recommended_action, 'Inspect and diagnose') AS recommended_action,
+       COALESCE(c.base_priority, 'LOW') AS base_priority
+FROM telemetry t LEFT JOIN catalog c ON c.code = t.fault_code""")
+register("fault_description", """
+SELECT t.reading_id,
+       CASE WHEN c.fault_description IS NULL THEN 'Unknown fault type: ' || t.fault_code
+            ELSE c.fault_description || ' — ' || c.recommended_action END AS fault_text
+FROM telemetry t LEFT JOIN catalog c ON c.code = t.fault_code""")
+register("sensor_quantiles", """
+SELECT v75 AS vibration_q750, v60 AS vibration_q600, r80 AS resistance_q800, r60 AS resistance_q600,
+       r30 AS resistance_q300, t80 AS temperature_q800, c85 AS cpu_load_q850, c70 AS cpu_load_q700,
+       h75 AS humidity_q750, a75 AS age_days_q750
+FROM cascade_q""")
+register("rul_recompute", "SELECT reading_id, rul_new AS rul_days_new FROM relab")
+register("prob_blend", "SELECT reading_id, fault_code, prob_new AS failure_prob_new FROM relab")
+register("relabel", """
+SELECT reading_id, event_time, asset_id, site_id, fault_code, occupancy_state, hmi_alert_code,
+       maintenance_action, vibration, temperature, humidity, resistance, cpu_load, anomaly_score,
+       prob_new AS failure_prob, health_index, age_days, voltage, current_a, timer_on, timer_ch,
+       signal_delay, clearance_s, headway_s, ambient_temp, dust, rul_new AS rul_days
+FROM relab""")
+
+# --- vibration samples (S2, S3, F1-F3, W1 global, P10, P11, A9) ------------
+register("vibration_alias", "SELECT sample_id, event_time, asset_id, x, y, z, Temp, Hum FROM vibration")
+register("vibration_features", """
+SELECT sample_id, accel_magnitude, round(rolling_mag, 9) AS rolling_mag,
+       round(vibr_zscore, 8) AS vibr_zscore,
+       CASE WHEN abs(vibr_zscore) > 2.5 THEN 1 ELSE 0 END AS vibr_anomaly
+FROM vib_feat""")
+register("vibration_downsampled", """
+SELECT row_idx, round(accel_magnitude, 4) AS accel_magnitude, round(rolling_mag, 4) AS rolling_mag,
+       vibr_anomaly, round(Temp, 1) AS temp, round(Hum, 1) AS hum
+FROM (SELECT *, row_number() OVER (ORDER BY event_time, sample_id) - 1 AS row_idx,
+             CASE WHEN abs(vibr_zscore) > 2.5 THEN 1 ELSE 0 END AS vibr_anomaly FROM vib_feat) z
+WHERE row_idx % 3 = 0""")
+register("vibration_split", """
+SELECT sample_id,
+       CASE WHEN abs(vibr_zscore) > 2.5 THEN NULL ELSE accel_magnitude END AS normal,
+       CASE WHEN abs(vibr_zscore) > 2.5 THEN accel_magnitude ELSE NULL END AS anomalous
+FROM vib_feat""")
+register("vibration_histogram", """
+WITH st AS (SELECT min(accel_magnitude) AS lo, max(accel_magnitude) AS hi FROM vib_f),
+cnt AS (
+  SELECT CASE WHEN (hi - lo) / 20 > 0
+              THEN LEAST(19, CAST(floor((accel_magnitude - lo) / ((hi - lo) / 20)) AS INTEGER)) ELSE 0 END AS bin,
+         count(*) AS n
+  FROM vib_f CROSS JOIN st WHERE accel_magnitude IS NOT NULL GROUP BY 1
+),
+grid AS (SELECT CAST(range AS INTEGER) AS bin, lo, hi FROM range(0, 20) CROSS JOIN st)
+SELECT g.bin, g.lo + (g.hi - g.lo) * g.bin / 20 AS bin_lo, g.lo + (g.hi - g.lo) * (g.bin + 1) / 20 AS bin_hi,
+       CAST(COALESCE(c.n, 0) AS BIGINT) AS n
+FROM grid g LEFT JOIN cnt c ON c.bin = g.bin""")
+
+# --- roll-ups (A1-A8) and top-k (O3, O4, O7), selectors (P5, P6) -----------
+register("block_summary", "SELECT * FROM block_sum")
+register("location_summary", """
+SELECT site_id AS location_id, round(avg(health_score), 1) AS avg_health,
+       count(DISTINCT asset_id) AS n_blocks,
+       CAST(sum(CASE WHEN alert_level_basic <> 'HEALTHY' THEN 1 ELSE 0 END) AS BIGINT) AS n_alerts
+FROM readings WHERE site_id IS NOT NULL GROUP BY site_id""")
+register("alert_distribution", """
+SELECT alert_level_basic, count(*) AS n FROM readings WHERE alert_level_basic IS NOT NULL GROUP BY 1""")
+register("failure_distribution", "SELECT fault_code, count(*) AS n FROM telemetry WHERE fault_code IS NOT NULL GROUP BY 1")
+register("maintenance_distribution", """
+SELECT maintenance_action, count(*) AS n FROM telemetry WHERE maintenance_action IS NOT NULL GROUP BY 1""")
+register("alert_summary", """
+SELECT count(*) AS total_alerts,
+       CAST(sum(CASE WHEN alert_level_full = 'CRITICAL' THEN 1 ELSE 0 END) AS BIGINT) AS n_critical,
+       CAST(sum(CASE WHEN alert_level_full = 'WARNING' THEN 1 ELSE 0 END) AS BIGINT) AS n_warning,
+       round(avg(alert_score), 9) AS avg_score
+FROM alerts""")
+register("kpi_rollup", """
+SELECT count(*) AS n_blocks, round(avg(avg_health), 9) AS avg_health,
+       CAST(sum(n_critical) AS BIGINT) AS total_critical, CAST(sum(n_warning) AS BIGINT) AS total_warning,
+       CAST(sum(n_anomalies) AS BIGINT) AS total_anomalies, round(avg(avg_rul), 9) AS avg_rul
+FROM block_sum""")
+register("alerts_top50", "SELECT * FROM top_alerts WHERE rank <= 50")
+register("alerts_topk", "SELECT * FROM top_alerts WHERE rank <= 5")
+register("shown_level_counts", "SELECT level, count(*) AS n FROM top_alerts WHERE rank <= 50 GROUP BY level")
+register("alerts_by_level", """
+SELECT reading_id, asset_id, site_id, alert_level_full, alert_score, fault_description
+FROM alerts WHERE alert_level_full = 'CRITICAL'""")
+register("selected_blocks", """
+SELECT asset_id AS block_id,
+       round(avg(health_score), 1) AS avg_health,
+       round(avg(vibration), 3) AS avg_vibration,
+       round(avg(rul_days), 1) AS avg_rul,
+       CAST(sum(CASE WHEN alert_level_basic = 'CRITICAL' THEN 1 ELSE 0 END) AS BIGINT) AS n_critical,
+       CAST(sum(CASE WHEN alert_level_basic = 'WARNING' THEN 1 ELSE 0 END) AS BIGINT) AS n_warning,
+       CAST(sum(edge_flag) AS BIGINT) AS n_anomalies
+FROM readings
+WHERE asset_id IS NOT NULL
+  AND site_id IN (SELECT n.n_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey
+                  WHERE r.r_name = 'AMERICA')
+GROUP BY asset_id""")
+register("block_detail", """
+SELECT row_number() OVER (ORDER BY CAST(NULLIF(regexp_extract(block_id, '(\\d+)', 1), '') AS BIGINT), block_id)
+         AS position,
+       block_id, avg_health, avg_vibration, avg_rul, n_critical, n_warning, n_anomalies
+FROM block_sum""")
+register("time_series_downsampled", """
+SELECT row_idx, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS timestamp, round(vibration, 3) AS vibration,
+       round(temperature, 1) AS temperature, round(health_score, 1) AS health_score,
+       round(failure_prob, 3) AS failure_prob
+FROM (SELECT *, row_number() OVER (ORDER BY event_time, reading_id) - 1 AS row_idx FROM scored) z
+WHERE row_idx % 3 = 0""")
+
+# --- order layer (W1, W2, W4, W5, W8) --------------------------------------
+register("rolling_mean_30", """
+SELECT reading_id, asset_id,
+       round(avg(vibration) OVER (PARTITION BY asset_id ORDER BY event_time, reading_id
+                                  ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 10) AS vib_roll30
+FROM telemetry""")
+register("sequences_30", """
+SELECT reading_id, asset_id, seq_len, first_vibration, last_vibration, rul_days AS target FROM (
+  SELECT reading_id, asset_id, rul_days,
+         count(*) OVER w AS seq_len,
+         first_value(vibration) OVER w AS first_vibration,
+         last_value(vibration) OVER w AS last_vibration
+  FROM telemetry
+  WINDOW w AS (PARTITION BY asset_id ORDER BY event_time, reading_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)
+) z WHERE seq_len = 30""")
+register("time_split", """
+SELECT reading_id, row_idx, row_idx >= CAST(floor(count(*) OVER () * 0.8) AS BIGINT) AS is_test
+FROM (SELECT reading_id, row_number() OVER (ORDER BY event_time, reading_id) - 1 AS row_idx FROM telemetry) z""")
+register("stratified_split", """
+SELECT reading_id, fault_code,
+       row_number() OVER (PARTITION BY fault_code ORDER BY u, reading_id) - 1
+         < round(count(*) OVER (PARTITION BY fault_code) * 0.2) AS is_test
+FROM (SELECT reading_id, fault_code,
+             CAST(CAST(('0x' || substring(md5('split:' || CAST(reading_id AS VARCHAR)), 1, 8)) AS BIGINT) AS DOUBLE)
+               / 4294967296e0 AS u
+      FROM telemetry) z""")
+register("rul_scatter", """
+SELECT position, round(rul_days, 1) AS actual, round(rul_new, 1) AS predicted FROM (
+  SELECT rul_days, rul_new, row_number() OVER (ORDER BY event_time, reading_id) - 1
+           - CAST(floor((SELECT count(*) FROM relab) * 0.8) AS BIGINT) AS position
+  FROM relab) z
+WHERE position >= 0 AND position < 200""")
+
+# --- feature preparation (P1, P3, M1, M3, M4, J6) and chains (M14) ---------
+register("label_encode", """
+SELECT reading_id,
+       CAST(dense_rank() OVER (ORDER BY COALESCE(fault_code, 'nan')) - 1 AS INTEGER) AS fault_code_enc,
+       CAST(dense_rank() OVER (ORDER BY COALESCE(occupancy_state, 'nan')) - 1 AS INTEGER) AS occupancy_state_enc,
+       CAST(dense_rank() OVER (ORDER BY COALESCE(hmi_alert_code, 'nan')) - 1 AS INTEGER) AS hmi_alert_code_enc,
+       CAST(dense_rank() OVER (ORDER BY COALESCE(maintenance_action, 'nan')) - 1 AS INTEGER) AS maintenance_action_enc
+FROM telemetry""")
+register("standard_scale", """
+WITH st AS (
+  SELECT avg(vibration) AS m1, stddev_pop(vibration) AS s1, avg(temperature) AS m2, stddev_pop(temperature) AS s2,
+         avg(resistance) AS m3, stddev_pop(resistance) AS s3, avg(cpu_load) AS m4, stddev_pop(cpu_load) AS s4,
+         avg(anomaly_score) AS m5, stddev_pop(anomaly_score) AS s5, avg(failure_prob) AS m6,
+         stddev_pop(failure_prob) AS s6, avg(humidity) AS m7, stddev_pop(humidity) AS s7,
+         avg(age_days) AS m8, stddev_pop(age_days) AS s8
+  FROM telemetry)
+SELECT reading_id,
+       round((vibration - m1) / CASE WHEN s1 > 0 THEN s1 ELSE 1 END, 9) AS vibration_std,
+       round((temperature - m2) / CASE WHEN s2 > 0 THEN s2 ELSE 1 END, 9) AS temperature_std,
+       round((resistance - m3) / CASE WHEN s3 > 0 THEN s3 ELSE 1 END, 9) AS resistance_std,
+       round((cpu_load - m4) / CASE WHEN s4 > 0 THEN s4 ELSE 1 END, 9) AS cpu_load_std,
+       round((anomaly_score - m5) / CASE WHEN s5 > 0 THEN s5 ELSE 1 END, 9) AS anomaly_score_std,
+       round((failure_prob - m6) / CASE WHEN s6 > 0 THEN s6 ELSE 1 END, 9) AS failure_prob_std,
+       round((humidity - m7) / CASE WHEN s7 > 0 THEN s7 ELSE 1 END, 9) AS humidity_std,
+       round((age_days - m8) / CASE WHEN s8 > 0 THEN s8 ELSE 1 END, 9) AS age_days_std
+FROM telemetry CROSS JOIN st""")
+register("minmax_scale", """
+WITH ix AS (SELECT *, row_number() OVER (ORDER BY event_time, reading_id) - 1 AS row_idx,
+                   count(*) OVER () AS n FROM telemetry),
+st AS (SELECT min(vibration) AS a1, max(vibration) AS b1, min(temperature) AS a2, max(temperature) AS b2,
+              min(humidity) AS a3, max(humidity) AS b3, min(age_days) AS a4, max(age_days) AS b4,
+              min(rul_days) AS a5, max(rul_days) AS b5
+       FROM ix WHERE row_idx < CAST(floor(n * 0.8) AS BIGINT))
+SELECT reading_id, row_idx >= CAST(floor(n * 0.8) AS BIGINT) AS is_test,
+       round((vibration - a1) / CASE WHEN b1 - a1 > 0 THEN b1 - a1 ELSE 1 END, 9) AS vibration_mm,
+       round((temperature - a2) / CASE WHEN b2 - a2 > 0 THEN b2 - a2 ELSE 1 END, 9) AS temperature_mm,
+       round((humidity - a3) / CASE WHEN b3 - a3 > 0 THEN b3 - a3 ELSE 1 END, 9) AS humidity_mm,
+       round((age_days - a4) / CASE WHEN b4 - a4 > 0 THEN b4 - a4 ELSE 1 END, 9) AS age_days_mm,
+       round((rul_days - a5) / CASE WHEN b5 - a5 > 0 THEN b5 - a5 ELSE 1 END, 9) AS rul_days_mm
+FROM ix CROSS JOIN st""")
+register("feature_projection", """
+SELECT reading_id, vibration, temperature, humidity, resistance, cpu_load, anomaly_score, failure_prob,
+       health_index, age_days, voltage, current_a, timer_on, timer_ch, signal_delay, clearance_s,
+       headway_s, ambient_temp, dust
+FROM telemetry""")
+register("feature_fill", """
+SELECT reading_id, COALESCE(vibration, 0e0) AS vibration, COALESCE(temperature, 0e0) AS temperature,
+       COALESCE(humidity, 0e0) AS humidity, COALESCE(resistance, 0e0) AS resistance,
+       COALESCE(cpu_load, 0e0) AS cpu_load, COALESCE(anomaly_score, 0e0) AS anomaly_score,
+       COALESCE(failure_prob, 0e0) AS failure_prob, COALESCE(health_index, 0e0) AS health_index,
+       COALESCE(age_days, 0e0) AS age_days, COALESCE(voltage, 0e0) AS voltage,
+       COALESCE(current_a, 0e0) AS current_a, COALESCE(timer_on, 0e0) AS timer_on,
+       COALESCE(timer_ch, 0e0) AS timer_ch, COALESCE(signal_delay, 0e0) AS signal_delay,
+       COALESCE(clearance_s, 0e0) AS clearance_s, COALESCE(headway_s, 0e0) AS headway_s,
+       COALESCE(ambient_temp, 0e0) AS ambient_temp, COALESCE(dust, 0e0) AS dust,
+       0e0 AS if_flag, 0e0 AS hmi_alert_code_enc
+FROM telemetry""")
+register("class_weights", """
+SELECT t.reading_id, t.fault_code, round(w.weight, 10) AS weight
+FROM telemetry t JOIN (
+  SELECT fault_code, (SELECT count(*) FROM telemetry) / ((SELECT count(DISTINCT fault_code) FROM telemetry) * count(*))
+           AS weight
+  FROM telemetry GROUP BY fault_code) w ON w.fault_code = t.fault_code""")
+register("preprocess", """
+SELECT t.*,
+       CAST(dense_rank() OVER (ORDER BY COALESCE(t.fault_code, 'nan')) - 1 AS INTEGER) AS fault_code_enc,
+       CAST(dense_rank() OVER (ORDER BY COALESCE(t.occupancy_state, 'nan')) - 1 AS INTEGER) AS occupancy_state_enc,
+       CAST(dense_rank() OVER (ORDER BY COALESCE(t.hmi_alert_code, 'nan')) - 1 AS INTEGER) AS hmi_alert_code_enc,
+       CAST(dense_rank() OVER (ORDER BY COALESCE(t.maintenance_action, 'nan')) - 1 AS INTEGER) AS maintenance_action_enc,
+       s.health_score, s.alert_level_basic
+FROM telemetry t JOIN scored s ON s.reading_id = t.reading_id""")
+
+# --- metrics on rule flags / deterministic pseudo-predictions (A11-A15) ----
+register("anomaly_eval", """
+SELECT CAST(sum(edge_flag) AS BIGINT) AS n_anomalies,
+       CASE WHEN count(*) > 0 THEN sum(edge_flag) / count(*) ELSE 0e0 END AS anomaly_rate,
+       CASE WHEN sum(edge_flag) > 0
+            THEN sum(CASE WHEN edge_flag = 1 AND failure_prob > 0.5 THEN 1 ELSE 0 END) / sum(edge_flag)
+            ELSE 0e0 END AS precision_vs_high_prob
+FROM readings""")
+register("regression_metrics", """
+WITH d AS (SELECT rul_days AS y, rul_new AS p FROM relab), m AS (SELECT avg(y) AS ybar FROM d)
+SELECT round(avg(abs(p - y)), 9) AS mae, round(sqrt(avg((p - y) * (p - y))), 9) AS rmse,
+       round(CASE WHEN sum((y - ybar) * (y - ybar)) > 0
+                  THEN 1 - sum((p - y) * (p - y)) / sum((y - ybar) * (y - ybar)) ELSE 0e0 END, 9) AS r2
+FROM d CROSS JOIN m""")
+register("confusion_matrix", """
+WITH labels AS (SELECT actual AS l FROM pseudo UNION SELECT predicted FROM pseudo),
+cnt AS (SELECT actual, predicted, count(*) AS n FROM pseudo GROUP BY 1, 2)
+SELECT a.l AS actual, p.l AS predicted, CAST(COALESCE(c.n, 0) AS BIGINT) AS n
+FROM labels a CROSS JOIN labels p LEFT JOIN cnt c ON c.actual = a.l AND c.predicted = p.l""")
+register("classification_report", """
+WITH labels AS (SELECT actual AS l FROM pseudo UNION SELECT predicted FROM pseudo),
+per0 AS (
+  SELECT l AS label,
+         (SELECT count(*) FROM pseudo WHERE actual = l AND predicted = l) AS tp,
+         (SELECT count(*) FROM pseudo WHERE actual = l) AS support,
+         (SELECT count(*) FROM pseudo WHERE predicted = l) AS npred
+  FROM labels),
+per1 AS (
+  SELECT label, CASE WHEN npred > 0 THEN tp / npred ELSE 0e0 END AS precision,
+         CASE WHEN support > 0 THEN tp / support ELSE 0e0 END AS recall, support FROM per0),
+per AS (
+  SELECT label, precision, recall,
+         CASE WHEN precision + recall > 0 THEN 2e0 * precision * recall / (precision + recall) ELSE 0e0 END AS f1,
+         CAST(support AS BIGINT) AS support FROM per1)
+SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM per
+UNION ALL
+SELECT 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), CAST(sum(support) AS BIGINT)
+FROM per
+UNION ALL
+SELECT 'weighted avg', round(sum(precision * support) / sum(support), 9), round(sum(recall * support) / sum(support), 9),
+       round(sum(f1 * support) / sum(support), 9), CAST(sum(support) AS BIGINT)
+FROM per""")
+register("accuracy", "SELECT round(avg(CASE WHEN actual = predicted THEN 1e0 ELSE 0e0 END), 12) AS accuracy FROM pseudo")

@@ -9,11 +9,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .. import config as C
+from .. import schema as SC
+from ..functions import rules as R
+from ..ml import features as FE
+from ..operators import lookups as L
+from ..operators import metrics as M
+from ..operators import order as O
+from ..operators import rollups as RU
+from ..operators import stats as S
 from ..sources import fixtures as FX
 from . import alerts as AL
+from .relabel import relabel
+from .vibration import vibration_features
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+TIME_ORDER = ["event_time", "reading_id"]
 
 
 def query(name: str):
@@ -23,13 +36,426 @@ def query(name: str):
     return deco
 
 
+# --- shared inputs -----------------------------------------------------------
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings + health score + both alert levels."""
+    t = FX.telemetry(spark, sf)
+    return (t.withColumn("alert_level_basic", R.alert_level(t, C.BASIC_THRESHOLDS))
+             .withColumn("alert_level_full", R.alert_level(t, C.FULL_THRESHOLDS))
+             .withColumn("health_score", R.health_score(t)))
+
+
+def with_edge_flag(df: DataFrame, q: float = 0.92) -> DataFrame:
+    """Rule flag used where the SQL check needs a deterministic anomaly flag:
+    edge anomaly score above its table quantile ``q`` (top 8 %)."""
+    st = S.quantiles(df, {"anomaly_score": [q]})
+    name = st.columns[0]
+    return (S.attach(df, st).withColumn("edge_flag", (F.col("anomaly_score") > F.col(name)).cast("int"))
+            .drop(name))
+
+
+def readings(spark: SparkSession, sf: str) -> DataFrame:
+    return with_edge_flag(scored(spark, sf))
+
+
+def block_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return RU.asset_summary(readings(spark, sf), flag_col="edge_flag")
+
+
+def pseudo_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Deterministic stand-in predictions (label, hashed error) so the metric
+    operators get an exact SQL check independent of any trained model."""
+    t = FX.telemetry(spark, sf)
+    u = O.hash_unit(F.col("reading_id"), "pred")
+    wrong = F.concat(F.lit("C"), (F.lit(1) + F.floor(u * 40).cast("int")).cast("string"))
+    return t.select("reading_id", F.col("fault_code").alias("actual"),
+                    F.when(u < 0.25, wrong).otherwise(F.col("fault_code")).alias("predicted"))
+
+
+# --- scans and the flagship ----------------------------------------------------
+
 @query("scan_readings")
 def q_scan_readings(spark, sf):
     """S1 + O1: the readings table in time order."""
-    return FX.telemetry(spark, sf).orderBy("event_time", "reading_id")
+    return FX.telemetry(spark, sf).orderBy(*TIME_ORDER)
 
 
 @query("alert_log")
 def q_alert_log(spark, sf):
     """F7 -> F10 -> J1 -> P4 -> O2."""
     return AL.alert_log(FX.telemetry(spark, sf))
+
+
+# --- rules (F) -------------------------------------------------------------------
+
+@query("health_score")
+def q_health_score(spark, sf):
+    """F4 + F5."""
+    return scored(spark, sf).select("reading_id", "health_score")
+
+
+@query("alert_level_basic")
+def q_alert_level_basic(spark, sf):
+    """F6."""
+    return scored(spark, sf).select("reading_id", "alert_level_basic")
+
+
+@query("alert_level_full")
+def q_alert_level_full(spark, sf):
+    """F7."""
+    return scored(spark, sf).select("reading_id", "alert_level_full")
+
+
+@query("alert_score")
+def q_alert_score(spark, sf):
+    """F10 on every reading (no forest flag column: default 0)."""
+    t = FX.telemetry(spark, sf)
+    return t.select("reading_id", R.alert_score(t).alias("alert_score"))
+
+
+@query("rul_band")
+def q_rul_band(spark, sf):
+    """F8."""
+    return FX.telemetry(spark, sf).select("reading_id", "rul_days", R.rul_band(F.col("rul_days")).alias("rul_band"))
+
+
+@query("health_band")
+def q_health_band(spark, sf):
+    """F9 on the per-asset roll-up."""
+    return block_summary(spark, sf).select(
+        "block_id", "avg_health", R.health_band(F.col("avg_health")).alias("health_band"),
+        "avg_rul", R.rul_display_band(F.col("avg_rul")).alias("rul_band"))
+
+
+@query("fault_cascade")
+def q_fault_cascade(spark, sf):
+    """F12 (A10 quantiles broadcast + priority cascade)."""
+    return FX.telemetry(spark, sf).select("reading_id", "fault_code")
+
+
+@query("maintenance_map")
+def q_maintenance_map(spark, sf):
+    """J2."""
+    t = FX.base_readings(spark, sf)
+    spec = FX.cascade_spec()
+    st = S.quantiles(t, spec)
+    coded = S.attach(t, st).withColumn("fault_code", R.fault_cascade(S.quantile_lookup(st, spec)))
+    return L.map_actions(coded).select("reading_id", "fault_code", "maintenance_action")
+
+
+@query("fault_catalog_join")
+def q_fault_catalog_join(spark, sf):
+    """J1 on every reading."""
+    return L.describe_faults(FX.telemetry(spark, sf)).select(
+        "reading_id", "fault_code", "fault_description", "recommended_action", "base_priority")
+
+
+@query("fault_description")
+def q_fault_description(spark, sf):
+    """'description — action' text."""
+    t = FX.telemetry(spark, sf)
+    cat = L.fault_catalog(spark).withColumnRenamed("fault_code", "_code")
+    j = t.join(F.broadcast(cat), F.col("fault_code") == F.col("_code"), "left")
+    return j.select("reading_id", R.fault_text(F.col("fault_code"), F.col("fault_description"),
+                                               F.col("recommended_action")).alias("fault_text"))
+
+
+@query("sensor_quantiles")
+def q_sensor_quantiles(spark, sf):
+    """A10: the ten cascade quantiles, exact, by a distributed sort."""
+    return S.quantiles(FX.base_readings(spark, sf), FX.cascade_spec())
+
+
+@query("rul_recompute")
+def q_rul_recompute(spark, sf):
+    """F11 + F13 (noise 0 for the check)."""
+    return relabel(FX.telemetry(spark, sf)).select("reading_id", F.col("rul_days").alias("rul_days_new"))
+
+
+@query("prob_blend")
+def q_prob_blend(spark, sf):
+    """J3 + F14 (noise 0 for the check)."""
+    return relabel(FX.telemetry(spark, sf)).select("reading_id", "fault_code",
+                                                   F.col("failure_prob").alias("failure_prob_new"))
+
+
+@query("relabel")
+def q_relabel(spark, sf):
+    """F12 -> J2 -> F13 -> F14 (noise 0 for the check)."""
+    out = relabel(FX.telemetry(spark, sf))
+    return out.select(*FX.telemetry(spark, sf).columns)
+
+
+# --- vibration samples -------------------------------------------------------------
+
+def _vib(spark, sf):
+    return vibration_features(FX.vibration_raw(spark, sf))
+
+
+@query("vibration_alias")
+def q_vibration_alias(spark, sf):
+    """S3: vendor headers -> x, y, z, Temp, Hum."""
+    from ..sources.readers import normalise_vibration
+    return normalise_vibration(FX.vibration_raw(spark, sf)).select(
+        "sample_id", "event_time", "asset_id", "x", "y", "z", "Temp", "Hum")
+
+
+@query("vibration_features")
+def q_vibration_features(spark, sf):
+    """F1 + W1 (global halo rolling mean) + F2 + F3."""
+    return _vib(spark, sf).select("sample_id", "accel_magnitude", F.round("rolling_mag", 9).alias("rolling_mag"),
+                                  F.round("vibr_zscore", 8).alias("vibr_zscore"), "vibr_anomaly")
+
+
+@query("vibration_downsampled")
+def q_vibration_downsampled(spark, sf):
+    """P11 + W3: every 3rd sample by position."""
+    idx = O.row_index(_vib(spark, sf), ["event_time", "sample_id"])
+    return RU.vibration_series(idx, C.DOWNSAMPLE_STEP)
+
+
+@query("vibration_split")
+def q_vibration_split(spark, sf):
+    """P10: magnitude split into normal / anomalous series."""
+    return RU.split_by_flag(_vib(spark, sf), "accel_magnitude", "vibr_anomaly").select(
+        "sample_id", "normal", "anomalous")
+
+
+@query("vibration_histogram")
+def q_vibration_histogram(spark, sf):
+    """20 equal-width bins of the magnitude, zero-filled."""
+    v = FX.vibration_raw(spark, sf)
+    from ..sources.readers import normalise_vibration
+    v = normalise_vibration(v).withColumn("accel_magnitude", R.magnitude(F.col("x"), F.col("y"), F.col("z")))
+    return RU.histogram(v, "accel_magnitude", 20)
+
+
+# --- roll-ups, top-k, selectors -------------------------------------------------------
+
+@query("block_summary")
+def q_block_summary(spark, sf):
+    """A1."""
+    return block_summary(spark, sf)
+
+
+@query("location_summary")
+def q_location_summary(spark, sf):
+    """A2."""
+    return RU.site_summary(readings(spark, sf))
+
+
+@query("alert_distribution")
+def q_alert_distribution(spark, sf):
+    """A3."""
+    return RU.distribution(scored(spark, sf), "alert_level_basic")
+
+
+@query("failure_distribution")
+def q_failure_distribution(spark, sf):
+    """A4."""
+    return RU.distribution(FX.telemetry(spark, sf), "fault_code")
+
+
+@query("maintenance_distribution")
+def q_maintenance_distribution(spark, sf):
+    """A5."""
+    return RU.distribution(FX.telemetry(spark, sf), "maintenance_action")
+
+
+@query("alert_summary")
+def q_alert_summary(spark, sf):
+    """A6."""
+    s = RU.alert_summary(AL.alert_log(FX.telemetry(spark, sf), sort=False))
+    return s.withColumn("avg_score", F.round("avg_score", 9))
+
+
+@query("kpi_rollup")
+def q_kpi_rollup(spark, sf):
+    """A7 over A1."""
+    k = RU.kpi(block_summary(spark, sf))
+    return k.withColumn("avg_health", F.round("avg_health", 9)).withColumn("avg_rul", F.round("avg_rul", 9))
+
+
+@query("alerts_top50")
+def q_alerts_top50(spark, sf):
+    """O3 + P8."""
+    return RU.top_alerts(AL.alert_log(FX.telemetry(spark, sf), sort=False), 50)
+
+
+@query("alerts_topk")
+def q_alerts_topk(spark, sf):
+    """O4 (k = 5)."""
+    return RU.top_alerts(AL.alert_log(FX.telemetry(spark, sf), sort=False), 5)
+
+
+@query("shown_level_counts")
+def q_shown_level_counts(spark, sf):
+    """Level counts of the 50 shown alerts."""
+    return RU.level_counts(RU.top_alerts(AL.alert_log(FX.telemetry(spark, sf), sort=False), 50))
+
+
+@query("alerts_by_level")
+def q_alerts_by_level(spark, sf):
+    """P5: CRITICAL only."""
+    log = AL.alert_log(FX.telemetry(spark, sf), sort=False)
+    return RU.filter_level(log, "CRITICAL").select(
+        "reading_id", "asset_id", "site_id", "alert_level_full", "alert_score", "fault_description")
+
+
+@query("selected_blocks")
+def q_selected_blocks(spark, sf):
+    """Assets of the sites in one region (left-semi join on a key table)."""
+    nation, region = FX.table(spark, sf, "nation"), FX.table(spark, sf, "region")
+    sites = (nation.join(region.where(F.col("r_name") == "AMERICA"),
+                         F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+             .select(F.col("n_name").alias("site_id")))
+    return RU.asset_summary(RU.filter_assets(readings(spark, sf), sites=sites), flag_col="edge_flag")
+
+
+@query("block_detail")
+def q_block_detail(spark, sf):
+    """O7 + P7: asset roll-up in natural-number order."""
+    return RU.asset_detail(block_summary(spark, sf))
+
+
+@query("time_series_downsampled")
+def q_time_series_downsampled(spark, sf):
+    """P9 + W3 + F16: every 3rd reading in time order."""
+    idx = O.row_index(scored(spark, sf), TIME_ORDER)
+    return RU.time_series(idx, C.DOWNSAMPLE_STEP)
+
+
+# --- order layer ---------------------------------------------------------------------
+
+@query("rolling_mean_30")
+def q_rolling_mean_30(spark, sf):
+    """W1 per asset (halo plan: no task holds a whole asset)."""
+    r = O.rolling(FX.telemetry(spark, sf), "vibration", "vib_roll30", TIME_ORDER, by="asset_id", w=30)
+    return r.select("reading_id", "asset_id", F.round("vib_roll30", 10).alias("vib_roll30"))
+
+
+@query("sequences_30")
+def q_sequences_30(spark, sf):
+    """The 30 readings before each reading of the same asset (own row excluded)."""
+    s = O.preceding_list(FX.telemetry(spark, sf), ["vibration"], "seq", TIME_ORDER, by="asset_id",
+                         n=C.SEQUENCE_LENGTH)
+    return s.select("reading_id", "asset_id", F.size("seq").cast("long").alias("seq_len"),
+                    F.col("seq")[0]["vibration"].alias("first_vibration"),
+                    F.col("seq")[C.SEQUENCE_LENGTH - 1]["vibration"].alias("last_vibration"),
+                    F.col("rul_days").alias("target"))
+
+
+@query("time_split")
+def q_time_split(spark, sf):
+    """First 80 % of readings in time order train, rest test."""
+    return O.time_split(FX.telemetry(spark, sf), TIME_ORDER, 0.2).select("reading_id", "row_idx", "is_test")
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf):
+    """Exact 20 % per fault class by hashed rank."""
+    return O.stratified_split(FX.telemetry(spark, sf), "fault_code", "reading_id", 0.2).select(
+        "reading_id", "fault_code", "is_test")
+
+
+@query("rul_scatter")
+def q_rul_scatter(spark, sf):
+    """First 200 test points (time order) of actual vs predicted RUL."""
+    t = FX.telemetry(spark, sf)
+    pred = relabel(t).select("reading_id", F.col("rul_days").alias("rul_new"))
+    split = O.time_split(t, TIME_ORDER, 0.2).join(pred, "reading_id")
+    n_train = split.where(~F.col("is_test")).count()
+    test = split.where(F.col("is_test")).withColumn("position", F.col("row_idx") - F.lit(n_train))
+    return O.first_n(test, ["position"], 200).select(
+        "position", F.round("rul_days", 1).alias("actual"), F.round("rul_new", 1).alias("predicted"))
+
+
+# --- features and chains ------------------------------------------------------------
+
+@query("label_encode")
+def q_label_encode(spark, sf):
+    """M1: alphabetical integer codes."""
+    out, _ = FE.label_encode(FX.telemetry(spark, sf), C.CATEGORICAL_COLUMNS)
+    return out.select("reading_id", *[f"{c}_enc" for c in C.CATEGORICAL_COLUMNS])
+
+
+@query("standard_scale")
+def q_standard_scale(spark, sf):
+    """M3: population z-scores of the 8 forest features."""
+    out = FE.standard_scale_expr(FX.telemetry(spark, sf), SC.ANOMALY_FEATURES)
+    return out.select("reading_id", *[F.round(f"{c}_std", 9).alias(f"{c}_std") for c in SC.ANOMALY_FEATURES])
+
+
+MINMAX_CHECK_COLS = ["vibration", "temperature", "humidity", "age_days", "rul_days"]
+
+
+@query("minmax_scale")
+def q_minmax_scale(spark, sf):
+    """M4: min-max fitted on the time-split training rows, applied to all."""
+    t = O.time_split(FX.telemetry(spark, sf), TIME_ORDER, 0.2).withColumn("_train", ~F.col("is_test"))
+    out = FE.minmax_scale_expr(t, MINMAX_CHECK_COLS, "_train")
+    return out.select("reading_id", "is_test", *[F.round(f"{c}_mm", 9).alias(f"{c}_mm") for c in MINMAX_CHECK_COLS])
+
+
+@query("feature_projection")
+def q_feature_projection(spark, sf):
+    """The RUL features present in the table."""
+    return FE.project_features(FX.telemetry(spark, sf), SC.RUL_FEATURES, keep=["reading_id"])
+
+
+@query("feature_fill")
+def q_feature_fill(spark, sf):
+    """All classifier features in trained order, absent ones as 0."""
+    return FE.fill_features(FX.telemetry(spark, sf), SC.FAULT_FEATURES, keep=["reading_id"])
+
+
+@query("class_weights")
+def q_class_weights(spark, sf):
+    """Balanced class weights per reading."""
+    w = L.class_weights(FX.telemetry(spark, sf), "fault_code")
+    return w.select("reading_id", "fault_code", F.round("weight", 10).alias("weight"))
+
+
+@query("preprocess")
+def q_preprocess(spark, sf):
+    """Encodings + health score + 2-signal level."""
+    return AL.preprocess(FX.telemetry(spark, sf))
+
+
+# --- metrics ----------------------------------------------------------------------------
+
+@query("anomaly_eval")
+def q_anomaly_eval(spark, sf):
+    """A11 on the rule flag."""
+    return M.anomaly_eval(readings(spark, sf), "edge_flag")
+
+
+@query("regression_metrics")
+def q_regression_metrics(spark, sf):
+    """A12 of the recomputed RUL against the input RUL."""
+    t = FX.telemetry(spark, sf)
+    d = relabel(t).select("reading_id", F.col("rul_days").alias("p")).join(
+        t.select("reading_id", F.col("rul_days").alias("y")), "reading_id")
+    m = M.regression_metrics(d, "y", "p")
+    return m.select(*[F.round(c, 9).alias(c) for c in m.columns])
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    """A13, dense over the label union."""
+    return M.confusion(pseudo_predictions(spark, sf), "actual", "predicted")
+
+
+@query("classification_report")
+def q_classification_report(spark, sf):
+    """A14."""
+    r = M.class_report(pseudo_predictions(spark, sf), "actual", "predicted")
+    return r.select("label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("accuracy")
+def q_accuracy(spark, sf):
+    """A15."""
+    a = M.accuracy(pseudo_predictions(spark, sf), "actual", "predicted")
+    return a.select(F.round("accuracy", 12).alias("accuracy"))
