@@ -27,16 +27,26 @@ def _qname(col: str, q: float) -> str:
     return f"{col}_q{int(round(q * 1000)):03d}"
 
 
-def quantiles(df: DataFrame, spec: dict[str, list[float]], method: str = "sort",
-              accuracy: int = 100000) -> DataFrame:
+# Row cap under which the one-pass exact aggregate is used by method='auto':
+# its final merge holds at most this many values per column in one task.
+EXACT_AGG_MAX_ROWS = 2_000_000
+
+
+def quantiles(df: DataFrame, spec: dict[str, list[float]], method: str = "auto",
+              accuracy: int = 100000, max_agg_rows: int = EXACT_AGG_MAX_ROWS) -> DataFrame:
     """A10: one-row table of linear-interpolated quantiles ``<col>_q<permille>``.
 
     method='sort'   exact; distributed sort of the (column, value) pairs with a
                     range-partitioned global index; scales with the data.
     method='exact'  Spark's ``percentile`` aggregate; exact, but its final
                     merge holds every distinct value in one task (small tables).
+    method='auto'   exact: 'exact' when a bounded count (it stops after
+                    ``max_agg_rows + 1`` rows) proves the table small, else 'sort'.
     method='approx' ``percentile_approx`` (rank error 1/accuracy), one pass.
     """
+    if method == "auto":
+        small = df.limit(max_agg_rows + 1).count() <= max_agg_rows
+        method = "exact" if small else "sort"
     if method == "exact":
         return df.agg(*[F.percentile(F.col(c), F.lit(q)).alias(_qname(c, q))
                         for c, qs in spec.items() for q in qs])

@@ -459,3 +459,73 @@ def q_accuracy(spark, sf):
     """A15."""
     a = M.accuracy(pseudo_predictions(spark, sf), "actual", "predicted")
     return a.select(F.round("accuracy", 12).alias("accuracy"))
+
+
+# --- models (rows-only checks: not SQL-expressible) -------------------------------------
+
+QUERY_GBT_ITERS = 20     # the API default is 300; the registered query keeps runs short
+QUERY_RF_TREES = 50      # the API default is 300
+
+
+def model_input(spark, sf, noise: bool = True) -> DataFrame:
+    """Relabelled readings (as the supervised models are trained in the pipeline)."""
+    return relabel(FX.telemetry(spark, sf), noise=noise)
+
+
+@query("isolation_forest")
+def q_isolation_forest(spark, sf):
+    """M5 + M6: distributed isolation forest, 200 trees, 8 % contamination."""
+    from ..ml import iforest
+    t = FX.telemetry(spark, sf)
+    model = iforest.fit(t)
+    return model.transform(t).select("reading_id", "if_score", "if_label", "if_flag")
+
+
+@query("anomaly_eval_forest")
+def q_anomaly_eval_forest(spark, sf):
+    """A11 on the forest flags."""
+    from ..ml import iforest
+    t = FX.telemetry(spark, sf)
+    return M.anomaly_eval(iforest.fit(t).transform(t), "if_flag")
+
+
+@query("rul_model_eval")
+def q_rul_model_eval(spark, sf):
+    """M7: boosted-tree RUL on a time split; MAE / RMSE / R² of the test rows."""
+    from ..ml import models as ML
+    res = ML.fit_rul(model_input(spark, sf), iters=QUERY_GBT_ITERS)
+    return res.metrics.select(F.lit("GBTRegressor").alias("model"), "*",
+                              F.lit(res.train_time_s).alias("train_time_s"))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    """M13 + O5: RUL model importances, descending."""
+    from ..ml import models as ML
+    res = ML.fit_rul(model_input(spark, sf), iters=QUERY_GBT_ITERS)
+    return ML.feature_importance(spark, res.model, res.features)
+
+
+@query("fault_model_eval")
+def q_fault_model_eval(spark, sf):
+    """M9: random forest (balanced weights, stratified split) — per-class report."""
+    from ..ml import models as ML
+    res = ML.fit_fault(model_input(spark, sf), trees=QUERY_RF_TREES)
+    acc, report, _ = ML.fault_metrics(res.predictions)
+    return report.crossJoin(acc)
+
+
+@query("fault_confusion")
+def q_fault_confusion(spark, sf):
+    """A13 on the forest's test predictions (real labels)."""
+    from ..ml import models as ML
+    res = ML.fit_fault(model_input(spark, sf), trees=QUERY_RF_TREES)
+    return ML.fault_metrics(res.predictions)[2]
+
+
+@query("fault_predictions")
+def q_fault_predictions(spark, sf):
+    """Predicted fault, confidence and text for the test rows."""
+    from ..ml import models as ML
+    res = ML.fit_fault(model_input(spark, sf), trees=QUERY_RF_TREES)
+    return res.predictions.select("reading_id", "fault_code", "predicted_fault", "confidence", "fault_text")
