@@ -530,3 +530,30 @@ SELECT 'weighted avg', round(sum(precision * support) / sum(support), 9), round(
        round(sum(f1 * support) / sum(support), 9), CAST(sum(support) AS BIGINT)
 FROM per""")
 register("accuracy", "SELECT round(avg(CASE WHEN actual = predicted THEN 1e0 ELSE 0e0 END), 12) AS accuracy FROM pseudo")
+
+# --- streaming batch twins (R1-R5) -------------------------------------------
+register("stream_alerts", """
+SELECT reading_id, event_time, asset_id, alert_level_basic AS alert_level, fault_code, failure_prob,
+       maintenance_action
+FROM scored WHERE alert_level_basic IN ('CRITICAL', 'WARNING')""")
+register("stream_last50", """
+SELECT asset_id, reading_id, event_time, vibration, temperature FROM telemetry
+ORDER BY event_time DESC, reading_id DESC LIMIT 50""")
+register("stream_asset_last50", """
+SELECT asset_id, rank, reading_id, event_time, vibration, temperature FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY event_time DESC, reading_id DESC) AS INTEGER)
+           AS rank
+  FROM telemetry) z
+WHERE rank <= 50""")
+register("stream_last4", """
+SELECT CAST(row_number() OVER (ORDER BY event_time DESC, reading_id DESC) AS INTEGER) AS position,
+       reading_id, event_time, asset_id, alert_level, fault_code, failure_prob, maintenance_action
+FROM (SELECT reading_id, event_time, asset_id, alert_level_basic AS alert_level, fault_code, failure_prob,
+             maintenance_action
+      FROM scored WHERE alert_level_basic IN ('CRITICAL', 'WARNING')
+      ORDER BY event_time DESC, reading_id DESC LIMIT 4) z""")
+register("stream_latest", """
+SELECT asset_id, reading_id, event_time, vibration, temperature FROM (
+  SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY event_time DESC, reading_id DESC) AS rn
+  FROM telemetry) z
+WHERE rn = 1""")

@@ -529,3 +529,59 @@ def q_fault_predictions(spark, sf):
     from ..ml import models as ML
     res = ML.fit_fault(model_input(spark, sf), trees=QUERY_RF_TREES)
     return res.predictions.select("reading_id", "fault_code", "predicted_fault", "confidence", "fault_text")
+
+
+# --- streaming (batch twins in SQL) ------------------------------------------------------
+
+STREAM_FILES = 10
+STREAM_FILES_PER_TRIGGER = 2
+
+
+def _stream_state(spark, sf):
+    from ..streaming import feed as SF
+    t = FX.telemetry(spark, sf)
+    ws = SF.workspace(spark, "feed")
+    SF.write_feed_files(t, f"{ws}/source", STREAM_FILES)
+    sdf = SF.read_feed(spark, f"{ws}/source", t.schema, STREAM_FILES_PER_TRIGGER)
+    SF.run_state_feed(sdf, f"{ws}/state", f"{ws}/chk_state")
+    return SF.current_lists(spark, f"{ws}/state")
+
+
+@query("stream_alerts")
+def q_stream_alerts(spark, sf):
+    """R1 + R2 (+ R6 availableNow): alert feed of a file stream, deduplicated."""
+    from ..streaming import feed as SF
+    t = FX.telemetry(spark, sf)
+    ws = SF.workspace(spark, "alerts")
+    SF.write_feed_files(t, f"{ws}/source", STREAM_FILES)
+    sdf = SF.read_feed(spark, f"{ws}/source", t.schema, STREAM_FILES_PER_TRIGGER)
+    SF.run_alert_feed(sdf, f"{ws}/sink", f"{ws}/chk")
+    return spark.read.parquet(f"{ws}/sink")
+
+
+@query("stream_last50")
+def q_stream_last50(spark, sf):
+    """The newest 50 readings of the feed (from per-asset bounded state)."""
+    from ..streaming import feed as SF
+    return SF.last_readings(_stream_state(spark, sf))
+
+
+@query("stream_asset_last50")
+def q_stream_asset_last50(spark, sf):
+    """R3 per asset: each asset's newest 50 readings with their rank."""
+    from ..streaming import feed as SF
+    return SF.last_readings(_stream_state(spark, sf), per_asset=True)
+
+
+@query("stream_last4")
+def q_stream_last4(spark, sf):
+    """The newest 4 alerts, newest first."""
+    from ..streaming import feed as SF
+    return SF.last_alerts(_stream_state(spark, sf))
+
+
+@query("stream_latest")
+def q_stream_latest(spark, sf):
+    """The latest reading of each asset."""
+    from ..streaming import feed as SF
+    return SF.latest(_stream_state(spark, sf))
