@@ -7,6 +7,32 @@ common table expressions defined here.
 
 from __future__ import annotations
 
+def linear_quantiles(source: str, col: str, qs: dict[str, float]) -> str:
+    """Quantiles by definition (pandas/numpy 'linear'): rank the non-null
+    values, take the order statistics at floor/ceil of (n - 1) * q and
+    interpolate lo + (hi - lo) * frac in double arithmetic."""
+    parts = []
+    for alias, q in qs.items():
+        pos = f"((n - 1) * {q!r}e0)"
+        frac = f"((max(n) - 1) * {q!r}e0 - floor((max(n) - 1) * {q!r}e0))"
+        lo = f"max(CASE WHEN rk = CAST(floor({pos}) AS BIGINT) THEN v END)"
+        hi = f"max(CASE WHEN rk = CAST(ceil({pos}) AS BIGINT) THEN v END)"
+        parts.append(f"{lo} + ({hi} - {lo}) * {frac} AS {alias}")
+    return (f"(SELECT {', '.join(parts)} FROM (SELECT {col} AS v, row_number() OVER (ORDER BY {col}) - 1 AS rk, "
+            f"count(*) OVER () AS n FROM {source} WHERE {col} IS NOT NULL AND NOT isnan({col})) z)")
+
+
+CASCADE_Q = " CROSS JOIN ".join([
+    linear_quantiles("tel0", "vibration", {"v75": 0.75, "v60": 0.60}) + " qv",
+    linear_quantiles("tel0", "resistance", {"r80": 0.80, "r60": 0.60, "r30": 0.30}) + " qr",
+    linear_quantiles("tel0", "temperature", {"t80": 0.80}) + " qt",
+    linear_quantiles("tel0", "cpu_load", {"c85": 0.85, "c70": 0.70}) + " qc",
+    linear_quantiles("tel0", "humidity", {"h75": 0.75}) + " qh",
+    linear_quantiles("tel0", "age_days", {"a75": 0.75}) + " qa",
+])
+EDGE_Q = linear_quantiles("telemetry", "anomaly_score", {"aq": 0.92})
+
+
 # Readings derived from events + nation (same definitions as the Spark source).
 TELEMETRY_CTES = """
 ev_base AS (
@@ -39,14 +65,7 @@ tel0 AS (
          5 + 360 * b.u2 AS rul_days
   FROM ev_base b JOIN nation n ON n.n_nationkey = b.user_id % 25
 ),
-cascade_q AS (
-  SELECT quantile_cont(vibration, 0.75) AS v75, quantile_cont(vibration, 0.60) AS v60,
-         quantile_cont(resistance, 0.80) AS r80, quantile_cont(resistance, 0.60) AS r60,
-         quantile_cont(resistance, 0.30) AS r30, quantile_cont(temperature, 0.80) AS t80,
-         quantile_cont(cpu_load, 0.85) AS c85, quantile_cont(cpu_load, 0.70) AS c70,
-         quantile_cont(humidity, 0.75) AS h75, quantile_cont(age_days, 0.75) AS a75
-  FROM tel0
-),
+cascade_q AS (SELECT * FROM @CASCADE_Q@),
 tel1 AS (
   SELECT t.*,
          CASE WHEN t.vibration > q.v75 THEN 'C1'
@@ -122,7 +141,7 @@ alerts AS (
          COALESCE(c.base_priority, 'LOW') AS base_priority
   FROM alert_rows a LEFT JOIN catalog c ON c.code = a.fault_code
 ),
-edge_q AS (SELECT quantile_cont(anomaly_score, 0.92) AS aq FROM telemetry),
+edge_q AS (SELECT * FROM @EDGE_Q@),
 readings AS (
   SELECT s.*, CASE WHEN s.anomaly_score > q.aq THEN 1 ELSE 0 END AS edge_flag
   FROM scored s CROSS JOIN edge_q q
@@ -196,10 +215,11 @@ vib_feat AS (
 
 def with_ctes(body: str) -> str:
     body = body.strip()
+    ctes = TELEMETRY_CTES.replace("@CASCADE_Q@", CASCADE_Q).replace("@EDGE_Q@", EDGE_Q)
     if body[:5].upper() == "WITH ":
         # The body's own CTEs follow the shared ones in the same WITH list.
-        return "WITH " + TELEMETRY_CTES.strip() + ",\n" + body[5:]
-    return "WITH " + TELEMETRY_CTES.strip() + "\n" + body
+        return "WITH " + ctes.strip() + ",\n" + body[5:]
+    return "WITH " + ctes.strip() + "\n" + body
 
 
 SQL: dict[str, str] = {}

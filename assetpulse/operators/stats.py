@@ -7,6 +7,8 @@ cross join, which is size-proven (exactly one row). No unpartitioned window.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def _qname(col: str, q: float) -> str:
 
 # Row cap under which the one-pass exact aggregate is used by method='auto':
 # its final merge holds at most this many values per column in one task.
-EXACT_AGG_MAX_ROWS = 2_000_000
+EXACT_AGG_MAX_ROWS = 1_000_000
 
 
 def quantiles(df: DataFrame, spec: dict[str, list[float]], method: str = "auto",
@@ -46,7 +48,9 @@ def quantiles(df: DataFrame, spec: dict[str, list[float]], method: str = "auto",
     """
     if method == "auto":
         small = df.limit(max_agg_rows + 1).count() <= max_agg_rows
-        method = "exact" if small else "sort"
+        if small:
+            return _order_stat_quantiles(df, spec)
+        method = "sort"
     if method == "exact":
         return df.agg(*[F.percentile(F.col(c), F.lit(q)).alias(_qname(c, q))
                         for c, qs in spec.items() for q in qs])
@@ -58,6 +62,34 @@ def quantiles(df: DataFrame, spec: dict[str, list[float]], method: str = "auto",
     return _sorted_quantiles(df, spec)
 
 
+def _order_stat_quantiles(df: DataFrame, spec: dict[str, list[float]]) -> DataFrame:
+    """Exact quantiles of a small table: the two bracketing order statistics
+    by ``percentile_disc`` (asked at the middle of each rank's interval, so it
+    returns that element exactly), then linear interpolation
+    lo + (hi - lo) * frac — the same arithmetic as the sort path."""
+    cols = list(spec)
+    clean = _nan_free(df, cols)
+    counts = clean.agg(*[F.count(c).alias(c) for c in cols]).first()
+    stats = []
+    for c in cols:
+        n = counts[c]
+        for q in spec[c]:
+            if not n:
+                stats.append(F.lit(None).cast("double").alias(_qname(c, q)))
+                continue
+            pos = q * (n - 1)
+            lo, hi = math.floor(pos), math.ceil(pos)
+            vlo = F.expr(f"percentile_disc({(lo + 0.5) / n!r}) WITHIN GROUP (ORDER BY `{c}`)")
+            vhi = F.expr(f"percentile_disc({(hi + 0.5) / n!r}) WITHIN GROUP (ORDER BY `{c}`)")
+            stats.append((vlo + (vhi - vlo) * F.lit(pos - lo)).cast("double").alias(_qname(c, q)))
+    return clean.agg(*stats)
+
+
+def _nan_free(df: DataFrame, cols: list[str]) -> DataFrame:
+    """NaN -> null on the quantile columns (nulls are skipped, as in pandas)."""
+    return df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
+
+
 def _sorted_quantiles(df: DataFrame, spec: dict[str, list[float]]) -> DataFrame:
     cols = list(spec)
     spark = df.sparkSession
