@@ -60,7 +60,7 @@ def fit_rul(df: DataFrame, features: list[str] | None = None, iters: int = C.RUL
         VectorAssembler(inputCols=feats, outputCol="raw_features", handleInvalid="keep"),
         MinMaxScaler(inputCol="raw_features", outputCol="features"),
         GBTRegressor(featuresCol="features", labelCol=target, predictionCol="rul_pred", maxIter=iters,
-                     stepSize=step, maxDepth=depth, seed=seed, maxBins=max_bins),
+                     stepSize=step, maxDepth=depth, seed=seed, maxBins=max_bins, maxMemoryInMB=64),
     ])
     t0 = time.perf_counter()
     model = pipe.fit(train)
@@ -91,7 +91,7 @@ def fit_fault(df: DataFrame, features: list[str] | None = None, trees: int = C.F
         VectorAssembler(inputCols=feats, outputCol="raw_features", handleInvalid="keep"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
         RandomForestClassifier(featuresCol="features", labelCol=target, weightCol="weight", numTrees=trees,
-                               maxDepth=depth, seed=seed, predictionCol="pred_code",
+                               maxDepth=depth, seed=seed, predictionCol="pred_code", maxMemoryInMB=64,
                                probabilityCol="probability", rawPredictionCol="raw_prediction"),
     ])
     t0 = time.perf_counter()

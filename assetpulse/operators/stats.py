@@ -63,26 +63,25 @@ def quantiles(df: DataFrame, spec: dict[str, list[float]], method: str = "auto",
 
 
 def _order_stat_quantiles(df: DataFrame, spec: dict[str, list[float]]) -> DataFrame:
-    """Exact quantiles of a small table: the two bracketing order statistics
-    by ``percentile_disc`` (asked at the middle of each rank's interval, so it
-    returns that element exactly), then linear interpolation
-    lo + (hi - lo) * frac — the same arithmetic as the sort path."""
+    """Exact quantiles of a table proven small (by the caller's bounded
+    count): one aggregate sorts each column's non-null values into an array
+    (at most ``EXACT_AGG_MAX_ROWS`` entries), then the order statistics at
+    floor/ceil of (n - 1) * q are picked and interpolated lo + (hi - lo) * frac
+    — the same arithmetic as the distributed sort path."""
     cols = list(spec)
     clean = _nan_free(df, cols)
-    counts = clean.agg(*[F.count(c).alias(c) for c in cols]).first()
-    stats = []
+    arrays = clean.agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in cols])
+    out = []
     for c in cols:
-        n = counts[c]
+        arr = F.col(c)
+        n = F.size(arr)
         for q in spec[c]:
-            if not n:
-                stats.append(F.lit(None).cast("double").alias(_qname(c, q)))
-                continue
-            pos = q * (n - 1)
-            lo, hi = math.floor(pos), math.ceil(pos)
-            vlo = F.expr(f"percentile_disc({(lo + 0.5) / n!r}) WITHIN GROUP (ORDER BY `{c}`)")
-            vhi = F.expr(f"percentile_disc({(hi + 0.5) / n!r}) WITHIN GROUP (ORDER BY `{c}`)")
-            stats.append((vlo + (vhi - vlo) * F.lit(pos - lo)).cast("double").alias(_qname(c, q)))
-    return clean.agg(*stats)
+            pos = F.lit(q) * (n - 1).cast("double")
+            lo = F.floor(pos)
+            vlo = F.element_at(arr, (lo + 1).cast("int"))
+            vhi = F.element_at(arr, (F.ceil(pos) + 1).cast("int"))
+            out.append(F.when(n > 0, vlo + (vhi - vlo) * (pos - lo)).cast("double").alias(_qname(c, q)))
+    return arrays.select(*out)
 
 
 def _nan_free(df: DataFrame, cols: list[str]) -> DataFrame:

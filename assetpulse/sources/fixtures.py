@@ -30,7 +30,7 @@ def base_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     nation = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("_nk"), F.col("n_name").alias("site_id"))
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.from_json("props", "k int")["k"]
     eid = F.col("event_id")
     u1, u2, u3, u4 = _unit(eid, 7919, 13, 1009), _unit(eid, 6271, 29, 1013), \
         _unit(eid, 4801, 47, 1019), _unit(eid, 3571, 71, 1021)
@@ -109,7 +109,7 @@ def vibration_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accelerometer samples with source-style headers (acc_x/acc_y/acc_z, ...)."""
     ev = table(spark, sf_dir, "events")
     eid = F.col("event_id")
-    k = F.get_json_object("props", "$.k").cast("double")
+    k = F.from_json("props", "k int")["k"].cast("double")
     return ev.select(
         eid.alias("sample_id"), F.col("ts").alias("event_time"),
         F.concat(F.lit("B"), F.col("user_id").cast("string")).alias("asset_id"),
