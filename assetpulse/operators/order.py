@@ -148,3 +148,35 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2,
 def stratified_split_approx(df: DataFrame, key: str, test: float = 0.2, salt: str = "split") -> DataFrame:
     """W5 at scale: test when the hashed key falls under ``test`` (no shuffle)."""
     return df.withColumn("is_test", hash_unit(F.col(key), salt) < F.lit(test))
+
+
+def preceding_stats(df: DataFrame, cols: list[str], order: list, by: str | None = "asset_id",
+                    n: int = 30, bucket_rows: int = 1 << 16) -> DataFrame:
+    """W2 summarised: for each row with n predecessors (same asset), the mean,
+    sample deviation, min, max, last value and least-squares slope of each
+    column over those n rows — native window aggregates over the halo frame
+    (codegen, no arrays). The slope uses sums over the frame:
+    sum((i - mid) * (x - mean)) = sum(j * x) - (r - n) * sum(x) - mid * sum(x),
+    with j the row's position in the ordered table (contiguous per asset).
+    """
+    both = _halo(df, order, by, n + 1, bucket_rows)
+    part = ["_bucket"] + ([by] if by else [])
+    frame = Window.partitionBy(*part).orderBy("_idx").rowsBetween(-n, -1)
+    prev = Window.partitionBy(*part).orderBy("_idx")
+    mid = (n - 1) / 2.0
+    denom = sum((i - mid) ** 2 for i in range(n))
+    out = both.withColumn("_cnt", F.count(F.lit(1)).over(frame))
+    idx = F.col("_idx").cast("double")
+    exprs = {}
+    for c in cols:
+        x = F.col(c).cast("double")
+        s1 = F.sum(x).over(frame)
+        sjx = F.sum(idx * x).over(frame)
+        exprs[f"{c}_mean"] = s1 / F.lit(float(n))
+        exprs[f"{c}_sd"] = F.stddev_samp(x).over(frame)
+        exprs[f"{c}_min"] = F.min(x).over(frame)
+        exprs[f"{c}_max"] = F.max(x).over(frame)
+        exprs[f"{c}_last"] = F.lag(x, 1).over(prev)
+        exprs[f"{c}_slope"] = (sjx - (idx - F.lit(float(n))) * s1 - F.lit(mid) * s1) / F.lit(denom)
+    return (out.withColumns(exprs).where(~F.col("_halo") & (F.col("_cnt") == n))
+            .drop("_bucket", "_halo", "_idx", "_cnt"))

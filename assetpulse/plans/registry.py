@@ -608,3 +608,53 @@ def q_model_comparison(spark, sf):
     res = run_pipeline(spark, model_input(spark, sf), FX.vibration_raw(spark, sf),
                        gbt_iters=QUERY_GBT_ITERS, rf_trees=QUERY_RF_TREES, forest_trees=100)
     return res.sections["model_comparison"]
+
+
+@query("window_rul_eval")
+def q_window_rul_eval(spark, sf):
+    """RUL from the previous 30 readings of the asset (window summaries + GBT)."""
+    from ..ml import sequence_models as SM
+    _, metrics, _, secs = SM.fit_window_rul(model_input(spark, sf), iters=QUERY_GBT_ITERS)
+    return metrics.select(F.lit("WindowGBT").alias("model"), "*", F.lit(secs).alias("train_time_s"))
+
+
+@query("window_fault_eval")
+def q_window_fault_eval(spark, sf):
+    """Fault class from the previous 30 readings (flattened window, perceptron)."""
+    from ..ml import sequence_models as SM
+    _, acc, _, secs = SM.fit_window_fault(model_input(spark, sf))
+    return acc.select(F.lit("WindowMLP").alias("model"), "accuracy", F.lit(secs).alias("train_time_s"))
+
+
+def _shap(spark, sf):
+    from ..ml import models as ML
+    from ..ml import shap as SH
+    res = ML.fit_fault(model_input(spark, sf), trees=QUERY_RF_TREES)
+    return SH.shap_long(spark, res.model, res.predictions, res.features, max_rows=200)
+
+
+@query("shap_long")
+def q_shap_long(spark, sf):
+    """X1 + J7: contributions of the first 200 test rows (predicted class)."""
+    return _shap(spark, sf)
+
+
+@query("shap_importance")
+def q_shap_importance(spark, sf):
+    """Mean |contribution| per feature."""
+    from ..ml import shap as SH
+    return SH.importance(_shap(spark, sf))
+
+
+@query("shap_points")
+def q_shap_points(spark, sf):
+    """Beeswarm points with per-feature scaled colour value."""
+    from ..ml import shap as SH
+    return SH.points(_shap(spark, sf))
+
+
+@query("shap_waterfall")
+def q_shap_waterfall(spark, sf):
+    """Top-12 contributions per explained row with running totals."""
+    from ..ml import shap as SH
+    return SH.waterfall(_shap(spark, sf), 12)

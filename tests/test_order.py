@@ -92,3 +92,18 @@ def test_quantiles_equal_numpy_linear(skewed, method):
     for c, qs in spec.items():
         for q in qs:
             assert row[f"{c}_q{int(round(q * 1000)):03d}"] == pytest.approx(np.quantile(pdf[c], q), abs=1e-12)
+
+
+def test_preceding_stats_equal_numpy(skewed):
+    pdf, df = skewed
+    got = O.preceding_stats(df, ["v"], ["t", "rid"], by="asset", n=30, bucket_rows=35).toPandas()
+    srt = pdf.sort_values(["t", "rid"])
+    hot = srt[srt.asset == "HOT"].reset_index(drop=True)
+    win = hot["v"].iloc[10:40].to_numpy()
+    row = got[got.rid == hot.rid.iloc[40]].iloc[0]
+    i = np.arange(30)
+    assert row.v_mean == pytest.approx(win.mean())
+    assert row.v_sd == pytest.approx(win.std(ddof=1))
+    assert row.v_min == win.min() and row.v_max == win.max() and row.v_last == win[-1]
+    assert row.v_slope == pytest.approx(np.polyfit(i, win, 1)[0])
+    assert len(got) == int(sum(max(0, s - 30) for s in pdf.groupby("asset").size()))
