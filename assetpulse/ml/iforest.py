@@ -164,7 +164,15 @@ class IsolationForestModel:
         return score
 
     def raw_scores(self, df: DataFrame) -> DataFrame:
-        """Adds ``if_raw`` (the negated anomaly score)."""
+        """Adds ``if_raw`` (the negated anomaly score).
+
+        Scoring is CPU work in Python workers: when the input arrives in fewer
+        partitions than the cluster has cores (a few large files), the rows
+        are spread round-robin first; a large input keeps its partitioning.
+        """
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
         scaled = FE.apply_scaler(df, self.scaler, suffix="__s")
         schema = T.StructType([f for f in scaled.schema.fields if not f.name.endswith("__s")]
                               + [T.StructField("if_raw", T.DoubleType())])
@@ -228,7 +236,10 @@ def fit(df: DataFrame, features: list[str] | None = None, trees: int = C.IFOREST
     nodes = (samples.groupBy("tree").applyInPandas(_fit_trees_fn(feats, limit, seed), NODE_SCHEMA)
              .toPandas())  # bounded: trees * (2 psi - 1) rows
     model = IsolationForestModel(feats, scaler, nodes, psi, 0.0, contamination)
-    raw = model.raw_scores(df.select(id_col, *feats))
+    # The threshold needs the training scores once (bounded count + quantile):
+    # keep them for the two passes instead of scoring twice.
+    raw = model.raw_scores(df.select(id_col, *feats)).select("if_raw").persist()
     q = S.quantiles(raw, {"if_raw": [contamination]})
     model.offset = float(q.first()[0])
+    raw.unpersist()
     return model

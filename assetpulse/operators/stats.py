@@ -21,10 +21,23 @@ def one_row_stats(df: DataFrame, aggs: dict) -> DataFrame:
 
 
 def attach(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Broadcast a one-row statistics table onto every row."""
+    """Broadcast a one-row statistics table onto every row (lazy form)."""
     return df.crossJoin(F.broadcast(stats))
 
 
+def values(stats: DataFrame) -> dict:
+    """Compute a one-row statistics table once; its few numbers become
+    literals in later expressions (constant-folded into codegen, and the
+    statistics plan is not re-run by every later action)."""
+    row = stats.first()
+    return row.asDict() if row is not None else {}
+
+
+def attach_values(df: DataFrame, vals: dict) -> DataFrame:
+    """Add each statistic as a literal column."""
+    return df.withColumns({k: F.lit(v).cast("double") for k, v in vals.items()})
+
+
 def _qname(col: str, q: float) -> str:
     return f"{col}_q{int(round(q * 1000)):03d}"
 
@@ -70,7 +83,7 @@ def _order_stat_quantiles(df: DataFrame, spec: dict[str, list[float]]) -> DataFr
     — the same arithmetic as the distributed sort path."""
     cols = list(spec)
     clean = _nan_free(df, cols)
-    arrays = clean.agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in cols])
+    arrays = clean.agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in cols])
     out = []
     for c in cols:
         arr = F.col(c)
@@ -120,8 +133,11 @@ def _sorted_quantiles(df: DataFrame, spec: dict[str, list[float]]) -> DataFrame:
     return vals.withColumn("_k", key).groupBy().pivot("_k", names).agg(F.first("value"))
 
 
-def quantile_lookup(stats: DataFrame, spec: dict[str, list[float]]) -> dict:
-    """(column, q) -> Column name in the statistics table."""
+def quantile_lookup(stats, spec: dict[str, list[float]]) -> dict:
+    """(column, q) -> Column: a literal when ``stats`` is a dict of computed
+    values, else the column of the (lazy) statistics table."""
+    if isinstance(stats, dict):
+        return {(c, q): F.lit(stats[_qname(c, q)]).cast("double") for c, qs in spec.items() for q in qs}
     return {(c, q): F.col(_qname(c, q)) for c, qs in spec.items() for q in qs}
 
 
@@ -140,5 +156,5 @@ def mean_sd_stats(df: DataFrame, col: str, sample: bool = True) -> DataFrame:
     return one_row_stats(df, {f"{col}_mean": F.avg(col), f"{col}_sd": sd})
 
 
-__all__ = ["one_row_stats", "attach", "quantiles", "quantile_lookup", "minmax_stats",
-           "mean_sd_stats"]
+__all__ = ["one_row_stats", "attach", "values", "attach_values", "quantiles", "quantile_lookup",
+           "minmax_stats", "mean_sd_stats"]

@@ -49,10 +49,9 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 def with_edge_flag(df: DataFrame, q: float = 0.92) -> DataFrame:
     """Rule flag used where the SQL check needs a deterministic anomaly flag:
     edge anomaly score above its table quantile ``q`` (top 8 %)."""
-    st = S.quantiles(df, {"anomaly_score": [q]})
-    name = st.columns[0]
-    return (S.attach(df, st).withColumn("edge_flag", (F.col("anomaly_score") > F.col(name)).cast("int"))
-            .drop(name))
+    st = S.values(S.quantiles(df, {"anomaly_score": [q]}))
+    (name, thr), = st.items()
+    return df.withColumn("edge_flag", (F.col("anomaly_score") > F.lit(thr)).cast("int"))
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,8 +138,8 @@ def q_maintenance_map(spark, sf):
     """J2."""
     t = FX.base_readings(spark, sf)
     spec = FX.cascade_spec()
-    st = S.quantiles(t, spec)
-    coded = S.attach(t, st).withColumn("fault_code", R.fault_cascade(S.quantile_lookup(st, spec)))
+    st = S.values(S.quantiles(t, spec))
+    coded = t.withColumn("fault_code", R.fault_cascade(S.quantile_lookup(st, spec)))
     return L.map_actions(coded).select("reading_id", "fault_code", "maintenance_action")
 
 

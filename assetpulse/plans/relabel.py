@@ -27,8 +27,8 @@ def relabel(df: DataFrame, noise: bool = False, seed: int = 42,
     """
     base = df.drop(*[c for c in ("fault_code", "maintenance_action") if c in df.columns])
     labelled = with_fault_labels(base, quantile_method)
-    mm = S.minmax_stats(labelled, ["failure_prob", "vibration", "age_days"])
-    x = S.attach(labelled, mm)
+    mm = S.values(S.minmax_stats(base, ["failure_prob", "vibration", "age_days"]))
+    x = S.attach_values(labelled, mm)
     pn = R.minmax_norm(F.col("failure_prob"), F.col("failure_prob_min"), F.col("failure_prob_max"))
     vn = R.minmax_norm(F.col("vibration"), F.col("vibration_min"), F.col("vibration_max"))
     an = R.minmax_norm(F.col("age_days"), F.col("age_days_min"), F.col("age_days_max"))
@@ -38,7 +38,7 @@ def relabel(df: DataFrame, noise: bool = False, seed: int = 42,
     x = L.add_severity(x)
     out = (x.withColumn("rul_days_new", R.recompute_rul(pn, vn, an, rul_noise))
             .withColumn("failure_prob_new", R.blend_probability(F.col("severity"), F.col("failure_prob"), p_noise)))
-    drop = [c for c in mm.columns] + ["severity", "rul_days", "failure_prob"]
+    drop = list(mm) + ["severity", "rul_days", "failure_prob"]
     return (out.drop(*drop)
             .withColumnRenamed("rul_days_new", "rul_days")
             .withColumnRenamed("failure_prob_new", "failure_prob"))

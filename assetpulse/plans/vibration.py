@@ -28,8 +28,7 @@ def vibration_features(raw: DataFrame, order: list = SAMPLE_ORDER, by: str | Non
     df = normalise_vibration(raw)
     df = df.withColumn("accel_magnitude", R.magnitude(F.col("x"), F.col("y"), F.col("z")))
     df = O.rolling(df, "accel_magnitude", "rolling_mag", order, by=by, w=window)
-    st = S.mean_sd_stats(df, "accel_magnitude", sample=True)
-    z = R.zscore(F.col("accel_magnitude"), F.col("accel_magnitude_mean"), F.col("accel_magnitude_sd"))
-    return (S.attach(df, st).withColumn("vibr_zscore", z)
-            .withColumn("vibr_anomaly", R.z_flag(F.col("vibr_zscore"), z_limit))
-            .drop("accel_magnitude_mean", "accel_magnitude_sd"))
+    st = S.values(S.mean_sd_stats(df, "accel_magnitude", sample=True))
+    z = R.zscore(F.col("accel_magnitude"), F.lit(st["accel_magnitude_mean"]), F.lit(st["accel_magnitude_sd"]))
+    return (df.withColumn("vibr_zscore", z)
+            .withColumn("vibr_anomaly", R.z_flag(F.col("vibr_zscore"), z_limit)))

@@ -78,18 +78,18 @@ def cascade_spec(rules=C.FAULT_CASCADE) -> dict[str, list[float]]:
 
 
 def with_fault_labels(df: DataFrame, quantile_method: str = "auto",
-                      stats: DataFrame | None = None) -> DataFrame:
-    """F12 + J2: fault code from the quantile cascade, then its maintenance action."""
+                      stats: dict | None = None) -> DataFrame:
+    """F12 + J2: fault code from the quantile cascade, then its maintenance action.
+
+    The ten thresholds are computed once (exact) and enter the cascade as
+    literals."""
     spec = cascade_spec()
     if stats is None:
-        stats = S.quantiles(df, spec, method=quantile_method)
+        stats = S.values(S.quantiles(df, spec, method=quantile_method))
     q = S.quantile_lookup(stats, spec)
     spark = df.sparkSession
     actions = spark.createDataFrame(C.MAINTENANCE_ACTIONS, "fault_code string, maintenance_action string")
-    qcols = list(stats.columns)
-    labelled = (S.attach(df, stats)
-                .withColumn("fault_code", R.fault_cascade(q))
-                .drop(*qcols))
+    labelled = df.withColumn("fault_code", R.fault_cascade(q))
     # Catalogue of ten codes: a constant, size-proven broadcast.
     return labelled.join(F.broadcast(actions), "fault_code", "left")
 
