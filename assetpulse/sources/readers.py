@@ -77,7 +77,7 @@ def read_vibration(spark: SparkSession, path: str, fmt: str = "parquet",
     ``source_file`` records which file each sample came from (many-file reads).
     """
     _require(spark, path)
-    reader = spark.read
+    reader = spark.read.option("recursiveFileLookup", "true")  # any folder layout of sample files
     if fmt == "csv":
         reader = reader.option("header", True)
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
