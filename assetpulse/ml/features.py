@@ -48,21 +48,28 @@ def assemble(df: DataFrame, names: list[str], out: str = "features", invalid: st
 def label_encode(df: DataFrame, cols: list[str], suffix: str = "_enc"):
     """M1: each column -> integer code by ascending label order (0..k-1).
 
-    Returns (df, models); ``models[c].labels`` is the code -> label list, so
-    the label string travels with its code (no positional 'C1..Cn' naming).
+    One multi-column ``StringIndexer`` fit: a single pass over the table for
+    all columns (label lists are bounded by the category counts). Returns
+    (df, models) where ``models[c].labels`` is the code -> label list, so the
+    label string travels with its code (no positional 'C1..Cn' naming).
     Missing values are encoded as the label 'nan'.
     """
-    models = {}
-    out = df
-    for c in cols:
-        tmp = f"_{c}_str"
-        out = out.withColumn(tmp, F.coalesce(F.col(c).cast("string"), F.lit(NULL_LABEL)))
-        model = StringIndexer(inputCol=tmp, outputCol=f"{c}{suffix}_d",
-                              stringOrderType="alphabetAsc", handleInvalid="keep").fit(out)
-        out = (model.transform(out).withColumn(f"{c}{suffix}", F.col(f"{c}{suffix}_d").cast("int"))
-               .drop(tmp, f"{c}{suffix}_d"))
-        models[c] = model
-    return out, models
+    tmp = {c: f"_{c}_str" for c in cols}
+    out = df.withColumns({tmp[c]: F.coalesce(F.col(c).cast("string"), F.lit(NULL_LABEL)) for c in cols})
+    model = StringIndexer(inputCols=[tmp[c] for c in cols], outputCols=[f"{c}{suffix}_d" for c in cols],
+                          stringOrderType="alphabetAsc", handleInvalid="keep").fit(out)
+    out = model.transform(out)
+    out = out.withColumns({f"{c}{suffix}": F.col(f"{c}{suffix}_d").cast("int") for c in cols}) \
+        .drop(*tmp.values(), *[f"{c}{suffix}_d" for c in cols])
+    labels = model.labelsArray
+    return out, {c: _Labels(list(labels[i])) for i, c in enumerate(cols)}
+
+
+class _Labels:
+    """Fitted label list of one column (code i -> labels[i])."""
+
+    def __init__(self, labels: list[str]):
+        self.labels = labels
 
 
 def decode_label(code: Column, labels: list[str]) -> Column:

@@ -118,12 +118,16 @@ def filter_assets(df: DataFrame, assets: DataFrame | list | None = None,
 
 
 def asset_detail(summary: DataFrame) -> DataFrame:
-    """O7 + P7: asset roll-up in natural-number order of the asset id."""
+    """O7 + P7: asset roll-up in natural-number order of the asset id.
+
+    Positions come from the distributed row index (the summary has one row
+    per asset, which can be millions), not from an unpartitioned window."""
+    from .order import row_index
     num = F.regexp_extract("block_id", r"(\d+)", 1)
-    w = Window.orderBy(F.when(num == "", None).otherwise(num.cast("long")), F.col("block_id"))
-    # The summary has one row per asset (bounded by the asset count).
-    return summary.select(F.row_number().over(w).alias("position"), "block_id", "avg_health",
-                          "avg_vibration", "avg_rul", "n_critical", "n_warning", "n_anomalies")
+    keyed = summary.withColumn("_num", F.when(num == "", None).otherwise(num.cast("long")))
+    idx = row_index(keyed, [F.col("_num").asc_nulls_first(), F.col("block_id")], "_pos")
+    return idx.select((F.col("_pos") + 1).cast("int").alias("position"), "block_id", "avg_health",
+                      "avg_vibration", "avg_rul", "n_critical", "n_warning", "n_anomalies")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
