@@ -80,7 +80,7 @@ def top_alerts(log: DataFrame, k: int = 50) -> DataFrame:
     top = log.orderBy(F.col("alert_score").desc(), F.col("reading_id")).limit(k)
     w = Window.orderBy(F.col("alert_score").desc(), F.col("reading_id"))
     return top.select(
-        F.row_number().over(w).alias("rank"),
+        F.row_number().over(w).cast("long").alias("rank"),
         F.coalesce(F.col("asset_id"), F.lit("")).alias("block_id"),
         F.coalesce(F.col("site_id"), F.lit("")).alias("location"),
         F.coalesce(F.col("alert_level_full"), F.lit("")).alias("level"),
@@ -126,7 +126,7 @@ def asset_detail(summary: DataFrame) -> DataFrame:
     num = F.regexp_extract("block_id", r"(\d+)", 1)
     keyed = summary.withColumn("_num", F.when(num == "", None).otherwise(num.cast("long")))
     idx = row_index(keyed, [F.col("_num").asc_nulls_first(), F.col("block_id")], "_pos")
-    return idx.select((F.col("_pos") + 1).cast("int").alias("position"), "block_id", "avg_health",
+    return idx.select((F.col("_pos") + 1).cast("long").alias("position"), "block_id", "avg_health",
                       "avg_vibration", "avg_rul", "n_critical", "n_warning", "n_anomalies")
 
 
