@@ -55,14 +55,20 @@ def quantiles(df: DataFrame, spec: dict[str, list[float]], method: str = "auto",
                     range-partitioned global index; scales with the data.
     method='exact'  Spark's ``percentile`` aggregate; exact, but its final
                     merge holds every distinct value in one task (small tables).
-    method='auto'   exact: 'exact' when a bounded count (it stops after
-                    ``max_agg_rows + 1`` rows) proves the table small, else 'sort'.
+    method='auto'   exact, one bounded job first: the values of at most
+                    ``max_agg_rows + 1`` rows are sorted per column; if the table
+                    fits, the order statistics come from there, else 'sort'.
     method='approx' ``percentile_approx`` (rank error 1/accuracy), one pass.
     """
     if method == "auto":
-        small = df.limit(max_agg_rows + 1).count() <= max_agg_rows
-        if small:
-            return _order_stat_quantiles(df, spec)
+        # One bounded job: sort the values of at most cap + 1 rows. If the
+        # table fits under the cap, these are all its values; otherwise use the
+        # distributed sort.
+        capped = df.limit(max_agg_rows + 1)
+        row = _order_stat_quantiles(capped, spec, with_count=True).first()
+        if row["_rows"] <= max_agg_rows:
+            return df.sparkSession.createDataFrame([tuple(row[c] for c in row.__fields__ if c != "_rows")],
+                                                   ", ".join(f"{c} double" for c in row.__fields__ if c != "_rows"))
         method = "sort"
     if method == "exact":
         return df.agg(*[F.percentile(F.col(c), F.lit(q)).alias(_qname(c, q))
@@ -75,7 +81,7 @@ def quantiles(df: DataFrame, spec: dict[str, list[float]], method: str = "auto",
     return _sorted_quantiles(df, spec)
 
 
-def _order_stat_quantiles(df: DataFrame, spec: dict[str, list[float]]) -> DataFrame:
+def _order_stat_quantiles(df: DataFrame, spec: dict[str, list[float]], with_count: bool = False) -> DataFrame:
     """Exact quantiles of a table proven small (by the caller's bounded
     count): one aggregate sorts each column's non-null values into an array
     (at most ``EXACT_AGG_MAX_ROWS`` entries), then the order statistics at
@@ -83,8 +89,9 @@ def _order_stat_quantiles(df: DataFrame, spec: dict[str, list[float]]) -> DataFr
     — the same arithmetic as the distributed sort path."""
     cols = list(spec)
     clean = _nan_free(df, cols)
-    arrays = clean.agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in cols])
-    out = []
+    arrays = clean.agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in cols],
+                       F.count(F.lit(1)).alias("_rows"))
+    out = [F.col("_rows")] if with_count else []
     for c in cols:
         arr = F.col(c)
         n = F.size(arr)
