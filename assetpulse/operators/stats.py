@@ -7,7 +7,6 @@ cross join, which is size-proven (exactly one row). No unpartitioned window.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

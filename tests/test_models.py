@@ -1,7 +1,6 @@
 """Models: the reference's band checks (flag rate, positive RUL, accuracy in
 0-1), persistence round-trips, and feature-importance shape."""
 
-import os
 import uuid
 
 import pytest
