@@ -144,7 +144,9 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2,
     u = hash_unit(F.col(key), salt)
     idx = row_index(df.withColumn("_u", u), [label, "_u", key], "_gidx")
     first = idx.groupBy(label).agg(F.min("_gidx").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    return (idx.join(first, label)
+    # One row per class (a label column is categorical): broadcast, so a hot
+    # class is never gathered by a shuffle join on the class key.
+    return (idx.join(F.broadcast(first), label)
             .withColumn("is_test", (F.col("_gidx") - F.col("_first")) < F.round(F.col("_n") * F.lit(test)))
             .drop("_u", "_gidx", "_first", "_n"))
 
