@@ -29,16 +29,16 @@ TIME_ORDER = ["event_time", "reading_id"]
 
 
 @dataclass
-class PipelineResult:
+class BatchResult:
     sections: dict[str, DataFrame]
     scored: DataFrame
     alert_log: DataFrame
     models: dict = field(default_factory=dict)
 
 
-def run_pipeline(spark: SparkSession, readings: DataFrame, vibration_raw: DataFrame,
+def run_batch_job(spark: SparkSession, readings: DataFrame, vibration_raw: DataFrame,
                  gbt_iters: int = C.RUL_GBT["iters"], rf_trees: int = C.FAULT_RF["trees"],
-                 forest_trees: int = C.IFOREST["trees"]) -> PipelineResult:
+                 forest_trees: int = C.IFOREST["trees"]) -> BatchResult:
     from ..ml import iforest
     from ..ml import models as ML
     ensure_checkpoint_dir(spark)
@@ -77,10 +77,10 @@ def run_pipeline(spark: SparkSession, readings: DataFrame, vibration_raw: DataFr
         "kpi": RU.kpi(summary),
         "alert_summary": RU.alert_summary(log),
     }
-    return PipelineResult(sections, scored, log, {"forest": forest, "rul": rul, "fault": fault})
+    return BatchResult(sections, scored, log, {"forest": forest, "rul": rul, "fault": fault})
 
 
-def save_sections(result: PipelineResult, root: str) -> None:
+def save_sections(result: BatchResult, root: str) -> None:
     """K2: each section as JSON lines under ``root/<section>``."""
     K.write_sections(result.sections, root)
 

@@ -592,8 +592,8 @@ def q_stream_latest(spark, sf):
 def q_dashboard_sections(spark, sf):
     """M17 + K2 + S5: full pipeline, sections written as JSON and read back."""
     from ..streaming.feed import workspace
-    from .dashboard import run_pipeline, save_sections, section_counts
-    res = run_pipeline(spark, model_input(spark, sf), FX.vibration_raw(spark, sf),
+    from .dashboard import run_batch_job, save_sections, section_counts
+    res = run_batch_job(spark, model_input(spark, sf), FX.vibration_raw(spark, sf),
                        gbt_iters=QUERY_GBT_ITERS, rf_trees=QUERY_RF_TREES, forest_trees=100)
     root = workspace(spark, "dashboard")
     save_sections(res, root)
@@ -603,8 +603,8 @@ def q_dashboard_sections(spark, sf):
 @query("model_comparison")
 def q_model_comparison(spark, sf):
     """One row per trained model."""
-    from .dashboard import run_pipeline
-    res = run_pipeline(spark, model_input(spark, sf), FX.vibration_raw(spark, sf),
+    from .dashboard import run_batch_job
+    res = run_batch_job(spark, model_input(spark, sf), FX.vibration_raw(spark, sf),
                        gbt_iters=QUERY_GBT_ITERS, rf_trees=QUERY_RF_TREES, forest_trees=100)
     return res.sections["model_comparison"]
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Source column name -> our column name. Used by the readers to accept tables
-# that still carry the sensor vendor's header names.
+# FIXED VALUES: the sensor export's header names (they must equal the input
+# format to be read). Source column name -> our column name; the readers use
+# it to accept tables that still carry these headers.
 READING_ALIASES = {
     "Timestamp": "event_time",
     "Track_Block_ID": "asset_id",
@@ -61,7 +62,8 @@ FAULT_FEATURES = RUL_FEATURES + ["hmi_alert_code_enc"]
 RUL_TARGET = "rul_days"
 FAULT_TARGET = "fault_code_enc"
 
-# Vibration samples: accepted header spellings (case/space-insensitive) -> canonical name.
+# FIXED VALUES: accepted accelerometer header spellings (case/space-insensitive)
+# -> canonical name.
 VIBRATION_ALIASES = {
     "x": "x", "accel_x": "x", "acc_x": "x",
     "y": "y", "accel_y": "y", "acc_y": "y",

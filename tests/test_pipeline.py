@@ -4,7 +4,7 @@ as JSON and read back (the reference's artefact checks, as row counts)."""
 import math
 import uuid
 
-from assetpulse.plans.dashboard import run_pipeline, save_sections, section_counts
+from assetpulse.plans.dashboard import run_batch_job, save_sections, section_counts
 from assetpulse.plans.relabel import relabel
 from assetpulse.session import ensure_checkpoint_dir
 from assetpulse.sources import fixtures as FX
@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_pipeline_sections(spark):
-    res = run_pipeline(spark, relabel(FX.telemetry(spark, SF), noise=True), FX.vibration_raw(spark, SF),
+    res = run_batch_job(spark, relabel(FX.telemetry(spark, SF), noise=True), FX.vibration_raw(spark, SF),
                        gbt_iters=5, rf_trees=10, forest_trees=50)
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/test-dash-{uuid.uuid4().hex[:8]}"
     save_sections(res, root)
