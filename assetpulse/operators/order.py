@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 _LOCAL_BITS = 33  # monotonically_increasing_id(): partition id << 33 | row position
 
@@ -44,11 +44,7 @@ def row_index(df: DataFrame, order: list, index_col: str = "row_idx",
     tagged = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id()))
-    # Persist first so the eager checkpoint's count and write passes share one
-    # computation of the range shuffle and sort; then drop the cache.
-    cached = tagged.persist()
-    tagged = cached.checkpoint(eager=True)
-    cached.unpersist()
+    tagged = cut_lineage(tagged)
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))

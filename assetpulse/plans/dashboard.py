@@ -20,7 +20,7 @@ from .. import config as C
 from ..operators import metrics as M
 from ..operators import order as O
 from ..operators import rollups as RU
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import sinks as K
 from . import alerts as AL
 from .vibration import vibration_features
@@ -37,14 +37,14 @@ class BatchResult:
 
 
 def run_batch_job(spark: SparkSession, readings: DataFrame, vibration_raw: DataFrame,
-                 gbt_iters: int = C.RUL_GBT["iters"], rf_trees: int = C.FAULT_RF["trees"],
-                 forest_trees: int = C.IFOREST["trees"]) -> BatchResult:
+                  gbt_iters: int = C.RUL_GBT["iters"], rf_trees: int = C.FAULT_RF["trees"],
+                  forest_trees: int = C.IFOREST["trees"]) -> BatchResult:
     from ..ml import iforest
     from ..ml import models as ML
     ensure_checkpoint_dir(spark)
     pre = AL.preprocess(readings)
     forest = iforest.fit(pre, trees=forest_trees)
-    scored = forest.transform(pre).drop("if_label").checkpoint(eager=True)
+    scored = cut_lineage(forest.transform(pre).drop("if_label"))
     rul = ML.fit_rul(scored, iters=gbt_iters)
     fault = ML.fit_fault(scored.drop("fault_code_enc", "hmi_alert_code_enc"), trees=rf_trees)
     log = AL.alert_log(scored, sort=False)

@@ -57,3 +57,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def cut_lineage(df):
+    """Reliable checkpoint to the shared folder, computing ``df`` once.
+
+    An eager ``checkpoint()`` runs a count and then writes the data; the
+    temporary cache makes the write read the counted partitions instead of
+    recomputing them. The cache is dropped afterwards.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
