@@ -117,25 +117,13 @@ def apply_scaler(df: DataFrame, st: ScalerStats, suffix: str = "") -> DataFrame:
 
 
 def standard_scale_expr(df: DataFrame, cols: list[str], suffix: str = "_std") -> DataFrame:
-    """M3 as one lazy plan: statistics from a one-row aggregate broadcast back."""
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(stats))
-    exprs = {}
-    for c in cols:
-        sd = F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0))
-        exprs[c + suffix] = (F.col(c) - F.col(f"_m_{c}")) / sd
-    return out.withColumns(exprs).drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
+    """M3 in one call: fit (one aggregate) and apply as literal expressions."""
+    return apply_scaler(df, fit_standard(df, cols), suffix=suffix)
 
 
 def minmax_scale_expr(df: DataFrame, cols: list[str], train_flag: str | None = None,
                       suffix: str = "_mm") -> DataFrame:
-    """M4 as one lazy plan: min/max over the training rows (``train_flag`` true,
-    or all rows), applied to every row; test values may leave [0, 1]."""
+    """M4 in one call: min/max over the training rows (``train_flag`` true, or
+    all rows), applied to every row; test values may leave [0, 1]."""
     src = df.where(F.col(train_flag)) if train_flag else df
-    stats = src.agg(*[F.min(c).alias(f"_lo_{c}") for c in cols], *[F.max(c).alias(f"_hi_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(stats))
-    exprs = {}
-    for c in cols:
-        rng = F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
-        exprs[c + suffix] = (F.col(c) - F.col(f"_lo_{c}")) / F.when(rng > 0, rng).otherwise(F.lit(1.0))
-    return out.withColumns(exprs).drop(*[f"_lo_{c}" for c in cols], *[f"_hi_{c}" for c in cols])
+    return apply_scaler(df, fit_minmax(src, cols), suffix=suffix)

@@ -7,7 +7,7 @@ table goes through ``dimension_join``, which only broadcasts below a row cap.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -71,12 +71,12 @@ def add_severity(df: DataFrame, code_col: str = "fault_code", sev=C.FAULT_SEVERI
 def class_weights(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
     """J6: 'balanced' weights n / (k * n_class) per row.
 
-    The per-class count table has one row per class (bounded by the number of
-    classes, checked), and the total comes from the same aggregate, so the
-    table is read once for the counts.
+    The per-class count table has one row per class (a categorical label);
+    its total n and class count k are window sums over that small table, and
+    it is broadcast back to the rows.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = counts.crossJoin(F.broadcast(tot)).select(
-        label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(weight_col))
+    every_class = Window.partitionBy()  # over the per-class table only
+    w = counts.select(label, (F.sum("_nc").over(every_class)
+                              / (F.count(F.lit(1)).over(every_class) * F.col("_nc"))).alias(weight_col))
     return df.join(F.broadcast(w), label, "left")

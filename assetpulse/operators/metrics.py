@@ -23,12 +23,13 @@ def anomaly_eval(df: DataFrame, flag_col: str = "if_flag", prob_col: str = "fail
 
 
 def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
-    """MAE, RMSE, R². The mean of y is a one-row aggregate broadcast back,
-    so the total sum of squares is summed as squared deviations (stable)."""
+    """MAE, RMSE, R². The mean of y is computed first (one aggregate) and
+    enters as a literal, so the total sum of squares is summed as squared
+    deviations (numerically stable)."""
     err = F.col(p) - F.col(y)
-    ybar = df.agg(F.avg(y).alias("_ybar"))
-    dev = F.col(y) - F.col("_ybar")
-    agg = df.crossJoin(F.broadcast(ybar)).agg(
+    ybar = df.agg(F.avg(y)).first()[0]
+    dev = F.col(y) - F.lit(ybar).cast("double")
+    agg = df.agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.abs(err)).alias("sae"),
         F.sum(err * err).alias("sse"), F.sum(dev * dev).alias("sst"))
     sst = F.col("sst")
@@ -42,9 +43,11 @@ def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
     counts = df.groupBy(F.col(y).alias("actual"), F.col(p).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
     labels = df.select(F.col(y).alias("l")).union(df.select(F.col(p).alias("l"))).distinct()
-    # labels x labels: the class set is small (bounded by the label count).
-    grid = F.broadcast(labels.select(F.col("l").alias("actual"))).crossJoin(
-        F.broadcast(labels.select(F.col("l").alias("predicted"))))
+    # Every (actual, predicted) label pair: built from the label set (bounded
+    # by the class count) by exploding it twice, not from the rows.
+    arr = labels.agg(F.collect_list("l").alias("ls"))
+    grid = (arr.select(F.explode("ls").alias("actual"), "ls")
+            .select("actual", F.explode("ls").alias("predicted")))
     return (grid.join(counts, ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 

@@ -133,20 +133,20 @@ def asset_detail(summary: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     """Equal-width bins from min to max (last bin closed), zero-filled.
 
-    min/max come from a one-row aggregate (broadcast); the bin ids are a
-    ``sequence`` of ``bins`` rows joined with the counts.
+    min/max are computed once (one aggregate) and enter the bin expression as
+    literals; the ``bins`` grid rows come from a ``sequence``.
     """
-    st = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    step = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
-    b = F.when(step > 0, F.least(F.lit(bins - 1), F.floor((F.col(col) - F.col("_lo")) / step).cast("int"))) \
+    st = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    lo, hi = F.lit(st["lo"]).cast("double"), F.lit(st["hi"]).cast("double")
+    step = (hi - lo) / F.lit(bins)
+    b = F.when(step > 0, F.least(F.lit(bins - 1), F.floor((F.col(col) - lo) / step).cast("int"))) \
         .otherwise(F.lit(0))
-    counts = (df.where(F.col(col).isNotNull()).crossJoin(F.broadcast(st))
-              .groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
-    grid = st.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "_lo", "_hi")
+    counts = df.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (grid.join(counts, "bin", "left")
             .select("bin",
-                    (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("bin") / F.lit(bins)).alias("bin_lo"),
-                    (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("bin") + 1) / F.lit(bins)).alias("bin_hi"),
+                    (lo + (hi - lo) * F.col("bin") / F.lit(bins)).alias("bin_lo"),
+                    (lo + (hi - lo) * (F.col("bin") + 1) / F.lit(bins)).alias("bin_hi"),
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
 

@@ -511,7 +511,7 @@ def q_fault_model_eval(spark, sf):
     from ..ml import models as ML
     res = ML.fit_fault(model_input(spark, sf), trees=QUERY_RF_TREES)
     acc, report, _ = ML.fault_metrics(res.predictions)
-    return report.crossJoin(acc)
+    return report.withColumn("accuracy", F.lit(acc.first()[0]))
 
 
 @query("fault_confusion")
