@@ -79,7 +79,9 @@ def fit_fault(df: DataFrame, features: list[str] | None = None, trees: int = C.F
               depth: int = C.FAULT_RF["depth"], test: float = C.FAULT_RF["test"],
               seed: int = C.FAULT_RF["seed"], label_col: str = "fault_code") -> FaultResult:
     """M9: label codes (M1), stratified split (W5), balanced weights (J6),
-    standard scaling fitted on train, random forest."""
+    standard scaling fitted on train, random forest. The deep trees keep
+    per-row node ids cached with the data (``cacheNodeIds``) instead of
+    shipping the trees every level."""
     enc, models = FE.label_encode(df, [label_col, "hmi_alert_code"])
     labels = list(models[label_col].labels)
     feats = FE.select_features(enc, features or SC.FAULT_FEATURES)
@@ -92,6 +94,7 @@ def fit_fault(df: DataFrame, features: list[str] | None = None, trees: int = C.F
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
         RandomForestClassifier(featuresCol="features", labelCol=target, weightCol="weight", numTrees=trees,
                                maxDepth=depth, seed=seed, predictionCol="pred_code", maxMemoryInMB=64,
+                               cacheNodeIds=True,
                                probabilityCol="probability", rawPredictionCol="raw_prediction"),
     ])
     t0 = time.perf_counter()

@@ -54,14 +54,18 @@ def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def class_report(df: DataFrame, y: str, p: str) -> DataFrame:
     """Per class precision / recall / f1 / support, plus macro and
-    weighted averages (zero division -> 0)."""
-    tp = df.where(F.col(y) == F.col(p)).groupBy(F.col(y).alias("label")).agg(F.count(F.lit(1)).alias("tp"))
-    sup = df.groupBy(F.col(y).alias("label")).agg(F.count(F.lit(1)).alias("support"))
-    pred = df.groupBy(F.col(p).alias("label")).agg(F.count(F.lit(1)).alias("npred"))
-    per = (sup.join(pred, "label", "full").join(tp, "label", "left")
-           .select("label", F.coalesce("tp", F.lit(0)).alias("tp"),
-                   F.coalesce("support", F.lit(0)).alias("support"),
-                   F.coalesce("npred", F.lit(0)).alias("npred")))
+    weighted averages (zero division -> 0). One scan of the predictions; the
+    averages work on the per-class table (one row per class)."""
+    # One pass: each row counts once for its actual label (support, hit) and
+    # once for its predicted label; one groupBy gives all per-class counts.
+    hit = (F.col(y) == F.col(p)).cast("long")
+    roles = F.explode(F.array(
+        F.struct(F.col(y).alias("label"), F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("q"),
+                 hit.alias("h")),
+        F.struct(F.col(p).alias("label"), F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("q"),
+                 F.lit(0).cast("long").alias("h"))))
+    per = (df.select(roles.alias("r")).select("r.*").where(F.col("label").isNotNull())
+           .groupBy("label").agg(F.sum("h").alias("tp"), F.sum("a").alias("support"), F.sum("q").alias("npred")))
     prec = F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(F.lit(0.0))
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     per = per.select("label", prec.alias("precision"), rec.alias("recall"), "support")
