@@ -80,9 +80,31 @@ def run_batch_job(spark: SparkSession, readings: DataFrame, vibration_raw: DataF
     return BatchResult(sections, scored, log, {"forest": forest, "rul": rul, "fault": fault})
 
 
+# Sections whose size does not grow with the readings (per asset / site /
+# class, top-k, distributions): they may also be gathered into one document.
+BOUNDED_SECTIONS = ["block_summary", "location_summary", "alerts", "model_comparison", "classification_report",
+                    "confusion_matrix", "rul_scatter", "feature_importance", "alert_distribution",
+                    "failure_distribution", "maintenance_distribution", "kpi", "alert_summary"]
+
+
 def save_sections(result: BatchResult, root: str) -> None:
-    """K2: each section as JSON lines under ``root/<section>``."""
+    """K2: each section as JSON lines under ``root/<section>``, plus one JSON
+    document row holding every bounded section (``root/document``)."""
     K.write_sections(result.sections, root)
+    document(result).write.mode("overwrite").json(f"{root}/document")
+
+
+def document(result: BatchResult) -> DataFrame:
+    """One row, one JSON-array column per bounded section (the per-sample
+    series stay distributed as JSON lines)."""
+    names = [n for n in BOUNDED_SECTIONS if n in result.sections]
+    parts = [K.section_document(result.sections[n], n).select(F.lit(n).alias("section"), F.col(n).alias("doc"))
+             for n in names]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    # one (section, json) row per bounded section, pivoted into a single row
+    return rows.groupBy().pivot("section", names).agg(F.first("doc"))
 
 
 def section_counts(spark: SparkSession, root: str, names: list[str]) -> DataFrame:

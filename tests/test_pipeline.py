@@ -24,5 +24,7 @@ def test_pipeline_sections(spark):
     side = math.isqrt(counts["confusion_matrix"])
     assert side * side == counts["confusion_matrix"] and side >= 2  # dense over the label union
     assert all(n > 0 for n in counts.values())
+    doc = spark.read.json(f"{root}/document")
+    assert doc.count() == 1 and "alerts" in doc.columns and "time_series" not in doc.columns
     flags = res.scored.agg({"if_flag": "avg"}).first()[0]
     assert 0.04 <= flags <= 0.12
