@@ -122,6 +122,16 @@ def time_split(df: DataFrame, order: list, test: float = 0.2, index_col: str = "
     return idx.withColumn("is_test", F.col(index_col) >= F.lit(cut))
 
 
+def time_split_approx(df: DataFrame, time_col: str = "event_time", test: float = 0.2,
+                      accuracy: int = 1_000_000) -> DataFrame:
+    """W4 without a sort: rows at or after the (1 - test) quantile of the time
+    column are test. One ``percentile_approx`` pass (rank error 1/accuracy);
+    use it when the exact row count of the split does not matter."""
+    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
+    cut = df.agg(F.percentile_approx(micros, F.lit(1.0 - test), F.lit(accuracy))).first()[0]
+    return df.withColumn("is_test", micros >= F.lit(cut))
+
+
 def hash_unit(key: Column, salt: str = "split") -> Column:
     """A uniform number in [0, 1) from a key, identical across engines (md5 based)."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(salt + ":"), key.cast("string"))), 1, 8), 16, 10)

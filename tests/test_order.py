@@ -107,3 +107,12 @@ def test_preceding_stats_equal_numpy(skewed):
     assert row.v_min == win.min() and row.v_max == win.max() and row.v_last == win[-1]
     assert row.v_slope == pytest.approx(np.polyfit(i, win, 1)[0])
     assert len(got) == int(sum(max(0, s - 30) for s in pdf.groupby("asset").size()))
+
+
+def test_time_split_approx_close_to_exact(telemetry):
+    out = O.time_split_approx(telemetry, "event_time", 0.2)
+    n = telemetry.count()
+    share = out.where("is_test").count() / n
+    assert abs(share - 0.2) < 0.01
+    assert out.where("not is_test").agg(F.max("event_time")).first()[0] < \
+        out.where("is_test").agg(F.min("event_time")).first()[0]
