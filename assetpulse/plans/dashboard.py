@@ -91,14 +91,19 @@ def save_sections(result: BatchResult, root: str) -> None:
     """K2: each section as JSON lines under ``root/<section>``, plus one JSON
     document row holding every bounded section (``root/document``)."""
     K.write_sections(result.sections, root)
-    document(result).write.mode("overwrite").json(f"{root}/document")
+    spark = next(iter(result.sections.values())).sparkSession
+    # Read back with the known schemas (no schema-inference pass per section).
+    written = {n: spark.read.schema(result.sections[n].schema).json(f"{root}/{n}")
+               for n in BOUNDED_SECTIONS if n in result.sections}
+    document(written).write.mode("overwrite").json(f"{root}/document")
 
 
-def document(result: BatchResult) -> DataFrame:
+def document(sections: dict[str, DataFrame]) -> DataFrame:
     """One row, one JSON-array column per bounded section (the per-sample
-    series stay distributed as JSON lines)."""
-    names = [n for n in BOUNDED_SECTIONS if n in result.sections]
-    parts = [K.section_document(result.sections[n], n).select(F.lit(n).alias("section"), F.col(n).alias("doc"))
+    series stay distributed as JSON lines). ``save_sections`` passes the
+    sections as written, so they are read back rather than recomputed."""
+    names = [n for n in BOUNDED_SECTIONS if n in sections]
+    parts = [K.section_document(sections[n], n).select(F.lit(n).alias("section"), F.col(n).alias("doc"))
              for n in names]
     rows = parts[0]
     for p in parts[1:]:
@@ -107,10 +112,17 @@ def document(result: BatchResult) -> DataFrame:
     return rows.groupBy().pivot("section", names).agg(F.first("doc"))
 
 
-def section_counts(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
-    """S5 round trip: read every written section back and count its rows."""
-    parts = [spark.read.json(f"{root}/{n}").agg(F.count(F.lit(1)).alias("n_rows"))
-             .select(F.lit(n).alias("section"), "n_rows") for n in names]
+def section_counts(spark: SparkSession, root: str, sections) -> DataFrame:
+    """S5 round trip: read every written section back and count its rows.
+
+    ``sections`` is the dict of section DataFrames (their schemas are used for
+    the read, no inference pass) or a list of names (schemas inferred)."""
+    if isinstance(sections, dict):
+        readers = {n: spark.read.schema(df.schema) for n, df in sections.items()}
+    else:
+        readers = {n: spark.read for n in sections}
+    parts = [r.json(f"{root}/{n}").agg(F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit(n).alias("section"), "n_rows") for n, r in readers.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

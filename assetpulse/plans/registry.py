@@ -597,7 +597,7 @@ def q_dashboard_sections(spark, sf):
                        gbt_iters=QUERY_GBT_ITERS, rf_trees=QUERY_RF_TREES, forest_trees=100)
     root = workspace(spark, "dashboard")
     save_sections(res, root)
-    return section_counts(spark, root, list(res.sections))
+    return section_counts(spark, root, res.sections)
 
 
 @query("model_comparison")
