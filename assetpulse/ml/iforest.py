@@ -212,7 +212,7 @@ def _hash01(key, tree, seed: int):
 def fit(df: DataFrame, features: list[str] | None = None, trees: int = C.IFOREST["trees"],
         contamination: float = C.IFOREST["contamination"], sample_size: int = C.IFOREST["sample_size"],
         seed: int = C.IFOREST["seed"], id_col: str = "reading_id", oversample: float = 1.5,
-        total: int | None = None) -> IsolationForestModel:
+        total: int | None = None, _skip_offset: bool = False) -> IsolationForestModel:
     """M5: fit on ``df``; ``total`` may pass a known row count."""
     feats = FE.select_features(df, features or SC.ANOMALY_FEATURES)
     base = df.select(id_col, *feats)
@@ -236,6 +236,8 @@ def fit(df: DataFrame, features: list[str] | None = None, trees: int = C.IFOREST
     nodes = (samples.groupBy("tree").applyInPandas(_fit_trees_fn(feats, limit, seed), NODE_SCHEMA)
              .toPandas())  # bounded: trees * (2 psi - 1) rows
     model = IsolationForestModel(feats, scaler, nodes, psi, 0.0, contamination)
+    if _skip_offset:  # fit_transform sets it from the scores it keeps
+        return model
     # The threshold needs the training scores once (bounded count + quantile):
     # keep them for the two passes instead of scoring twice.
     raw = model.raw_scores(df.select(id_col, *feats)).select("if_raw").persist()
@@ -243,3 +245,17 @@ def fit(df: DataFrame, features: list[str] | None = None, trees: int = C.IFOREST
     model.offset = float(q.first()[0])
     raw.unpersist()
     return model
+
+
+def fit_transform(df: DataFrame, **kwargs) -> tuple[IsolationForestModel, DataFrame]:
+    """M5 + M6 on the training table itself: the rows are scored once; the
+    threshold is the contamination quantile of those scores and the flags are
+    derived from the same (persisted) scores."""
+    model = fit(df, **kwargs, _skip_offset=True)
+    raw = model.raw_scores(df).persist()
+    q = S.quantiles(raw.select("if_raw"), {"if_raw": [model.contamination]})
+    model.offset = float(q.first()[0])
+    out = raw.withColumn("if_score", F.col("if_raw") - F.lit(model.offset)).drop("if_raw")
+    out = (out.withColumn("if_label", F.when(F.col("if_score") < 0, -1).otherwise(1))
+              .withColumn("if_flag", F.when(F.col("if_score") < 0, 1).otherwise(0)))
+    return model, out

@@ -43,8 +43,8 @@ def run_batch_job(spark: SparkSession, readings: DataFrame, vibration_raw: DataF
     from ..ml import models as ML
     ensure_checkpoint_dir(spark)
     pre = AL.preprocess(readings)
-    forest = iforest.fit(pre, trees=forest_trees)
-    scored = cut_lineage(forest.transform(pre).drop("if_label"))
+    forest, flagged = iforest.fit_transform(pre, trees=forest_trees)
+    scored = cut_lineage(flagged.drop("if_label"))
     rul = ML.fit_rul(scored, iters=gbt_iters)
     fault = ML.fit_fault(scored.drop("fault_code_enc", "hmi_alert_code_enc"), trees=rf_trees)
     log = AL.alert_log(scored, sort=False)

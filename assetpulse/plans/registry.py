@@ -476,8 +476,8 @@ def q_isolation_forest(spark, sf):
     """M5 + M6: distributed isolation forest, 200 trees, 8 % contamination."""
     from ..ml import iforest
     t = FX.telemetry(spark, sf)
-    model = iforest.fit(t)
-    return model.transform(t).select("reading_id", "if_score", "if_label", "if_flag")
+    _, scored = iforest.fit_transform(t)
+    return scored.select("reading_id", "if_score", "if_label", "if_flag")
 
 
 @query("anomaly_eval_forest")
@@ -485,7 +485,7 @@ def q_anomaly_eval_forest(spark, sf):
     """A11 on the forest flags."""
     from ..ml import iforest
     t = FX.telemetry(spark, sf)
-    return M.anomaly_eval(iforest.fit(t).transform(t), "if_flag")
+    return M.anomaly_eval(iforest.fit_transform(t)[1], "if_flag")
 
 
 @query("rul_model_eval")

@@ -78,3 +78,12 @@ def test_fault_classifier_accuracy_and_labels(spark, readings):
     assert cm.count() == len({r[0] for r in cm.select("actual").distinct().collect()}) ** 2
     conf = res.predictions.agg(F.min("confidence"), F.max("confidence")).first()
     assert 0 < conf[0] <= conf[1] <= 1
+
+
+def test_fit_transform_equals_fit_then_transform(readings):
+    model, out = iforest.fit_transform(readings, trees=50, seed=7)
+    again = iforest.fit(readings, trees=50, seed=7)
+    assert again.offset == model.offset
+    a = out.select("reading_id", "if_flag").orderBy("reading_id").toPandas()
+    b = again.transform(readings).select("reading_id", "if_flag").orderBy("reading_id").toPandas()
+    assert (a.if_flag.values == b.if_flag.values).all()
