@@ -116,3 +116,15 @@ def test_time_split_approx_close_to_exact(telemetry):
     assert abs(share - 0.2) < 0.01
     assert out.where("not is_test").agg(F.max("event_time")).first()[0] < \
         out.where("is_test").agg(F.min("event_time")).first()[0]
+
+
+def test_halo_groups_are_bounded_under_skew(skewed):
+    pdf, df = skewed  # one asset holds ~60 % of the rows
+    w, bucket = 30, 64
+    both = O._halo(df, ["t", "rid"], "asset", w, bucket)
+    sizes = both.groupBy("_bucket", "asset").count().toPandas()
+    assert sizes["count"].max() <= bucket + w - 1
+    hot = int((pdf.asset == "HOT").sum())
+    assert hot > bucket  # the hot asset really is split over several groups
+    own = both.where("not _halo")
+    assert own.count() == len(pdf) and own.select("rid").distinct().count() == len(pdf)
