@@ -50,13 +50,7 @@ def run_batch_job(spark: SparkSession, readings: DataFrame, vibration_raw: DataF
     log = AL.alert_log(scored, sort=False)
     vib = vibration_features(vibration_raw)
     acc, report, cm = ML.fault_metrics(fault.predictions)
-    rul_m = rul.metrics.first()
-    comparison = M.comparison(spark, [
-        {"model": "GBTRegressor", "task": "RUL Prediction", "metric": "MAE", "value": round(rul_m.mae, 2),
-         "r2": round(rul_m.r2, 4), "rmse": round(rul_m.rmse, 2), "train_time_s": round(rul.train_time_s, 2)},
-        {"model": "RandomForestClassifier", "task": "Fault Classification", "metric": "Accuracy",
-         "value": round(acc.first()[0] * 100, 2), "train_time_s": round(fault.train_time_s, 2)},
-    ])
+    comparison = model_comparison(spark, rul, fault)
     summary = RU.asset_summary(scored, flag_col="if_flag")
     scatter = O.first_n(rul.predictions.select("row_idx", "rul_days", "rul_pred"), ["row_idx"], 200).select(
         F.round("rul_days", 1).alias("actual"), F.round("rul_pred", 1).alias("predicted"), "row_idx")
@@ -87,6 +81,19 @@ BOUNDED_SECTIONS = ["block_summary", "location_summary", "alerts", "model_compar
                     "failure_distribution", "maintenance_distribution", "kpi", "alert_summary"]
 
 
+def model_comparison(spark: SparkSession, rul, fault) -> DataFrame:
+    """One row per trained model (metric values rounded as displayed)."""
+    from ..ml import models as ML
+    rul_m = rul.metrics.first()
+    acc = ML.fault_metrics(fault.predictions)[0].first()[0]
+    return M.comparison(spark, [
+        {"model": "GBTRegressor", "task": "RUL Prediction", "metric": "MAE", "value": round(rul_m.mae, 2),
+         "r2": round(rul_m.r2, 4), "rmse": round(rul_m.rmse, 2), "train_time_s": round(rul.train_time_s, 2)},
+        {"model": "RandomForestClassifier", "task": "Fault Classification", "metric": "Accuracy",
+         "value": round(acc * 100, 2), "train_time_s": round(fault.train_time_s, 2)},
+    ])
+
+
 def save_sections(result: BatchResult, root: str) -> None:
     """K2: each section as JSON lines under ``root/<section>``, plus one JSON
     document row holding every bounded section (``root/document``)."""

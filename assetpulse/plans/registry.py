@@ -602,11 +602,11 @@ def q_dashboard_sections(spark, sf):
 
 @query("model_comparison")
 def q_model_comparison(spark, sf):
-    """One row per trained model."""
-    from .dashboard import run_batch_job
-    res = run_batch_job(spark, model_input(spark, sf), FX.vibration_raw(spark, sf),
-                       gbt_iters=QUERY_GBT_ITERS, rf_trees=QUERY_RF_TREES, forest_trees=100)
-    return res.sections["model_comparison"]
+    """One row per trained model (boosted RUL, forest classifier)."""
+    from ..ml import models as ML
+    from .dashboard import model_comparison
+    inp = model_input(spark, sf)
+    return model_comparison(spark, ML.fit_rul(inp, iters=QUERY_GBT_ITERS), ML.fit_fault(inp, trees=QUERY_RF_TREES))
 
 
 @query("window_rul_eval")
