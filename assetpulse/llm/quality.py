@@ -118,8 +118,11 @@ class QualityModel:
 
     weights: np.ndarray
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``score``: the probability of label 1. Null and empty texts get the bias' score."""
+    def score(self, docs: DataFrame, name: str = "score") -> DataFrame:
+        """``docs`` with ``name`` (replacing a column of that name): the probability of label 1.
+
+        Null and empty texts get the bias' score. Other columns come along. An empty table gives no rows.
+        """
         shared = docs.sparkSession.sparkContext.broadcast(self.weights.astype(np.float32))
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,13 +132,13 @@ class QualityModel:
                 for first, texts in textscan.slices(part["text"]):
                     owner, f, v = features(texts)
                     score[first : first + len(texts)] = np.bincount(owner, w[f] * v, len(texts)) + w[-1]
-                part["score"] = _sigmoid(score)
+                part[name] = _sigmoid(score)
                 yield part
 
-        names = [c for c in docs.columns if c != "score"]
+        names = [c for c in docs.columns if c != name]
         base = docs.select(*names).withColumn("text", F.col("text").cast("string"))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-        return base.mapInPandas(run, f"{schema}, score double")
+        return base.mapInPandas(run, f"{schema}, `{name}` double")
 
 
 def _learner(part: pd.DataFrame) -> pd.DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetpulse.llm import near_dedup, packing, quality, sharding, token_files, warc
+from assetpulse.llm import decontamination, language_model, near_dedup, packing, quality, sharding, token_files, vector_dedup, warc
 from assetpulse.llm.shared import table
 from assetpulse.llm.tokens import vocabulary
 
@@ -40,10 +40,22 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op4_warc, op5_token_files, op6_sharding,
-                                   op8_minhash_near_dedup)}
+                                   op7_vector_dedup, op8_minhash_near_dedup, op9_decontamination, op10_lm_scoring)}
 SQL: dict[str, str] = {}
