@@ -8,7 +8,7 @@ values are scaled to unit length, so that a score is one sparse dot product.
 
 Learning is online FTRL-proximal. ``TRAIN_ROWS`` bounds the labelled rows that a
 model is fitted on (those with the smallest hash of their id); they are dealt
-into ``SHARDS`` learners that run side by side, and their weights are averaged.
+into learners of ``PER_LEARNER`` rows that run side by side, and their weights are averaged.
 The model is ``2**BITS`` weights whatever the corpus: a bounded broadcast.
 """
 
@@ -26,8 +26,8 @@ from assetpulse.llm import textscan
 
 BITS = 18
 TRAIN_ROWS = 18_000
-SHARDS = 6
-EPOCHS = 2
+PER_LEARNER = 3_000
+EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.005, 0.02
 THRESHOLD = 0.7
 
@@ -155,9 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityMo
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("double").alias("label"))
     known = known.dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)  # at most ``rows`` pairs of numbers
+    learners = max(1, known.count() // PER_LEARNER)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = texts.join(F.broadcast(known), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int"))
-    learnt = dealt.groupBy("shard").applyInPandas(_learner, "shard int, rows long, weights binary").collect()  # SHARDS rows
+    dealt = texts.join(F.broadcast(known), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(learners)).cast("int"))
+    learnt = dealt.groupBy("shard").applyInPandas(_learner, "shard int, rows long, weights binary").collect()  # a row for each learner
     if not learnt:
         return QualityModel(np.zeros((1 << BITS) + 1))
     share = np.array([r["rows"] for r in learnt], float)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetpulse.llm import decontamination, language_model, near_dedup, packing, quality, sharding, token_files, vector_dedup, warc
+from assetpulse.llm import chat, decontamination, language_model, near_dedup, packing, quality, sharding, token_files, vector_dedup, warc
+from assetpulse.llm.oracle_sql import SQL
 from assetpulse.llm.shared import table
 from assetpulse.llm.tokens import vocabulary
 
@@ -25,6 +26,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, vocabulary("byte_bpe_50k.json"), END_ID))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -56,6 +61,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op4_warc, op5_token_files, op6_sharding,
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_chat_formatting, op4_warc, op5_token_files, op6_sharding,
                                    op7_vector_dedup, op8_minhash_near_dedup, op9_decontamination, op10_lm_scoring)}
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]
