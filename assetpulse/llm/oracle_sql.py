@@ -1,12 +1,12 @@
 """DuckDB SQL of the queries that SQL can express on whole tables."""
 
 _WORDS = ("list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
-          "'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '')")
+          "'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')")
 
 
 def _shingles(table: str, key: str) -> str:
     return f"""
-    SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> w[i:i+4])
+    SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: w[i:i+4])
                                        WHEN len(w) > 0 THEN [w] ELSE [] END) AS s
     FROM (SELECT {key}, {_WORDS} AS w FROM {table})"""
 
@@ -34,10 +34,10 @@ SQL = {
     WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
     d AS (SELECT page_id, html, max(page_id) OVER (PARTITION BY html) AS last FROM p),
     b AS (SELECT *, list_aggregate(list_transform(string_split(sha1(html), ''),
-             c -> substr('0000000100100011010001010110011110001001101010111100110111101111', strpos('0123456789abcdef', c) * 4 - 3, 4)),
+             lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', strpos('0123456789abcdef', c) * 4 - 3, 4)),
              'string_agg', '') AS bits FROM d)
     SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
-           list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
              (16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
               + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT + 1)::BIGINT, 1)), 'string_agg', '') AS payload_digest,
            CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
@@ -45,8 +45,8 @@ SQL = {
     FROM b""",
     "op7_vector_dedup": f"""
     WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-    ok AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0
-             AND len(list_filter(v, x -> x <> 0)) > 0),
+    ok AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(v, lambda x: x <> 0)) > 0),
     links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id < b.vec_id
               AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
     {_components("SELECT vec_id AS id FROM e", "links")},
@@ -56,8 +56,8 @@ SQL = {
     "op8_minhash_near_dedup": f"""
     WITH RECURSIVE sh AS ({_shingles("documents", "doc_id")}),
     n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-    both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-    links AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
     {_components("SELECT doc_id AS id FROM documents", "links")}
     SELECT c.id AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, c.id = c.component_id AS kept
     FROM comp c LEFT JOIN n ON n.doc_id = c.id""",
