@@ -1,17 +1,17 @@
 """Table-level statistics applied back to each row.
 
 Statistics are computed by one global aggregate (partial per partition, one
-tiny final merge) into a one-row table; it is joined back with a broadcast
-cross join, which is size-proven (exactly one row). No unpartitioned window.
+tiny final merge) into a one-row table, whose few numbers enter later
+expressions as literals. No unpartitioned window.
 """
 
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import row_index
+from ..session import cut_lineage
 
 
 def one_row_stats(df: DataFrame, aggs: dict) -> DataFrame:
@@ -19,11 +19,6 @@ def one_row_stats(df: DataFrame, aggs: dict) -> DataFrame:
     return df.agg(*[a.alias(k) for k, a in aggs.items()])
 
 
-def attach(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Broadcast a one-row statistics table onto every row (lazy form)."""
-    return df.crossJoin(F.broadcast(stats))
-
-
 def values(stats: DataFrame) -> dict:
     """Compute a one-row statistics table once; its few numbers become
     literals in later expressions (constant-folded into codegen, and the
@@ -41,99 +36,55 @@ def _qname(col: str, q: float) -> str:
     return f"{col}_q{int(round(q * 1000)):03d}"
 
 
-# Row cap under which the one-pass exact aggregate is used by method='auto':
-# its final merge holds at most this many values per column in one task.
-EXACT_AGG_MAX_ROWS = 1_000_000
-
-
-def quantiles(df: DataFrame, spec: dict[str, list[float]], method: str = "auto",
-              accuracy: int = 100000, max_agg_rows: int = EXACT_AGG_MAX_ROWS) -> DataFrame:
+def quantiles(df: DataFrame, spec: dict[str, list[float]], method: str = "exact",
+              accuracy: int = 100000) -> DataFrame:
     """A10: one-row table of linear-interpolated quantiles ``<col>_q<permille>``.
 
-    method='sort'   exact; distributed sort of the (column, value) pairs with a
-                    range-partitioned global index; scales with the data.
-    method='exact'  Spark's ``percentile`` aggregate; exact, but its final
-                    merge holds every distinct value in one task (small tables).
-    method='auto'   exact, one bounded job first: the values of at most
-                    ``max_agg_rows + 1`` rows are sorted per column; if the table
-                    fits, the order statistics come from there, else 'sort'.
+    method='exact'  one path at every size: equal values are counted first (with
+                    map-side combine, so a value that holds most rows is one row
+                    afterwards), the distinct values are range-partitioned, and
+                    the needed ranks are found in their running counts.
+                    'sort' and 'auto' are other names of the same path.
     method='approx' ``percentile_approx`` (rank error 1/accuracy), one pass.
+
+    Null and NaN values are skipped, as in pandas; a column without values gives null.
     """
-    if method == "auto":
-        # One bounded job: sort the values of at most cap + 1 rows. If the
-        # table fits under the cap, these are all its values; otherwise use the
-        # distributed sort.
-        capped = df.limit(max_agg_rows + 1)
-        row = _order_stat_quantiles(capped, spec, with_count=True).first()
-        if row["_rows"] <= max_agg_rows:
-            return df.sparkSession.createDataFrame([tuple(row[c] for c in row.__fields__ if c != "_rows")],
-                                                   ", ".join(f"{c} double" for c in row.__fields__ if c != "_rows"))
-        method = "sort"
-    if method == "exact":
-        return df.agg(*[F.percentile(F.col(c), F.lit(q)).alias(_qname(c, q))
-                        for c, qs in spec.items() for q in qs])
     if method == "approx":
         return df.agg(*[F.percentile_approx(F.col(c), F.lit(q), F.lit(accuracy)).cast("double").alias(_qname(c, q))
                         for c, qs in spec.items() for q in qs])
-    if method != "sort":
+    if method not in ("exact", "sort", "auto"):
         raise ValueError(f"unknown quantile method {method}")
-    return _sorted_quantiles(df, spec)
-
-
-def _order_stat_quantiles(df: DataFrame, spec: dict[str, list[float]], with_count: bool = False) -> DataFrame:
-    """Exact quantiles of a table proven small (by the caller's bounded
-    count): one aggregate sorts each column's non-null values into an array
-    (at most ``EXACT_AGG_MAX_ROWS`` entries), then the order statistics at
-    floor/ceil of (n - 1) * q are picked and interpolated lo + (hi - lo) * frac
-    — the same arithmetic as the distributed sort path."""
-    cols = list(spec)
-    clean = _nan_free(df, cols)
-    arrays = clean.agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in cols],
-                       F.count(F.lit(1)).alias("_rows"))
-    out = [F.col("_rows")] if with_count else []
-    for c in cols:
-        arr = F.col(c)
-        n = F.size(arr)
-        for q in spec[c]:
-            pos = F.lit(q) * (n - 1).cast("double")
-            lo = F.floor(pos)
-            vlo = F.element_at(arr, (lo + 1).cast("int"))
-            vhi = F.element_at(arr, (F.ceil(pos) + 1).cast("int"))
-            out.append(F.when(n > 0, vlo + (vhi - vlo) * (pos - lo)).cast("double").alias(_qname(c, q)))
-    return arrays.select(*out)
-
-
-def _nan_free(df: DataFrame, cols: list[str]) -> DataFrame:
-    """NaN -> null on the quantile columns (nulls are skipped, as in pandas)."""
-    return df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
+    return _counted_quantiles(df, spec)
 
 
-def _sorted_quantiles(df: DataFrame, spec: dict[str, list[float]]) -> DataFrame:
+def _counted_quantiles(df: DataFrame, spec: dict[str, list[float]]) -> DataFrame:
     cols = list(spec)
     spark = df.sparkSession
     pairs = (df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("p"))
         .select("p.name", "p.v")
         .where(F.col("v").isNotNull() & ~F.isnan("v")))
-    ranked = row_index(pairs, ["name", "v"], "_g")
-    # Per column: first global index and count (one row per column).
-    bounds = ranked.groupBy("name").agg(F.min("_g").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    counted = pairs.groupBy("name", "v").agg(F.count(F.lit(1)).alias("_c"))
+    # Ranges of distinct values, fixed by the checkpoint; a running count inside each.
+    ranged = cut_lineage(counted.repartitionByRange("name", "v").withColumn("_pid", F.spark_partition_id()))
+    inside = Window.partitionBy("_pid", "name").orderBy("v")
+    ranged = ranged.withColumn("_end", F.sum("_c").over(inside))
+    # One row per (range, column): where the range begins in the column's order.
+    per = ranged.groupBy("name", "_pid").agg(F.sum("_c").alias("_n"))
+    by_name = Window.partitionBy("name")
+    offsets = per.select("name", "_pid", F.sum("_n").over(by_name).alias("_total"),
+                         (F.sum("_n").over(by_name.orderBy("_pid")) - F.col("_n")).alias("_off"))
     wanted = spark.createDataFrame([(c, float(q)) for c in cols for q in spec[c]], "name string, q double")
-    pos = (wanted.join(F.broadcast(bounds), "name")
-           .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
-           .withColumn("_lo", F.floor("_pos").cast("long"))
-           .withColumn("_hi", F.ceil("_pos").cast("long")))
-    # The 2 * (#quantiles) ranks that are needed: a bounded table, broadcast.
-    need = (pos.select("name", (F.col("_start") + F.col("_lo")).alias("_g"))
-            .unionByName(pos.select("name", (F.col("_start") + F.col("_hi")).alias("_g"))).distinct())
-    picked = ranked.join(F.broadcast(need), ["name", "_g"]).select("name", "_g", "v")
-    lo = picked.select("name", F.col("_g").alias("_glo"), F.col("v").alias("_vlo"))
-    hi = picked.select("name", F.col("_g").alias("_ghi"), F.col("v").alias("_vhi"))
-    vals = (pos.withColumn("_glo", F.col("_start") + F.col("_lo"))
-            .withColumn("_ghi", F.col("_start") + F.col("_hi"))
-            .join(lo, ["name", "_glo"]).join(hi, ["name", "_ghi"])
-            .select("name", "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo"))
-                                  * (F.col("_pos") - F.col("_lo"))).alias("value")))
+    pos = (wanted.join(offsets.select("name", "_total").distinct(), "name")
+           .withColumn("_pos", F.col("q") * (F.col("_total") - 1)))
+    rank = pos.select("name", "q", "_pos", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))).alias("_rank")).distinct()
+    placed = ranged.join(F.broadcast(offsets), ["name", "_pid"]).select(
+        "name", "v", (F.col("_off") + F.col("_end") - F.col("_c")).alias("_lo"), (F.col("_off") + F.col("_end")).alias("_hi"))
+    # Two ranks for each asked quantile: a constant table.
+    hit = placed.join(F.broadcast(rank), "name").where((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
+    vals = hit.groupBy("name", "q").agg(F.min("v").alias("_vlo"), F.max("v").alias("_vhi"), F.first("_pos").alias("_pos"))
+    vals = vals.select("name", "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo"))
+                                     * (F.col("_pos") - F.floor("_pos"))).alias("value"))
     key = F.concat(F.col("name"), F.lit("_q"), F.lpad(F.round(F.col("q") * 1000).cast("int").cast("string"), 3, "0"))
     names = [_qname(c, q) for c in cols for q in spec[c]]
     return vals.withColumn("_k", key).groupBy().pivot("_k", names).agg(F.first("value"))
@@ -162,5 +113,5 @@ def mean_sd_stats(df: DataFrame, col: str, sample: bool = True) -> DataFrame:
     return one_row_stats(df, {f"{col}_mean": F.avg(col), f"{col}_sd": sd})
 
 
-__all__ = ["one_row_stats", "attach", "values", "attach_values", "quantiles", "quantile_lookup",
+__all__ = ["one_row_stats", "values", "attach_values", "quantiles", "quantile_lookup",
            "minmax_stats", "mean_sd_stats"]

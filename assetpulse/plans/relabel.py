@@ -19,7 +19,7 @@ from ..sources.fixtures import with_fault_labels
 
 
 def relabel(df: DataFrame, noise: bool = False, seed: int = 42,
-            quantile_method: str = "auto") -> DataFrame:
+            quantile_method: str = "exact") -> DataFrame:
     """Replace fault_code, maintenance_action, rul_days and failure_prob.
 
     The blend uses the *original* failure probability; the RUL uses the

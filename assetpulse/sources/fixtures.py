@@ -77,7 +77,7 @@ def cascade_spec(rules=C.FAULT_CASCADE) -> dict[str, list[float]]:
     return spec
 
 
-def with_fault_labels(df: DataFrame, quantile_method: str = "auto",
+def with_fault_labels(df: DataFrame, quantile_method: str = "exact",
                       stats: dict | None = None) -> DataFrame:
     """F12 + J2: fault code from the quantile cascade, then its maintenance action.
 
@@ -94,7 +94,7 @@ def with_fault_labels(df: DataFrame, quantile_method: str = "auto",
     return labelled.join(F.broadcast(actions), "fault_code", "left")
 
 
-def telemetry(spark: SparkSession, sf_dir: str, quantile_method: str = "auto") -> DataFrame:
+def telemetry(spark: SparkSession, sf_dir: str, quantile_method: str = "exact") -> DataFrame:
     """The readings table (27 columns) used by every telemetry query."""
     base = base_readings(spark, sf_dir)
     out = with_fault_labels(base, quantile_method)
