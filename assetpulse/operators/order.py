@@ -141,7 +141,8 @@ def hash_unit(key: Column, salt: str = "split") -> Column:
 def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2,
                      salt: str = "split") -> DataFrame:
     """Per class, a row is test when its hashed key ranks among the first
-    round(test * class size) rows of the class (exact share per class).
+    round(test * class size) rows of the class (exact share per class). Rows
+    without a label are a class of their own.
 
     Ranks come from the global row index over (label, hash, key) minus the
     class's first index, so a class holding a third of the table is still
@@ -152,9 +153,9 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2,
     first = idx.groupBy(label).agg(F.min("_gidx").alias("_first"), F.count(F.lit(1)).alias("_n"))
     # One row per class (a label column is categorical): broadcast, so a hot
     # class is never gathered by a shuffle join on the class key.
-    return (idx.join(F.broadcast(first), label)
+    return (idx.join(F.broadcast(first.withColumnRenamed(label, "_class")), F.col(label).eqNullSafe(F.col("_class")))
             .withColumn("is_test", (F.col("_gidx") - F.col("_first")) < F.round(F.col("_n") * F.lit(test)))
-            .drop("_u", "_gidx", "_first", "_n"))
+            .drop("_u", "_gidx", "_first", "_n", "_class"))
 
 
 def stratified_split_approx(df: DataFrame, key: str, test: float = 0.2, salt: str = "split") -> DataFrame:
@@ -169,7 +170,7 @@ def preceding_stats(df: DataFrame, cols: list[str], order: list, by: str | None
     column over those n rows — native window aggregates over the halo frame
     (codegen, no arrays). The slope uses sums over the frame:
     sum((i - mid) * (x - mean)) = sum(j * x) - (r - n) * sum(x) - mid * sum(x),
-    with j the row's position in the ordered table (contiguous per asset).
+    with j the row's position in its bucket (contiguous per asset).
     """
     both = _halo(df, order, by, n + 1, bucket_rows)
     part = ["_bucket"] + ([by] if by else [])
@@ -178,7 +179,8 @@ def preceding_stats(df: DataFrame, cols: list[str], order: list, by: str | None
     mid = (n - 1) / 2.0
     denom = sum((i - mid) ** 2 for i in range(n))
     out = both.withColumn("_cnt", F.count(F.lit(1)).over(frame))
-    idx = F.col("_idx").cast("double")
+    # Counted from the bucket's start: small numbers, so that the sums do not cancel.
+    idx = (F.col("_idx") - F.col("_bucket") * F.lit(bucket_rows)).cast("double")
     exprs = {}
     for c in cols:
         x = F.col(c).cast("double")

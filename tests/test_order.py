@@ -128,3 +128,28 @@ def test_halo_groups_are_bounded_under_skew(skewed):
     assert hot > bucket  # the hot asset really is split over several groups
     own = both.where("not _halo")
     assert own.count() == len(pdf) and own.select("rid").distinct().count() == len(pdf)
+
+
+def test_quantiles_of_a_hot_value_with_nulls_and_nans(spark):
+    rng = np.random.default_rng(3)
+    v = np.where(rng.random(4000) < 0.9, 0.0, rng.normal(size=4000))
+    rows = [(float(x), None if i % 7 == 0 else (float("nan") if i % 11 == 0 else float(x))) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(7)
+    row = S.quantiles(df, {"a": [0.02, 0.5, 0.99], "b": [0.05, 0.97]}).first().asDict()
+    b = np.array([x for _, x in rows if x is not None and x == x])
+    for name, data, q in [("a_q020", v, 0.02), ("a_q500", v, 0.5), ("a_q990", v, 0.99), ("b_q050", b, 0.05), ("b_q970", b, 0.97)]:
+        assert row[name] == pytest.approx(np.quantile(data, q), abs=1e-12)
+
+
+def test_stratified_split_keeps_rows_without_class(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else f"c{i % 3}") for i in range(100)], "rid long, label string")
+    out = O.stratified_split(df, "label", "rid", 0.2)
+    assert out.count() == 100 and out.where("label is null and is_test").count() == 5
+
+
+def test_slope_does_not_depend_on_the_position(spark):
+    df = spark.createDataFrame([(i, float((i * 37) % 11)) for i in range(300)], "rid long, v double")
+    got = {r.rid: r.v_slope for r in O.preceding_stats(df, ["v"], ["rid"], by=None, n=30, bucket_rows=40).collect()}
+    for rid, slope in got.items():
+        win = [(k * 37) % 11 for k in range(rid - 30, rid)]
+        assert slope == pytest.approx(np.polyfit(np.arange(30), win, 1)[0], abs=1e-9)
