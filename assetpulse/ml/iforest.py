@@ -164,15 +164,7 @@ class IsolationForestModel:
         return score
 
     def raw_scores(self, df: DataFrame) -> DataFrame:
-        """Adds ``if_raw`` (the negated anomaly score).
-
-        Scoring is CPU work in Python workers: when the input arrives in fewer
-        partitions than the cluster has cores (a few large files), the rows
-        are spread round-robin first; a large input keeps its partitioning.
-        """
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
+        """Adds ``if_raw`` (the negated anomaly score)."""
         scaled = FE.apply_scaler(df, self.scaler, suffix="__s")
         schema = T.StructType([f for f in scaled.schema.fields if not f.name.endswith("__s")]
                               + [T.StructField("if_raw", T.DoubleType())])
@@ -220,9 +212,10 @@ def fit(df: DataFrame, features: list[str] | None = None, trees: int = C.IFOREST
     psi = int(min(sample_size, n))
     scaler = FE.fit_standard(base, feats)
     scaled = FE.apply_scaler(base, scaler)
-    # Pre-sample: bounded rows (about oversample * trees * psi), seeded.
+    # Pre-sample: bounded rows (about oversample * trees * psi), by a hash of the
+    # id, so the model does not depend on how the table is laid out.
     frac = min(1.0, oversample * trees * psi / max(n, 1))
-    pre = scaled.sample(False, frac, seed) if frac < 1.0 else scaled
+    pre = scaled.where(_hash01(F.col(id_col), F.lit(-1), seed) < F.lit(frac))
     m = max(1, int(min(n, oversample * trees * psi)))
     share = min(1.0, oversample * psi / m)
     tree_col = F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),

@@ -23,15 +23,13 @@ def anomaly_eval(df: DataFrame, flag_col: str = "if_flag", prob_col: str = "fail
 
 
 def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
-    """MAE, RMSE, R². The mean of y is computed first (one aggregate) and
-    enters as a literal, so the total sum of squares is summed as squared
-    deviations (numerically stable)."""
+    """MAE, RMSE, R² in one pass; the total sum of squares is n times the
+    population variance (merged by deviations, so numerically stable)."""
     err = F.col(p) - F.col(y)
-    ybar = df.agg(F.avg(y)).first()[0]
-    dev = F.col(y) - F.lit(ybar).cast("double")
     agg = df.agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.abs(err)).alias("sae"),
-        F.sum(err * err).alias("sse"), F.sum(dev * dev).alias("sst"))
+        F.sum(err * err).alias("sse"),
+        (F.count(y) * F.var_pop(y)).alias("sst"))
     sst = F.col("sst")
     return agg.select((F.col("sae") / F.col("n")).alias("mae"),
                       F.sqrt(F.col("sse") / F.col("n")).alias("rmse"),
@@ -42,7 +40,7 @@ def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
     """Long-form confusion matrix, dense over the union of labels."""
     counts = df.groupBy(F.col(y).alias("actual"), F.col(p).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
-    labels = df.select(F.col(y).alias("l")).union(df.select(F.col(p).alias("l"))).distinct()
+    labels = counts.select(F.explode(F.array("actual", "predicted")).alias("l")).distinct()
     # Every (actual, predicted) label pair: built from the label set (bounded
     # by the class count) by exploding it twice, not from the rows.
     arr = labels.agg(F.collect_list("l").alias("ls"))
