@@ -40,9 +40,9 @@ from assetpulse.llm.shared import materialise
 
 #: A word is frequent from this share of the training tokens on.
 FREQUENT = 2.0**-17
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 #: Tokens for each of the tasks that count, seat and score.
-TASK_TOKENS = 1 << 22
+TASK_TOKENS = 1 << 20
 SWEEPS = 2
 SAMPLES = 4
 STRENGTH, ROOT_STRENGTH = 1.0, 10.0
