@@ -42,7 +42,7 @@ from assetpulse.llm.shared import materialise
 FREQUENT = 2.0**-17
 CHUNK_TOKENS = 1 << 20
 #: Tokens for each of the tasks that count, seat and score.
-TASK_TOKENS = 1 << 20
+TASK_TOKENS = 3 << 19
 SWEEPS = 2
 SAMPLES = 4
 STRENGTH, ROOT_STRENGTH = 1.0, 10.0
@@ -58,6 +58,11 @@ def _zip(x) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in their smallest type."""
+    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
+
+
 def _unzip(raw: bytes):
     import zstandard
 
@@ -136,10 +141,11 @@ class _Task:
     @staticmethod
     def build(blobs: list[dict], frequent: int) -> dict:
         """Distinct pairs with training counts, and each occurrence's pair."""
-        cat = lambda k, d: np.concatenate([b[k] for b in blobs]) if blobs else np.empty(0, d)
-        word, ctx, doc, times = cat("word", _U), cat("ctx", np.int32), cat("doc", np.uint32), cat("times", np.uint32)
-        learn = cat("learn", bool)
-        chunk = np.repeat(np.arange(len(blobs), dtype=np.int32), [len(b["word"]) for b in blobs])
+        cat = lambda parts, kind: np.concatenate([x.astype(kind, copy=False) for x in parts])
+        word = cat([np.repeat(b["words"], b["runs"]) for b in blobs], _U)
+        ctx, doc, times = (cat([b[k] for b in blobs], kind) for k, kind in (("ctx", np.int32), ("doc", np.uint32), ("times", np.uint32)))
+        learn = cat([np.unpackbits(b["learn"], count=len(b["doc"])) for b in blobs], bool)
+        chunk = np.repeat(np.arange(len(blobs), dtype=np.int32), [len(b["doc"]) for b in blobs])
         order = np.lexsort((ctx, word))
         w, x = word[order], ctx[order]
         new = np.concatenate(([True], (w[1:] != w[:-1]) | (x[1:] != x[:-1]))) if len(w) else np.empty(0, bool)
@@ -245,8 +251,12 @@ def _deal_pairs(read: DataFrame, names: np.ndarray, tasks: int) -> DataFrame:
             learn = ~rows["held_out"].to_numpy(bool)
             cut = np.searchsorted(p, np.arange(tasks + 1))
             chunk = place + k
-            out = [(t, chunk, 0, _zip({"chunk": chunk, "word": w[a:b], "ctx": x[a:b], "doc": d[a:b], "times": times[a:b], "learn": learn[d[a:b]]}))
-                   for t, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            out = []
+            for t, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                if b > a:  # each word once, with the length of its run
+                    run = np.flatnonzero(np.concatenate(([True], w[a + 1 : b] != w[a : b - 1], [True])))
+                    out.append((t, chunk, 0, _zip({"chunk": chunk, "words": w[a:b][run[:-1]], "runs": _small(np.diff(run)), "ctx": _small(x[a:b]),
+                                                   "doc": _small(d[a:b]), "times": _small(times[a:b]), "learn": np.packbits(learn[d[a:b]])})))
             ids = [None if pd.isna(i) else int(i) for i in rows["doc_id"]]
             tokens = np.bincount(doc, minlength=len(rows))
             out.append((chunk % tasks, chunk, 1, _zip((ids, ~learn, tokens))))
@@ -360,14 +370,16 @@ def score(docs: DataFrame, held_out=None, sweeps: int = SWEEPS, samples: int = S
                     pair, times = task.pair[a:b], task.times[a:b].astype(float)
                     docs, at = np.unique(task.doc[a:b], return_inverse=True)
                     sums = [np.bincount(at, times * x, len(docs)) for x in (c[pair] > 0, base[pair], logp[pair])]
-                    yield pd.DataFrame({"chunk": [chunk], "kind": [0], "blob": [_zip((docs, *sums))]})
+                    # The score's partial sums are rounded to 32 bits: a few millionths for each task and document.
+                    small = (_small(docs), _small(sums[0].astype(np.int64)), sums[1], sums[2].astype(np.float32))
+                    yield pd.DataFrame({"chunk": [chunk], "kind": [0], "blob": [_zip(small)]})
 
     def by_document(part: pd.DataFrame) -> pd.DataFrame:
         ids, held, tokens = _unzip(part.loc[part["kind"] == 1, "blob"].iloc[0])
         sums = np.zeros((3, len(ids)))
         for blob in part.loc[part["kind"] == 0, "blob"]:
             docs, *more = _unzip(blob)
-            sums[:, docs] += np.array(more)
+            sums[:, docs] += np.array(more, np.float64)
         return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": tokens, "n_known": sums[0].astype(np.int64),
                              "base_score": sums[1], "score": sums[2]})
 
