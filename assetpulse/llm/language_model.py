@@ -40,9 +40,11 @@ from assetpulse.llm.shared import materialise
 
 #: A word is frequent from this share of the training tokens on.
 FREQUENT = 2.0**-17
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 3 << 18
 #: Tokens for each of the tasks that count, seat and score.
-TASK_TOKENS = 3 << 19
+TASK_TOKENS = 1 << 20
+#: Steps of the partial sums by task and document, 2 ** -bits: of the base score and of the model's.
+BASE_BITS, SCORE_BITS = 30, 20
 SWEEPS = 2
 SAMPLES = 4
 STRENGTH, ROOT_STRENGTH = 1.0, 10.0
@@ -53,20 +55,49 @@ _U = np.uint64
 
 
 def _zip(x) -> bytes:
+    """A tuple or dict of arrays, compressed. Wide whole numbers go as byte planes, which compress far better."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
-
+    def laid(v):
+        return _Planes(v) if isinstance(v, np.ndarray) and v.dtype.kind in "iu" and v.itemsize > 1 else v
 
-def _small(x: np.ndarray) -> np.ndarray:
-    """The same whole numbers in their smallest type."""
-    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
+    x = {k: laid(v) for k, v in x.items()} if isinstance(x, dict) else tuple(laid(v) for v in x)
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
 
 
 def _unzip(raw: bytes):
     import zstandard
 
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
+    x = pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
+    back = lambda v: v.array() if isinstance(v, _Planes) else v
+    return {k: back(v) for k, v in x.items()} if isinstance(x, dict) else tuple(back(v) for v in x)
+
+
+class _Planes:
+    """A whole-number array with all first bytes first, then all second bytes, and so on."""
+
+    def __init__(self, x: np.ndarray):
+        self.dtype, self.n = x.dtype.str, len(x)
+        self.bytes = np.ascontiguousarray(x).view(np.uint8).reshape(self.n, x.itemsize).T.tobytes()
+
+    def array(self) -> np.ndarray:
+        width = np.dtype(self.dtype).itemsize
+        return np.ascontiguousarray(np.frombuffer(self.bytes, np.uint8).reshape(width, self.n).T).view(self.dtype).reshape(-1)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, wrapping: small where the values rise slowly."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """The values that have these differences."""
+    return np.cumsum(x, dtype=x.dtype)
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in their smallest type."""
+    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
 
 
 def _chunks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]]:
@@ -81,7 +112,7 @@ def _chunks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndar
             owner = np.insert(doc, ends, np.arange(len(run)))
             before = np.concatenate(([END], word[:-1]))
             held.append((owner + docs, word, before))
-            rows.append(part.iloc[first : first + len(run)])
+            rows.append(part[["doc_id", "held_out"]].iloc[first : first + len(run)])
             docs, size = docs + len(run), size + len(word)
             if size >= CHUNK_TOKENS:
                 yield *(np.concatenate(x) for x in zip(*held, strict=True)), pd.concat(rows)
@@ -142,8 +173,9 @@ class _Task:
     def build(blobs: list[dict], frequent: int) -> dict:
         """Distinct pairs with training counts, and each occurrence's pair."""
         cat = lambda parts, kind: np.concatenate([x.astype(kind, copy=False) for x in parts])
-        word = cat([np.repeat(b["words"], b["runs"]) for b in blobs], _U)
-        ctx, doc, times = (cat([b[k] for b in blobs], kind) for k, kind in (("ctx", np.int32), ("doc", np.uint32), ("times", np.uint32)))
+        word = cat([np.repeat(_sums(b["words"]), b["runs"]) for b in blobs], _U)
+        ctx = cat([_sums(b["ctx"]) for b in blobs], np.int32)
+        doc, times = (cat([b[k] for b in blobs], np.uint32) for k in ("doc", "times"))
         learn = cat([np.unpackbits(b["learn"], count=len(b["doc"])) for b in blobs], bool)
         chunk = np.repeat(np.arange(len(blobs), dtype=np.int32), [len(b["doc"]) for b in blobs])
         order = np.lexsort((ctx, word))
@@ -255,7 +287,7 @@ def _deal_pairs(read: DataFrame, names: np.ndarray, tasks: int) -> DataFrame:
             for t, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if b > a:  # each word once, with the length of its run
                     run = np.flatnonzero(np.concatenate(([True], w[a + 1 : b] != w[a : b - 1], [True])))
-                    out.append((t, chunk, 0, _zip({"chunk": chunk, "words": w[a:b][run[:-1]], "runs": _small(np.diff(run)), "ctx": _small(x[a:b]),
+                    out.append((t, chunk, 0, _zip({"chunk": chunk, "words": _steps(w[a:b][run[:-1]]), "runs": _small(np.diff(run)), "ctx": _steps(x[a:b]),
                                                    "doc": _small(d[a:b]), "times": _small(times[a:b]), "learn": np.packbits(learn[d[a:b]])})))
             ids = [None if pd.isna(i) else int(i) for i in rows["doc_id"]]
             tokens = np.bincount(doc, minlength=len(rows))
@@ -370,16 +402,17 @@ def score(docs: DataFrame, held_out=None, sweeps: int = SWEEPS, samples: int = S
                     pair, times = task.pair[a:b], task.times[a:b].astype(float)
                     docs, at = np.unique(task.doc[a:b], return_inverse=True)
                     sums = [np.bincount(at, times * x, len(docs)) for x in (c[pair] > 0, base[pair], logp[pair])]
-                    # The score's partial sums are rounded to 32 bits: a few millionths for each task and document.
-                    small = (_small(docs), _small(sums[0].astype(np.int64)), sums[1], sums[2].astype(np.float32))
+                    # Partial sums are never positive; they go as whole steps, half a step off at most for each task and document.
+                    fixed = [_small(np.rint(-x * 2.0**bits).astype(np.int64)) for x, bits in ((sums[1], BASE_BITS), (sums[2], SCORE_BITS))]
+                    small = (_steps(docs), _small(sums[0].astype(np.int64)), *fixed)
                     yield pd.DataFrame({"chunk": [chunk], "kind": [0], "blob": [_zip(small)]})
 
     def by_document(part: pd.DataFrame) -> pd.DataFrame:
         ids, held, tokens = _unzip(part.loc[part["kind"] == 1, "blob"].iloc[0])
         sums = np.zeros((3, len(ids)))
         for blob in part.loc[part["kind"] == 0, "blob"]:
-            docs, *more = _unzip(blob)
-            sums[:, docs] += np.array(more, np.float64)
+            docs, known, base, model = _unzip(blob)
+            sums[:, _sums(docs)] += (known, base * -(2.0**-BASE_BITS), model * -(2.0**-SCORE_BITS))
         return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": tokens, "n_known": sums[0].astype(np.int64),
                              "base_score": sums[1], "score": sums[2]})
 
