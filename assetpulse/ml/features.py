@@ -72,6 +72,12 @@ class _Labels:
         self.labels = labels
 
 
+def encode_label(value: Column, labels: list[str]) -> Column:
+    """M1 on new rows: value -> code in the fitted label list; an unseen value gets the code after the last."""
+    at = F.array_position(F.array(*[F.lit(x) for x in labels]), F.coalesce(value.cast("string"), F.lit(NULL_LABEL)))
+    return F.when(at > 0, at - 1).otherwise(F.lit(len(labels))).cast("int")
+
+
 def decode_label(code: Column, labels: list[str]) -> Column:
     """M2: code -> label from the fitted label list (an element_at on a literal array)."""
     arr = F.array(*[F.lit(x) for x in labels])

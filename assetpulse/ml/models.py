@@ -8,8 +8,9 @@ and every metric is an aggregate over the scored test rows (A12-A15).
 
 from __future__ import annotations
 
+import json
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -46,6 +47,31 @@ class FaultResult:
     labels: list[str]           # code -> fault label (alphabetical)
     predictions: DataFrame      # test rows with predicted label
     train_time_s: float
+    hmi_labels: list[str] = field(default_factory=list)  # code -> HMI alert code (alphabetical)
+
+
+@dataclass
+class FaultModel:
+    """All that scoring raw readings needs: pipeline, trained feature order, both label lists."""
+
+    model: PipelineModel
+    features: list[str]
+    labels: list[str]
+    hmi_labels: list[str]
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """M10 on raw readings: HMI code encoded in the training order, absent features and nulls 0.0.
+
+        Returns the columns of ``df`` with the predicted label, confidence and text;
+        the features as the model saw them stay inside. No rows give no rows.
+        """
+        enc = "hmi_alert_code_enc"
+        src = df.withColumn("_raw", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+        if "hmi_alert_code" in df.columns:
+            src = src.withColumn(enc, FE.encode_label(F.col("hmi_alert_code"), self.hmi_labels))
+        out = label_predictions(self.model, FE.fill_features(src, self.features, ["_raw"]), self.labels)
+        made = ["pred_code", "predicted_fault", "confidence", "fault_text"]
+        return out.select(*[F.col(f"_raw.`{c}`") for c in df.columns if c not in made], *made)
 
 
 def fit_rul(df: DataFrame, features: list[str] | None = None, iters: int = C.RUL_GBT["iters"],
@@ -103,7 +129,7 @@ def fit_fault(df: DataFrame, features: list[str] | None = None, trees: int = C.F
     # Several metrics read the scored test rows: keep them once (recomputable
     # from lineage on executor loss; the split itself is checkpointed).
     pred = label_predictions(model, test_rows, labels).persist()
-    return FaultResult(model, feats, labels, pred, secs)
+    return FaultResult(model, feats, labels, pred, secs, list(models["hmi_alert_code"].labels))
 
 
 def label_predictions(model: PipelineModel, df: DataFrame, labels: list[str]) -> DataFrame:
@@ -119,9 +145,9 @@ def label_predictions(model: PipelineModel, df: DataFrame, labels: list[str]) ->
                .drop("_code", "_d", "_a", "raw_features", "features", "raw_prediction"))
 
 
-def predict_fault(model: PipelineModel, df: DataFrame, labels: list[str]) -> DataFrame:
-    """M10 on new rows (the HMI code must be encoded with the training order)."""
-    return label_predictions(model, df, labels)
+def predict_fault(fitted: FaultResult | FaultModel, df: DataFrame) -> DataFrame:
+    """M10 on raw readings."""
+    return FaultModel(fitted.model, fitted.features, fitted.labels, fitted.hmi_labels).predict(df)
 
 
 def fault_metrics(pred: DataFrame, label_col: str = "fault_code"):
@@ -146,3 +172,14 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def save_fault(spark: SparkSession, fitted: FaultResult | FaultModel, path: str) -> None:
+    """K3: the pipeline, and beside it one row with the feature order and both label lists."""
+    save_model(fitted.model, f"{path}/pipeline")
+    row = {"features": fitted.features, "labels": fitted.labels, "hmi_labels": fitted.hmi_labels}
+    spark.createDataFrame([(json.dumps(row),)], "bundle string").coalesce(1).write.mode("overwrite").text(f"{path}/bundle")
+
+
+def load_fault(spark: SparkSession, path: str) -> FaultModel:
+    return FaultModel(load_model(f"{path}/pipeline"), **json.loads(spark.read.text(f"{path}/bundle").first()[0]))

@@ -80,6 +80,23 @@ def test_fault_classifier_accuracy_and_labels(spark, readings):
     assert 0 < conf[0] <= conf[1] <= 1
 
 
+def test_saved_classifier_scores_raw_readings(spark, readings):
+    res = ML.fit_fault(relabel(readings, noise=True), trees=10, depth=5)
+    path = _fresh(spark, "fault")
+    ML.save_fault(spark, res, path)
+    again = ML.load_fault(spark, path)
+    raw = readings.drop("hmi_alert_code_enc", res.features[0]).withColumn(
+        "hmi_alert_code", F.when(F.col("reading_id") % 7 == 0, F.lit("never seen")).otherwise(F.col("hmi_alert_code")))
+    a = ML.predict_fault(res, raw)
+    b = again.predict(raw)
+    assert a.select("reading_id", "predicted_fault", "confidence").exceptAll(b.select("reading_id", "predicted_fault", "confidence")).isEmpty()
+    assert b.count() == raw.count()
+    # Rows with all features get what the fit gave its test rows.
+    old = res.predictions.select("reading_id", "predicted_fault")
+    new = again.predict(res.predictions.select(*[c for c in res.predictions.columns if c in readings.columns]))
+    assert old.exceptAll(new.select("reading_id", "predicted_fault")).isEmpty()
+
+
 def test_fit_transform_equals_fit_then_transform(readings):
     model, out = iforest.fit_transform(readings, trees=50, seed=7)
     again = iforest.fit(readings, trees=50, seed=7)
