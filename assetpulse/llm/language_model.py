@@ -16,8 +16,10 @@ counted, seated and scored where it was dealt to:
 
 1. Single words are counted over all documents, dealt by word.
 2. Texts are read in chunks. A chunk's (context, word) occurrences are
-   aggregated by document and dealt by word, or by (context, word) where the
-   word is frequent, so no word's occurrences meet in one task.
+   aggregated by document and dealt by word; a frequent word is cut by context
+   into slices in proportion to its count, so no word's occurrences meet in one
+   task. Frequent words have known counts here: their share of a document's base
+   score and of its known tokens is summed at once and not sent on.
 3. The tasks sum the chunks' counts. A sweep seats all pairs and returns the
    tables of the contexts and of the frequent words.
 4. After the sweeps each task scores the occurrences it holds; a chunk's partial
@@ -43,6 +45,8 @@ FREQUENT = 2.0**-17
 CHUNK_TOKENS = 3 << 18
 #: Tokens for each of the tasks that count, seat and score.
 TASK_TOKENS = 1 << 20
+#: A frequent word has a slice for each 1 / SLICES of a task's tokens.
+SLICES = 128
 #: Steps of the partial sums by task and document, 2 ** -bits: of the base score and of the model's.
 BASE_BITS, SCORE_BITS = 30, 20
 SWEEPS = 2
@@ -164,16 +168,16 @@ def _discount(ones: float, twos: float) -> float:
 
 
 class _Task:
-    """The pairs dealt to one task: frequent words by (context, word), other words with all their contexts."""
+    """The pairs dealt to one task: frequent words by slices of their contexts, other words with all their contexts."""
 
     def __init__(self, state: dict):
         self.__dict__.update(state)
 
     @staticmethod
-    def build(blobs: list[dict], frequent: int) -> dict:
+    def build(blobs: list[dict], names: np.ndarray) -> dict:
         """Distinct pairs with training counts, and each occurrence's pair."""
         cat = lambda parts, kind: np.concatenate([x.astype(kind, copy=False) for x in parts])
-        word = cat([np.repeat(_sums(b["words"]), b["runs"]) for b in blobs], _U)
+        word = cat([np.repeat(np.concatenate((names[_sums(b["known"])], _sums(b["words"]))), b["runs"]) for b in blobs], _U)
         ctx = cat([_sums(b["ctx"]) for b in blobs], np.int32)
         doc, times = (cat([b[k] for b in blobs], np.uint32) for k in ("doc", "times"))
         learn = cat([np.unpackbits(b["learn"], count=len(b["doc"])) for b in blobs], bool)
@@ -260,38 +264,48 @@ def _heavy(counted: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
     return words[order], counts[order]
 
 
-def _deal_pairs(read: DataFrame, names: np.ndarray, tasks: int) -> DataFrame:
-    """``(part, chunk, kind, blob)``: each chunk's occurrences by task, and its documents."""
-    shared = read.sparkSession.sparkContext.broadcast(names)
+def _deal_pairs(read: DataFrame, names: np.ndarray, counts: np.ndarray, logs: np.ndarray, tasks: int) -> DataFrame:
+    """``(part, chunk, kind, blob)``: each chunk's occurrences by task, and its documents.
+
+    ``counts`` and ``logs`` are the training counts and base scores of the frequent words ``names``.
+    """
+    cuts = np.clip(-(-counts * SLICES // TASK_TOKENS), 1, tasks)
+    shared = read.sparkSession.sparkContext.broadcast((names, cuts.astype(_U), logs))
 
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        top = shared.value
+        top, cuts, logs = shared.value
         place = TaskContext.get().partitionId() << 24
         for k, (doc, word, before, rows) in enumerate(_chunks(parts)):
             ctx = _position(top, before)
             ctx = np.where(ctx < 0, len(top), ctx).astype(np.int32)
-            heavy = _position(top, word) >= 0
-            part = _parts(np.where(heavy, textscan.mix(word + ctx.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(1)), word), tasks)
-            order = np.lexsort((ctx, word, part))  # stable: documents stay in order
-            p, w, x, d = part[order], word[order], ctx[order], doc[order]
+            rank = _position(top, word)
+            heavy = rank >= 0
+            piece = np.zeros(len(word), _U)
+            piece[heavy] = textscan.mix(ctx[heavy].astype(_U) + _U(1)) % cuts[rank[heavy]]
+            part = _parts(word + piece * _U(0x9E3779B97F4A7C15), tasks)
+            order = np.lexsort((ctx, word, ~heavy, part))  # stable: documents stay in order
+            p, w, x, d, r = part[order], word[order], ctx[order], doc[order], rank[order]
             new = np.concatenate(([True], (p[1:] != p[:-1]) | (w[1:] != w[:-1]) | (x[1:] != x[:-1]) | (d[1:] != d[:-1])))
             at = np.flatnonzero(new)
             times = np.diff(np.append(at, len(w))).astype(np.uint32)
-            p, w, x, d = p[at], w[at], x[at], d[at].astype(np.uint32)
+            p, w, x, d, r = p[at], w[at], x[at], d[at].astype(np.uint32), r[at].astype(np.int32)
             learn = ~rows["held_out"].to_numpy(bool)
             cut = np.searchsorted(p, np.arange(tasks + 1))
             chunk = place + k
             out = []
             for t, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                if b > a:  # each word once, with the length of its run
+                if b > a:  # each word once, with the length of its run; frequent words first, by their place among them
                     run = np.flatnonzero(np.concatenate(([True], w[a + 1 : b] != w[a : b - 1], [True])))
-                    out.append((t, chunk, 0, _zip({"chunk": chunk, "words": _steps(w[a:b][run[:-1]]), "runs": _small(np.diff(run)), "ctx": _steps(x[a:b]),
+                    words, known = w[a:b][run[:-1]], r[a:b][run[:-1]]
+                    out.append((t, chunk, 0, _zip({"chunk": chunk, "known": _steps(known[known >= 0]), "words": _steps(words[known < 0]),
+                                                   "runs": _small(np.diff(run)), "ctx": _steps(x[a:b]),
                                                    "doc": _small(d[a:b]), "times": _small(times[a:b]), "learn": np.packbits(learn[d[a:b]])})))
             ids = [None if pd.isna(i) else int(i) for i in rows["doc_id"]]
-            tokens = np.bincount(doc, minlength=len(rows))
-            out.append((chunk % tasks, chunk, 1, _zip((ids, ~learn, tokens))))
+            tokens, known = (np.bincount(x, minlength=len(rows)) for x in (doc, doc[heavy]))
+            base = np.bincount(doc[heavy], logs[rank[heavy]], len(rows)).astype(float)
+            out.append((chunk % tasks, chunk, 1, _zip((ids, ~learn, tokens, known, base))))
             yield pd.DataFrame(out, columns=["part", "chunk", "kind", "blob"])
 
     return read.mapInPandas(emit, "part int, chunk long, kind int, blob binary")
@@ -317,13 +331,14 @@ def score(docs: DataFrame, held_out=None, sweeps: int = SWEEPS, samples: int = S
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     names, counts = _heavy(counted, max(1.0, FREQUENT * total))
     frequent = len(names)
+    logs = np.log10((counts + 1) / (total + distinct + 1))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         occ = part[part["kind"] == 0].sort_values("chunk")
         listed = part[part["kind"] == 1]
         out = [(chunk, 1, blob, None) for chunk, blob in zip(listed["chunk"], listed["blob"], strict=True)]
         if len(occ):
-            state = _Task.build([_unzip(b) for b in occ["blob"]], frequent)
+            state = _Task.build([_unzip(b) for b in occ["blob"]], shared_names.value)
             task = _Task(state)
             sums = task.totals(shared_names.value, np.minimum(task.count, 1))
             rare = _position(shared_names.value, task.word) < 0
@@ -334,7 +349,7 @@ def score(docs: DataFrame, held_out=None, sweeps: int = SWEEPS, samples: int = S
         return pd.DataFrame(out, columns=["part", "kind", "blob", "sums"])
 
     shared_names = spark.sparkContext.broadcast(names)
-    states = materialise(_deal_pairs(read, names, tasks).groupBy("part").applyInPandas(
+    states = materialise(_deal_pairs(read, names, counts, logs, tasks).groupBy("part").applyInPandas(
         build, "part long, kind int, blob binary, sums binary"), "pairs")
     pairs = states.filter("kind = 0")
 
@@ -392,29 +407,31 @@ def score(docs: DataFrame, held_out=None, sweeps: int = SWEEPS, samples: int = S
                     seated = np.maximum(task.count - g["d1"] * tables, 0) + (STRENGTH + g["d1"] * g["tables"][task.ctx]) * parent
                     mean += seated / (STRENGTH + g["customers"][task.ctx])
                 logp = np.log10(mean / samples)
-                known = _position(g["names"], task.word)
-                dishes = int(task.dish[-1]) + 1
-                c = np.bincount(task.dish, task.count, dishes)[task.dish]
-                if len(g["names"]):
-                    c = np.where(known >= 0, g["counts"][np.maximum(known, 0)], c)
+                rare = _position(g["names"], task.word) < 0
+                c = np.bincount(task.dish, task.count, int(task.dish[-1]) + 1)[task.dish]  # read for rare words, which are whole here
                 base = np.log10((c + 1) / (g["total"] + g["distinct"] + 1))
                 for chunk, a, b in zip(task.chunks, task.cut[:-1], task.cut[1:], strict=True):
                     pair, times = task.pair[a:b], task.times[a:b].astype(float)
                     docs, at = np.unique(task.doc[a:b], return_inverse=True)
-                    sums = [np.bincount(at, times * x, len(docs)) for x in (c[pair] > 0, base[pair], logp[pair])]
+                    model = np.bincount(at, times * logp[pair], len(docs))
+                    few = rare[pair]
+                    some, at = np.unique(task.doc[a:b][few], return_inverse=True)
+                    known, own = (np.bincount(at, times[few] * x[pair[few]], len(some)) for x in (c > 0, base))
                     # Partial sums are never positive; they go as whole steps, half a step off at most for each task and document.
-                    fixed = [_small(np.rint(-x * 2.0**bits).astype(np.int64)) for x, bits in ((sums[1], BASE_BITS), (sums[2], SCORE_BITS))]
-                    small = (_steps(docs), _small(sums[0].astype(np.int64)), *fixed)
+                    model, own = (_small(np.rint(-x * 2.0**bits).astype(np.int64)) for x, bits in ((model, SCORE_BITS), (own, BASE_BITS)))
+                    small = (_steps(docs), model, _steps(some), _small(known.astype(np.int64)), own)
                     yield pd.DataFrame({"chunk": [chunk], "kind": [0], "blob": [_zip(small)]})
 
     def by_document(part: pd.DataFrame) -> pd.DataFrame:
-        ids, held, tokens = _unzip(part.loc[part["kind"] == 1, "blob"].iloc[0])
-        sums = np.zeros((3, len(ids)))
+        ids, held, tokens, n_known, base_score = _unzip(part.loc[part["kind"] == 1, "blob"].iloc[0])
+        n_known, base_score, total_score = n_known.astype(np.int64), base_score.copy(), np.zeros(len(ids))
         for blob in part.loc[part["kind"] == 0, "blob"]:
-            docs, known, base, model = _unzip(blob)
-            sums[:, _sums(docs)] += (known, base * -(2.0**-BASE_BITS), model * -(2.0**-SCORE_BITS))
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": tokens, "n_known": sums[0].astype(np.int64),
-                             "base_score": sums[1], "score": sums[2]})
+            docs, model, some, known, own = _unzip(blob)
+            total_score[_sums(docs)] -= model * 2.0**-SCORE_BITS
+            n_known[_sums(some)] += known
+            base_score[_sums(some)] -= own * 2.0**-BASE_BITS
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": tokens, "n_known": n_known,
+                             "base_score": base_score, "score": total_score})
 
     scored = pairs.select("part", "blob").mapInPandas(finish, "chunk long, kind int, blob binary")
     rows = states.filter("kind = 1").select(F.col("part").alias("chunk"), "kind", "blob")  # there, part is the chunk

@@ -260,7 +260,11 @@ def test_sharding_splits_a_hot_key(spark):
     assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
 
 
-def test_language_model(spark, docs, nothing):
+@pytest.mark.parametrize("task_tokens, frequent", [(1 << 20, 2.0**-17), (500, 0.01), (500, 2.0)])
+def test_language_model(spark, docs, nothing, monkeypatch, task_tokens, frequent):
+    """One task and many; all words frequent, some with several slices, none."""
+    monkeypatch.setattr(language_model, "TASK_TOKENS", task_tokens)
+    monkeypatch.setattr(language_model, "FREQUENT", frequent)
     rows = [(i, t) for i, t in corpus()] + [(None, "no id here at all")]
     tok = {i: words(t) + ["\0"] for i, t in rows}
     held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows}
