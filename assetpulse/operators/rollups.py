@@ -150,6 +150,10 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
 
+#: What ``time_series`` shows beside the time.
+TIME_SERIES_COLUMNS = ["vibration", "temperature", "health_score", "failure_prob"]
+
+
 def time_series(indexed: DataFrame, step: int = 3, index_col: str = "row_idx") -> DataFrame:
     """P9 + W3: every ``step``-th reading: formatted time and rounded metrics."""
     return (indexed.where(F.col(index_col) % step == 0)

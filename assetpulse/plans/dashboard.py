@@ -57,7 +57,7 @@ def run_batch_job(spark: SparkSession, readings: DataFrame, vibration_raw: DataF
     sections = {
         "block_summary": summary,
         "location_summary": RU.site_summary(scored),
-        "time_series": RU.time_series(O.row_index(scored, TIME_ORDER), C.DOWNSAMPLE_STEP),
+        "time_series": RU.time_series(O.row_index(scored.select(*TIME_ORDER, *RU.TIME_SERIES_COLUMNS), TIME_ORDER), C.DOWNSAMPLE_STEP),
         "alerts": RU.top_alerts(log, 50),
         "vibration_accel": RU.vibration_series(O.row_index(vib, ["event_time", "sample_id"]), C.DOWNSAMPLE_STEP),
         "model_comparison": comparison,

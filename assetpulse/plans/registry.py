@@ -321,23 +321,28 @@ def q_block_detail(spark, sf):
 @query("time_series_downsampled")
 def q_time_series_downsampled(spark, sf):
     """P9 + W3 + F16: every 3rd reading in time order."""
-    idx = O.row_index(scored(spark, sf), TIME_ORDER)
+    idx = O.row_index(_columns(scored(spark, sf), *RU.TIME_SERIES_COLUMNS), TIME_ORDER)
     return RU.time_series(idx, C.DOWNSAMPLE_STEP)
 
 
 # --- order layer ---------------------------------------------------------------------
 
+def _columns(df: DataFrame, *more: str) -> DataFrame:
+    """The time order and these columns: ordered operators write what they are given to the shared folder."""
+    return df.select(*TIME_ORDER, *more)
+
+
 @query("rolling_mean_30")
 def q_rolling_mean_30(spark, sf):
     """W1 per asset (halo plan: no task holds a whole asset)."""
-    r = O.rolling(FX.telemetry(spark, sf), "vibration", "vib_roll30", TIME_ORDER, by="asset_id", w=30)
+    r = O.rolling(_columns(FX.telemetry(spark, sf), "asset_id", "vibration"), "vibration", "vib_roll30", TIME_ORDER, by="asset_id", w=30)
     return r.select("reading_id", "asset_id", F.round("vib_roll30", 10).alias("vib_roll30"))
 
 
 @query("sequences_30")
 def q_sequences_30(spark, sf):
     """The 30 readings before each reading of the same asset (own row excluded)."""
-    s = O.preceding_list(FX.telemetry(spark, sf), ["vibration"], "seq", TIME_ORDER, by="asset_id",
+    s = O.preceding_list(_columns(FX.telemetry(spark, sf), "asset_id", "vibration", "rul_days"), ["vibration"], "seq", TIME_ORDER, by="asset_id",
                          n=C.SEQUENCE_LENGTH)
     return s.select("reading_id", "asset_id", F.size("seq").cast("long").alias("seq_len"),
                     F.col("seq")[0]["vibration"].alias("first_vibration"),
@@ -348,13 +353,13 @@ def q_sequences_30(spark, sf):
 @query("time_split")
 def q_time_split(spark, sf):
     """First 80 % of readings in time order train, rest test."""
-    return O.time_split(FX.telemetry(spark, sf), TIME_ORDER, 0.2).select("reading_id", "row_idx", "is_test")
+    return O.time_split(_columns(FX.telemetry(spark, sf)), TIME_ORDER, 0.2).select("reading_id", "row_idx", "is_test")
 
 
 @query("stratified_split")
 def q_stratified_split(spark, sf):
     """Exact 20 % per fault class by hashed rank."""
-    return O.stratified_split(FX.telemetry(spark, sf), "fault_code", "reading_id", 0.2).select(
+    return O.stratified_split(FX.telemetry(spark, sf).select("reading_id", "fault_code"), "fault_code", "reading_id", 0.2).select(
         "reading_id", "fault_code", "is_test")
 
 
@@ -363,7 +368,7 @@ def q_rul_scatter(spark, sf):
     """First 200 test points (time order) of actual vs predicted RUL."""
     t = FX.telemetry(spark, sf)
     pred = relabel(t).select("reading_id", F.col("rul_days").alias("rul_new"))
-    split = O.time_split(t, TIME_ORDER, 0.2).join(pred, "reading_id")
+    split = O.time_split(_columns(t, "rul_days"), TIME_ORDER, 0.2).join(pred, "reading_id")
     n_train = split.where(~F.col("is_test")).count()
     test = split.where(F.col("is_test")).withColumn("position", F.col("row_idx") - F.lit(n_train))
     return O.first_n(test, ["position"], 200).select(
@@ -392,7 +397,7 @@ MINMAX_CHECK_COLS = ["vibration", "temperature", "humidity", "age_days", "rul_da
 @query("minmax_scale")
 def q_minmax_scale(spark, sf):
     """M4: min-max fitted on the time-split training rows, applied to all."""
-    t = O.time_split(FX.telemetry(spark, sf), TIME_ORDER, 0.2).withColumn("_train", ~F.col("is_test"))
+    t = O.time_split(_columns(FX.telemetry(spark, sf), *MINMAX_CHECK_COLS), TIME_ORDER, 0.2).withColumn("_train", ~F.col("is_test"))
     out = FE.minmax_scale_expr(t, MINMAX_CHECK_COLS, "_train")
     return out.select("reading_id", "is_test", *[F.round(f"{c}_mm", 9).alias(f"{c}_mm") for c in MINMAX_CHECK_COLS])
 
