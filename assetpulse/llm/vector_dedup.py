@@ -7,8 +7,11 @@ with the codes by table lookup (asymmetric distance) and reranks what remains by
 the exact cosine. Both steps before the rerank are bounds, so nothing is lost:
 
 - cosine >= c means a distance of at most r = sqrt(2 - 2c). A list can hold such a
-  vector only if the query lies within r of the plane that halves the way
-  between the list's centroid and the query's own; all those lists are probed.
+  vector only if the query lies within r of each plane that halves the way
+  between the list's centroid and another. The planes to the query's own centroid
+  and to the list's ``PLANES`` nearest ones are tried; all lists left are probed.
+  The bound holds from both ends of a pair, so a query probes its own list and
+  those of higher number.
 - the true distance is at least the looked-up distance less the stored error.
 
 Only equal labels (and equal dimensions) meet. Equal vectors of one label are one
@@ -37,6 +40,8 @@ PER_LIST = 256
 SUBSPACES = 8
 CODES = 64
 BLOCK = 1024
+#: Neighbouring centroids whose planes bound a list.
+PLANES = 16
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -63,6 +68,7 @@ class Quantiser:
         gap = ((self.coarse[:, None] - self.coarse[None]) ** 2).sum(2) if len(self.coarse) <= 128 else (
             (self.coarse**2).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * self.coarse @ self.coarse.T)
         self.gap = np.sqrt(np.maximum(gap, 0))
+        self.beside = np.argsort(self.gap, axis=1, kind="stable")[:, 1 : PLANES + 1]
 
     @staticmethod
     def _split(x: np.ndarray) -> np.ndarray:
@@ -80,7 +86,10 @@ class Quantiser:
             codes[:, m] = np.argmin(part, axis=1)
             error += part.min(1)
         away = d - d[np.arange(len(x)), own][:, None]
-        probe = away <= 2 * radius * self.gap[own] + 1e-9
+        lists = np.arange(len(self.coarse))
+        probe = (away <= 2 * radius * self.gap[own] + 1e-9) & (lists >= own[:, None])
+        for other in self.beside.T:
+            probe &= d - d[:, other] <= 2 * radius * self.gap[lists, other] + 1e-9
         return own, codes, np.sqrt(error), probe
 
     def lookup(self, x: np.ndarray, list_no: int, codes: np.ndarray) -> np.ndarray:
@@ -160,12 +169,13 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             for at in range(0, len(whole), BLOCK):
                 part = whole.iloc[at : at + BLOCK].copy()
                 own, codes, error, probe = q.index(_matrix(part["unit"], width), radius)
+                part["home"] = own
                 part["list"], part["codes"], part["error"] = own, [c.tobytes() for c in codes], error
                 part["probes"] = [np.flatnonzero(p).astype(np.int32) for p in probe]
-                yield part
+                yield part[["rep", "copies", "label", "dim", "unit", "home", "list", "codes", "error", "probes"]]
 
     indexed = materialise(classes.select("rep", "copies", "label", "dim", "unit").mapInPandas(
-        index, "rep long, copies long, label string, dim int, unit binary, list int, codes binary, error double, probes array<int>"), "index")
+        index, "rep long, copies long, label string, dim int, unit binary, home int, list int, codes binary, error double, probes array<int>"), "index")
     cell = ["label", "dim", "list"]
     entries = indexed.drop("probes").withColumn("entry", F.lit(True))
     queries = indexed.withColumn("list", F.explode("probes")).drop("probes").withColumn("entry", F.lit(False))
@@ -185,7 +195,8 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         codes = np.frombuffer(b"".join(e["codes"]), np.uint8).reshape(len(e), SUBSPACES)
         er, qr = e["rep"].to_numpy(np.int64), q["rep"].to_numpy(np.int64)
         near = shared.value.lookup(qv, int(part["list"].iloc[0]), codes) - e["error"].to_numpy()[None] <= radius + 1e-7
-        a, b = np.nonzero(near & (qr[:, None] < er[None]))  # each pair once: both of its ends probe the other's list
+        inside = q["home"].to_numpy() == q["list"].to_numpy()  # each pair once: within a list the smaller id asks
+        a, b = np.nonzero(near & (~inside[:, None] | (qr[:, None] < er[None])))
         hit = (qv[a] * ev[b]).sum(1) >= cosine
         a, b = a[hit], b[hit]
         if not len(a):
@@ -195,7 +206,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         weight = np.bincount(pa, e["copies"].to_numpy(float)[b], len(nodes)) + np.bincount(pb, q["copies"].to_numpy(float)[a], len(nodes))
         return pd.DataFrame({"node": nodes, "weight": weight.astype(np.int64), "root": nodes[_forest(pa, pb, len(nodes))]})
 
-    columns = ["label", "dim", "list", "eb", "qb", "entry", "rep", "copies", "unit", "codes", "error"]
+    columns = ["label", "dim", "list", "eb", "qb", "entry", "rep", "copies", "unit", "home", "codes", "error"]
     met = materialise(entries.select(*columns).union(queries.select(*columns)).groupBy("label", "dim", "list", "eb", "qb").applyInPandas(
         meet, "node long, weight long, root long"), "links")
     weight = met.groupBy("node").agg(F.sum("weight").alias("weight"))
