@@ -311,6 +311,28 @@ def test_held_out_text_scores_above_the_base(spark):
     assert out.score.sum() > 0.6 * out.base_score.sum()  # half of the choices at each step: far fewer bits
 
 
+@pytest.mark.parametrize("task_tokens", [1 << 20, 900])
+def test_contexts_that_are_not_frequent_have_restaurants_of_their_own(spark, monkeypatch, task_tokens):
+    """No word is frequent, so every context's totals go by context between the tasks: scores as if all were."""
+    rng = random.Random(3)
+    chain = {w: rng.sample("abcdefghij", 2) for w in "abcdefghij"}
+    rows = []
+    for i in range(300):
+        w = [rng.choice("abcdefghij")]
+        for _ in range(30):
+            w.append(rng.choice(chain[w[-1]]))
+        rows.append((i, " ".join(w)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(language_model, "TASK_TOKENS", task_tokens)
+    monkeypatch.setattr(language_model, "PLACE_TASKS", 2, raising=False)
+    named = language_model.score(table).toPandas()
+    monkeypatch.setattr(language_model, "FREQUENT", 2.0)
+    got = language_model.score(table).toPandas()
+    out = got[got.held_out]
+    assert out.score.sum() > 0.6 * out.base_score.sum()
+    assert out.score.sum() == pytest.approx(named[named.held_out].score.sum(), rel=0.01)
+
+
 def test_seating_follows_the_process():
     rng = np.random.default_rng(0)
     t = language_model.seat(np.full(20_000, 5), np.full(20_000, 0.5), 0.3, rng)
