@@ -74,6 +74,16 @@ class FaultModel:
         return out.select(*[F.col(f"_raw.`{c}`") for c in df.columns if c not in made], *made)
 
 
+def fit_cached(prepare: list, learner, train: DataFrame, *cols: str) -> PipelineModel:
+    """The fitted stages and the learner; its ``features`` and ``cols`` are assembled once and kept while it trains."""
+    ready = Pipeline(stages=prepare).fit(train)
+    data = ready.transform(train).select("features", *cols).persist()
+    try:
+        return PipelineModel([*ready.stages, learner.fit(data)])
+    finally:
+        data.unpersist()
+
+
 def fit_rul(df: DataFrame, features: list[str] | None = None, iters: int = C.RUL_GBT["iters"],
             step: float = C.RUL_GBT["step"], depth: int = C.RUL_GBT["depth"], test: float = C.RUL_GBT["test"],
             seed: int = C.RUL_GBT["seed"], target: str = SC.RUL_TARGET, max_bins: int = 128) -> RulResult:
@@ -82,14 +92,12 @@ def fit_rul(df: DataFrame, features: list[str] | None = None, iters: int = C.RUL
     split = O.time_split(df, TIME_ORDER, test)
     train = split.where(~F.col("is_test"))
     test_rows = split.where(F.col("is_test"))
-    pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=feats, outputCol="raw_features", handleInvalid="keep"),
-        MinMaxScaler(inputCol="raw_features", outputCol="features"),
-        GBTRegressor(featuresCol="features", labelCol=target, predictionCol="rul_pred", maxIter=iters,
-                     stepSize=step, maxDepth=depth, seed=seed, maxBins=max_bins, maxMemoryInMB=64),
-    ])
+    prepare = [VectorAssembler(inputCols=feats, outputCol="raw_features", handleInvalid="keep"),
+               MinMaxScaler(inputCol="raw_features", outputCol="features")]
+    learner = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="rul_pred", maxIter=iters,
+                           stepSize=step, maxDepth=depth, seed=seed, maxBins=max_bins, maxMemoryInMB=64)
     t0 = time.perf_counter()
-    model = pipe.fit(train)
+    model = fit_cached(prepare, learner, train, target)
     secs = time.perf_counter() - t0
     pred = model.transform(test_rows).drop("raw_features", "features").persist()
     return RulResult(model, feats, M.regression_metrics(pred, target, "rul_pred"), pred, secs)
@@ -115,16 +123,14 @@ def fit_fault(df: DataFrame, features: list[str] | None = None, trees: int = C.F
     train = L.class_weights(split.where(~F.col("is_test")), label_col, "weight")
     test_rows = split.where(F.col("is_test"))
     target = f"{label_col}_enc"
-    pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=feats, outputCol="raw_features", handleInvalid="keep"),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-        RandomForestClassifier(featuresCol="features", labelCol=target, weightCol="weight", numTrees=trees,
-                               maxDepth=depth, seed=seed, predictionCol="pred_code", maxMemoryInMB=64,
-                               cacheNodeIds=True,
-                               probabilityCol="probability", rawPredictionCol="raw_prediction"),
-    ])
+    prepare = [VectorAssembler(inputCols=feats, outputCol="raw_features", handleInvalid="keep"),
+               StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)]
+    learner = RandomForestClassifier(featuresCol="features", labelCol=target, weightCol="weight", numTrees=trees,
+                                     maxDepth=depth, seed=seed, predictionCol="pred_code", maxMemoryInMB=64,
+                                     cacheNodeIds=True,
+                                     probabilityCol="probability", rawPredictionCol="raw_prediction")
     t0 = time.perf_counter()
-    model = pipe.fit(train.withColumn(target, F.col(target).cast("double")))
+    model = fit_cached(prepare, learner, train.withColumn(target, F.col(target).cast("double")), target, "weight")
     secs = time.perf_counter() - t0
     # Several metrics read the scored test rows: keep them once (recomputable
     # from lineage on executor loss; the split itself is checkpointed).

@@ -467,11 +467,6 @@ def q_accuracy(spark, sf):
 
 # --- models (rows-only checks: not SQL-expressible) -------------------------------------
 
-# Fewer rounds and trees than the API defaults (300): README, known gaps.
-QUERY_GBT_ITERS = 20
-QUERY_RF_TREES = 50
-
-
 def model_input(spark, sf, noise: bool = True) -> DataFrame:
     """Relabelled readings with their forest flag (as the supervised models are trained in the pipeline)."""
     from ..ml import iforest
@@ -499,7 +494,7 @@ def q_anomaly_eval_forest(spark, sf):
 def q_rul_model_eval(spark, sf):
     """M7: boosted-tree RUL on a time split; MAE / RMSE / R² of the test rows."""
     from ..ml import models as ML
-    res = ML.fit_rul(model_input(spark, sf), iters=QUERY_GBT_ITERS)
+    res = ML.fit_rul(model_input(spark, sf))
     return res.metrics.select(F.lit("GBTRegressor").alias("model"), "*",
                               F.lit(res.train_time_s).alias("train_time_s"))
 
@@ -508,7 +503,7 @@ def q_rul_model_eval(spark, sf):
 def q_feature_importance(spark, sf):
     """M13 + O5: RUL model importances, descending."""
     from ..ml import models as ML
-    res = ML.fit_rul(model_input(spark, sf), iters=QUERY_GBT_ITERS)
+    res = ML.fit_rul(model_input(spark, sf))
     return ML.feature_importance(spark, res.model, res.features)
 
 
@@ -516,7 +511,7 @@ def q_feature_importance(spark, sf):
 def q_fault_model_eval(spark, sf):
     """M9: random forest (balanced weights, stratified split) — per-class report."""
     from ..ml import models as ML
-    res = ML.fit_fault(model_input(spark, sf), trees=QUERY_RF_TREES)
+    res = ML.fit_fault(model_input(spark, sf))
     acc, report, _ = ML.fault_metrics(res.predictions)
     return report.withColumn("accuracy", F.lit(acc.first()[0]))
 
@@ -525,7 +520,7 @@ def q_fault_model_eval(spark, sf):
 def q_fault_confusion(spark, sf):
     """A13 on the forest's test predictions (real labels)."""
     from ..ml import models as ML
-    res = ML.fit_fault(model_input(spark, sf), trees=QUERY_RF_TREES)
+    res = ML.fit_fault(model_input(spark, sf))
     return ML.fault_metrics(res.predictions)[2]
 
 
@@ -533,7 +528,7 @@ def q_fault_confusion(spark, sf):
 def q_fault_predictions(spark, sf):
     """Predicted fault, confidence and text for the test rows."""
     from ..ml import models as ML
-    res = ML.fit_fault(model_input(spark, sf), trees=QUERY_RF_TREES)
+    res = ML.fit_fault(model_input(spark, sf))
     return res.predictions.select("reading_id", "fault_code", "predicted_fault", "confidence", "fault_text")
 
 
@@ -599,7 +594,7 @@ def q_fault_predictions_reloaded(spark, sf):
     from ..ml import models as ML
     from ..streaming.feed import workspace
     path = f"{workspace(spark, 'fault-model')}/model"
-    ML.save_fault(spark, ML.fit_fault(model_input(spark, sf), trees=QUERY_RF_TREES), path)
+    ML.save_fault(spark, ML.fit_fault(model_input(spark, sf)), path)
     out = ML.load_fault(spark, path).predict(FX.telemetry(spark, sf))
     return out.select("reading_id", "predicted_fault", F.round("confidence", 6).alias("confidence"), "fault_text")
 
@@ -611,8 +606,7 @@ def q_dashboard_sections(spark, sf):
     """M17 + K2 + S5: full pipeline, sections written as JSON and read back."""
     from ..streaming.feed import workspace
     from .dashboard import run_batch_job, save_sections, section_counts
-    res = run_batch_job(spark, relabel(FX.telemetry(spark, sf), noise=True), FX.vibration_raw(spark, sf),
-                       gbt_iters=QUERY_GBT_ITERS, rf_trees=QUERY_RF_TREES)
+    res = run_batch_job(spark, relabel(FX.telemetry(spark, sf), noise=True), FX.vibration_raw(spark, sf))
     root = workspace(spark, "dashboard")
     save_sections(res, root)
     return section_counts(spark, root, res.sections)
@@ -624,14 +618,14 @@ def q_model_comparison(spark, sf):
     from ..ml import models as ML
     from .dashboard import model_comparison
     inp = model_input(spark, sf)
-    return model_comparison(spark, ML.fit_rul(inp, iters=QUERY_GBT_ITERS), ML.fit_fault(inp, trees=QUERY_RF_TREES))
+    return model_comparison(spark, ML.fit_rul(inp), ML.fit_fault(inp))
 
 
 @query("window_rul_eval")
 def q_window_rul_eval(spark, sf):
     """RUL from the previous 30 readings of the asset (window summaries + GBT)."""
     from ..ml import sequence_models as SM
-    _, metrics, _, secs = SM.fit_window_rul(model_input(spark, sf), iters=QUERY_GBT_ITERS)
+    _, metrics, _, secs = SM.fit_window_rul(model_input(spark, sf))
     return metrics.select(F.lit("WindowGBT").alias("model"), "*", F.lit(secs).alias("train_time_s"))
 
 
@@ -646,7 +640,7 @@ def q_window_fault_eval(spark, sf):
 def _shap(spark, sf):
     from ..ml import models as ML
     from ..ml import shap as SH
-    res = ML.fit_fault(model_input(spark, sf), trees=QUERY_RF_TREES)
+    res = ML.fit_fault(model_input(spark, sf))
     return SH.shap_long(spark, res.model, res.predictions, res.features)
 
 

@@ -104,3 +104,29 @@ def test_fit_transform_equals_fit_then_transform(readings):
     a = out.select("reading_id", "if_flag").orderBy("reading_id").toPandas()
     b = again.transform(readings).select("reading_id", "if_flag").orderBy("reading_id").toPandas()
     assert (a.if_flag.values == b.if_flag.values).all()
+
+
+@pytest.mark.parametrize("name", ["rul_model_eval", "feature_importance", "model_comparison", "window_rul_eval", "dashboard_sections",
+                                  "fault_model_eval", "fault_confusion", "fault_predictions", "fault_predictions_reloaded",
+                                  "shap_long", "shap_importance", "shap_points", "shap_waterfall"])
+def test_registered_queries_train_the_configured_models(spark, monkeypatch, name):
+    """What the learners are asked for, without training them: the sizes of ``config``."""
+    from assetpulse import config as C
+    from assetpulse.ml import sequence_models as SM
+    from assetpulse.plans import registry
+
+    class Asked(Exception):
+        pass
+
+    def asked(**given):
+        raise Asked(given.get("maxIter", given.get("numTrees")))
+
+    flagged = FX.telemetry(spark, "/root/testdata/sf0.001").withColumn("if_flag", F.lit(0)).withColumn("if_score", F.lit(0.0))
+    monkeypatch.setattr(iforest, "fit_transform", lambda df, **_: (None, df.withColumn("if_flag", F.lit(0)).withColumn("if_score", F.lit(0.0))))
+    monkeypatch.setattr(registry, "model_input", lambda *_, **__: relabel(flagged))
+    for place, learner in ((ML, "GBTRegressor"), (SM, "GBTRegressor"), (ML, "RandomForestClassifier")):
+        monkeypatch.setattr(place, learner, asked)
+    with pytest.raises(Asked) as got:
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    boosted = name in ("rul_model_eval", "feature_importance", "model_comparison", "window_rul_eval", "dashboard_sections")
+    assert got.value.args[0] == (C.RUL_GBT["iters"] if boosted else C.FAULT_RF["trees"])
