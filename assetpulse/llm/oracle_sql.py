@@ -20,6 +20,38 @@ def _components(nodes: str, links: str) -> str:
     comp AS (SELECT id, min(seen) AS component_id FROM reach GROUP BY id)"""
 
 
+def _field(c: str) -> str:
+    return f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join([*map(_field, ("doc_id", "source", "lang", "n_chars")), _field(text)]) + ")"
+
+
+#: crc32 of a number's decimal digits: the eight shifts of a byte as a reduction, the bytes as another.
+_SHIFTED = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+_DIGITS = "list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)"
+_CRC = f"xor(list_reduce(list_concat([4294967295::BIGINT], {_DIGITS}), lambda c, b: {_SHIFTED}), 4294967295)"
+
+
+def _tree(name: str, nodes: str, leaves: str, depth: int) -> str:
+    """Levels of the trees over ``nodes(g, pos, h, m)`` and the climb of ``leaves(g, pos, acc, proof, ...)``; ``m`` counts a tree's nodes."""
+    join = lambda x: f"coalesce(array_to_string({x}, ''), '')"
+    left, right = join("r.hs[1:c.pos % 16]"), join("r.hs[c.pos % 16 + 2:]")
+    out = [f"{name}0 AS (SELECT g, pos, h, m FROM {nodes})", f"{name}c0 AS (SELECT * FROM {leaves})"]
+    for k in range(depth):
+        out += [f"{name}r{k} AS (SELECT g, pos // 16 AS pos, list(h ORDER BY pos) AS hs, max(m) AS m FROM {name}{k} GROUP BY ALL)",
+                f"{name}{k + 1} AS (SELECT g, pos, CASE WHEN m = 1 THEN hs[1] ELSE sha256({join('hs')}) END AS h, (m + 15) // 16 AS m FROM {name}r{k})",
+                f"""{name}c{k + 1} AS (SELECT c.* REPLACE (c.pos // 16 AS pos,
+                  CASE WHEN r.m = 1 THEN c.acc ELSE sha256({left} || c.acc || {right}) END AS acc,
+                  CASE WHEN r.m = 1 THEN c.proof ELSE c.proof || {left} || {right} END AS proof)
+                  FROM {name}c{k} c JOIN {name}r{k} r ON r.g = c.g AND r.pos = c.pos // 16)"""]
+    return ",\n".join(out)
+
+
+_TERMS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')")
+
 SQL = {
     "op3_chat_formatting": """
     WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position,
@@ -67,4 +99,28 @@ SQL = {
     SELECT d.doc_id, i.item_id, n.n::BIGINT AS item_shingles, count(*)::BIGINT AS shared
     FROM d JOIN i ON d.s = i.s JOIN n ON n.item_id = i.item_id
     GROUP BY d.doc_id, i.item_id, n.n HAVING 100 * count(*) >= 75 * n.n""",
+    "op11_merkle_manifest": f"""
+    WITH l AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, {_leaf("text")} AS leaf,
+                 CASE WHEN {_CRC} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+               FROM documents),
+    p AS (SELECT doc_id, g, leaf, coalesce(changed, leaf) AS changed, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+            count(*) OVER (PARTITION BY g) AS m FROM l),
+    {_tree("s", "(SELECT g, pos, leaf AS h, m FROM p)", "(SELECT doc_id, leaf, g, pos, changed AS acc, '' AS proof FROM p)", 6)},
+    {_tree("u", "(SELECT 0 AS g, g AS pos, h, (SELECT count(*) FROM s6) AS m FROM s6)",
+           "(SELECT c.doc_id, c.leaf, s6.h AS subroot, 0 AS g, c.g AS pos, c.acc, c.proof FROM sc6 c JOIN s6 ON s6.g = c.g)", 4)}
+    SELECT doc_id, leaf, subroot, u4.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = u4.h AS verified
+    FROM uc4 JOIN u4 ON true""",
+    "op13_ranked_search": f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS w FROM documents),
+    tf AS (SELECT r, doc_id, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+    n AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+    st AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM n),
+    df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+    w AS (SELECT term, floor(1000 * ln(((2 * nn + 2)::DOUBLE) / (2 * df + 1)))::BIGINT AS w FROM df, st),
+    i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+    s AS (SELECT i.item_id, tf.r, tf.doc_id,
+            sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (100 - 90 + ((90 * n.n * st.nn) // st.ll)))))::BIGINT AS score
+          FROM i JOIN tf ON tf.term = i.term JOIN w ON w.term = i.term JOIN n ON n.r = tf.r, st GROUP BY ALL),
+    k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM s WHERE score > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 10""",
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetpulse.llm import chat, decontamination, language_model, near_dedup, packing, quality, sharding, token_files, vector_dedup, warc
+from assetpulse.llm import (chat, decontamination, language_model, merkle, near_dedup, packing, quality, ranked_search, sentence_pieces, sharding,
+                            token_files, vector_dedup, warc)
 from assetpulse.llm.oracle_sql import SQL
 from assetpulse.llm.shared import table
 from assetpulse.llm.tokens import vocabulary
@@ -61,7 +62,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root, proof and the recomputed root of every document, as ``merkle.audit`` defines them."""
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded text of every document, as ``sentence_pieces.round_trip`` defines them."""
+    return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item, as ``ranked_search.search`` defines them."""
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_chat_formatting, op4_warc, op5_token_files, op6_sharding,
-                                   op7_vector_dedup, op8_minhash_near_dedup, op9_decontamination, op10_lm_scoring)}
+                                   op7_vector_dedup, op8_minhash_near_dedup, op9_decontamination, op10_lm_scoring, op11_merkle_manifest,
+                                   op12_sentencepiece, op13_ranked_search)}
 
 __all__ = ["QUERIES", "SQL"]
