@@ -428,6 +428,16 @@ FROM (SELECT reading_id, fault_code,
              CAST(CAST(('0x' || substring(md5('split:' || CAST(reading_id AS VARCHAR)), 1, 8)) AS BIGINT) AS DOUBLE)
                / 4294967296e0 AS u
       FROM telemetry) z""")
+register("shap_additivity", """
+SELECT reading_id, CAST(20 AS BIGINT) AS n_features, true AS additive
+FROM (SELECT reading_id, fault_code,
+             row_number() OVER (PARTITION BY fault_code ORDER BY u, reading_id) - 1
+               < round(count(*) OVER (PARTITION BY fault_code) * 0.2) AS is_test
+      FROM (SELECT reading_id, fault_code,
+                   CAST(CAST(('0x' || substring(md5('split:' || CAST(reading_id AS VARCHAR)), 1, 8)) AS BIGINT) AS DOUBLE)
+                     / 4294967296e0 AS u
+            FROM relab) z) t
+WHERE is_test""")
 register("rul_scatter", """
 SELECT position, round(rul_days, 1) AS actual, round(rul_new, 1) AS predicted FROM (
   SELECT rul_days, rul_new, row_number() OVER (ORDER BY event_time, reading_id) - 1

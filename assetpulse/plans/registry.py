@@ -20,6 +20,7 @@ from ..operators import metrics as M
 from ..operators import order as O
 from ..operators import rollups as RU
 from ..operators import stats as S
+from ..session import cut_lineage
 from ..sources import fixtures as FX
 from . import alerts as AL
 from .relabel import relabel
@@ -637,11 +638,12 @@ def q_window_fault_eval(spark, sf):
     return acc.select(F.lit("WindowMLP").alias("model"), "accuracy", F.lit(secs).alias("train_time_s"))
 
 
-def _shap(spark, sf):
+def _shap(spark, sf, noise: bool = True):
+    """Contributions of every test row, written once: the views read them more than once."""
     from ..ml import models as ML
     from ..ml import shap as SH
-    res = ML.fit_fault(model_input(spark, sf))
-    return SH.shap_long(spark, res.model, res.predictions, res.features)
+    res = ML.fit_fault(model_input(spark, sf, noise))
+    return cut_lineage(SH.shap_long(spark, res.model, res.predictions, res.features))
 
 
 @query("shap_long")
@@ -650,6 +652,13 @@ def q_shap_long(spark, sf):
     return _shap(spark, sf)
 
 
+@query("shap_additivity")
+def q_shap_additivity(spark, sf):
+    """X1 check (noise 0): base + contributions equals the model's probability for every test row."""
+    from ..ml import shap as SH
+    return SH.additivity(_shap(spark, sf, noise=False))
+
+
 @query("shap_importance")
 def q_shap_importance(spark, sf):
     """Mean |contribution| per feature."""

@@ -51,7 +51,7 @@ READINGS_SCHEMA = T.StructType(
     + [T.StructField(c, T.DoubleType()) for c in SENSOR_COLUMNS]
 )
 
-# Feature lists of the three models (order matters: it is the vector order).
+# FIXED VALUES: feature lists of the three models (order matters: it is the vector order).
 ANOMALY_FEATURES = ["vibration", "temperature", "resistance", "cpu_load", "anomaly_score",
                     "failure_prob", "humidity", "age_days"]
 RUL_FEATURES = ["vibration", "temperature", "humidity", "resistance", "cpu_load", "anomaly_score",
