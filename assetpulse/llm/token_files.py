@@ -238,7 +238,7 @@ def read_token_files(files: DataFrame, folder: str, with_ids: bool = False) -> D
                     out["ids"] = docs
                 yield out
 
-    return files.select("file", "start").repartition(F.col("file")).mapInPandas(
+    return files.select("file", "start").repartition(max(1, files.count())).mapInPandas(
         read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 

@@ -2,14 +2,18 @@
 
 Both vocabularies split a text by a pattern before any merge, so the ids of a
 text are the ids of its pre-tokens in a row. Pre-tokens repeat, so each distinct
-one goes through the tokenizers library once and its ids are then looked up.
+one goes through the tokenizers library once and its ids are then looked up. New
+pre-tokens are encoded many at a time, as one text; where the words end is read
+from the ids (an end-of-word mark, or the length in bytes).
 Texts with characters whose class or case might be read differently by the two
-pattern engines, or that hold the string of a special token, are encoded whole
-by the library instead: the result is the library's in every case.
+pattern engines (capitals whose small letter lies beyond the plain range among
+them), or that hold the string of a special token, are encoded whole by the
+library instead.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -19,11 +23,13 @@ import numpy as np
 
 #: The vocabularies' split patterns; {L} letters, {N} digits.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
+WORD_PATTERN = r"[{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{N}]|[^\s{L}{N}]+"
 
 _PLAIN_END = 0x250
 #: Distinct pre-tokens in each of the cache's two generations (a worker holds about 200 bytes for each).
 CACHE_ENTRIES = 600_000
+#: New pre-tokens that are encoded as one text.
+JOINED = 2_000
 
 
 def _chars(kind: str) -> str:
@@ -43,7 +49,17 @@ class Encoder:
         self.split = re.compile(pattern.replace("{L}", _chars("L")).replace("{N}", _chars("N"))).findall
         # Outside the plain range: separators that the engines class differently, a
         # dotted capital that lower-cases to two characters, and special tokens.
-        self.odd = re.compile("[^\x00-\x1b\x20-įı-ɏ]|<\\|").search
+        odd = "[^\x00-\x1b\x20-įı-ɏ]|<\\|"
+        if self.lower:  # capitals whose small letter is outside
+            odd += "|[" + "".join(c for c in map(chr, range(_PLAIN_END)) if max(c.lower()) >= chr(_PLAIN_END)) + "]"
+        self.odd = re.compile(odd).search
+        model = json.loads(self.library.to_str())["model"]
+        mark = model.get("end_of_word_suffix")
+        size = 1 + max(model["vocab"].values())
+        #: Of each id: its bytes, or whether it ends a word.
+        self.measure = np.zeros(size, np.int64)
+        for piece, i in model["vocab"].items():
+            self.measure[i] = (piece.endswith(mark) if mark else len(piece))
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -67,10 +83,41 @@ class Encoder:
                     new.append(w)
                 else:
                     cache[w] = ids
-        if new:
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+        self._add(new)
+        return b"".join(map(cache.__getitem__, words))
+
+    def _add(self, new: list[str]) -> None:
+        """Ids of new pre-tokens, those that can stand side by side together."""
+        alone = new
+        if self.lower:
+            alone = self._joined(new, " ", lambda run, ids: np.flatnonzero(self.measure[ids]) + 1)
+        elif new:
+            def ends(run: list[str], ids: np.ndarray) -> np.ndarray:
+                wanted = np.cumsum([len(w.encode()) for w in run])
+                at = np.cumsum(self.measure[ids])
+                place = np.searchsorted(at, wanted)
+                return place + 1 if len(at) and (at[np.minimum(place, len(at) - 1)] == wanted).all() else place[:0]
+
+            word = [w for w in new if w[0] == " " and w[1:].isalpha()]
+            alone = [w for w in new if w[0] != " " or not w[1:].isalpha()] + self._joined(word, "", ends)
+        for w, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.cache[w] = np.asarray(e.ids, "<u4").tobytes()
+
+    def _joined(self, words: list[str], between: str, ends) -> list[str]:
+        """Encode runs of words as one text each; returns the words of runs whose ids could not be told apart."""
+        left = []
+        for i in range(0, len(words), JOINED):
+            run = words[i : i + JOINED]
+            ids = np.asarray(self.library.encode_batch_fast([between.join(run)], add_special_tokens=False)[0].ids, "<u4")
+            end = ends(run, ids)
+            if len(end) != len(run) or end[-1] != len(ids):
+                left += run
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, e in zip(run, (4 * end).tolist(), strict=True):
+                self.cache[w] = raw[at:e]
+                at = e
+        return left
 
 
 @lru_cache(maxsize=4)
