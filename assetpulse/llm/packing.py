@@ -4,9 +4,11 @@ Pieces are dealt into partitions of about ``PARTITION`` pieces. Each partition i
 packed by best-fit decreasing and compared with a lower bound on any packing of
 it: the largest ``ceil(sum of f(length))`` over a family of dual-feasible
 functions f. Where the bin count equals the bound the partition is certified and
-final. Partitions with a gap put the pieces of their unfilled bins into a common
-pool, the pool is dealt anew into fewer partitions and packed again, until all
-are certified or an exchange saves nothing.
+final. Partitions with a gap put their unfilled bins, and as many filled ones, into
+a common pool that is dealt anew into fewer partitions, where the documents of all
+bins of a partition are packed again. A partition keeps the better of both packings,
+so no exchange loses anything; they end when the number of sequences reaches the
+bound of the whole table, or after ``ROUNDS``.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetpulse.llm.shared import materialise
@@ -81,10 +83,11 @@ def dual_feasible(capacity: int) -> np.ndarray:
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     """Fewest bins that any packing of ``lengths`` can have, by the best function of the family."""
-    if not len(lengths):
-        return 0
-    sums = dual_feasible(capacity) @ np.bincount(lengths, minlength=capacity + 1)
-    return int(np.ceil(sums.max() - 1e-6))
+    return _bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def _bound(histogram: np.ndarray, capacity: int) -> int:
+    return int(np.ceil((dual_feasible(capacity) @ histogram).max() - 1e-6))
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -109,61 +112,74 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets
 
 
+def _waste(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int, int]:
+    """Bins used, and (smaller is better) how evenly their room is spread: room in few bins takes further pieces."""
+    room = capacity - np.bincount(bins, lengths).astype(np.int64)
+    return len(room), -int((room * room).sum())
+
+
 def pack(pieces_of: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION, rounds: int = ROUNDS) -> DataFrame:
     """``pieces_of`` (with ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``.
 
     Pieces of one ``sequence_id`` lie gapless from offset 0 and hold at most
-    ``capacity`` tokens. Every row is packed, repeated rows and null ids too;
-    extra columns come along. An empty table gives no rows.
+    ``capacity`` tokens. Every row is packed, repeated rows and null ids too: rows
+    are dealt by a number fixed when they are written. Extra columns come along
+    under any name; columns called ``sequence_id`` or ``offset`` are replaced. An
+    empty table gives no rows.
     """
     columns = [c for c in pieces_of.columns if c not in ("sequence_id", "offset")]
-    rows = materialise(pieces_of.select(*columns), "pieces")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    schema = f"{kept}, sequence_id long, offset long, bins long, final boolean, first boolean"
-
-    def packed(pool: DataFrame, turn: int, count: int) -> DataFrame:
-        groups = max(1, -(-count // partition))
-
+    number = "row"
+    while number in columns:
+        number += "_"
+    rows = materialise(pieces_of.select(*columns).withColumn(number, F.monotonically_increasing_id()), "pieces")
+    # Only a number, a length and a bin travel between the partitions.
+    narrow = rows.select(F.col(number).alias("row"), F.col("length").cast("int").alias("length"))
+    by_length = dict(narrow.groupBy("length").count().collect())  # at most ``capacity`` rows
+    count = sum(by_length.values())
+    histogram = np.zeros(capacity + 1)
+    histogram[list(by_length)] = list(by_length.values())
+    bound = _bound(histogram, capacity)
+
+    def packed(pool: DataFrame, deal: Column, turn: int, groups: int) -> DataFrame:
+        """Each group packed anew; bins that come along stay as they are where that is no better."""
         def one(part: pd.DataFrame) -> pd.DataFrame:
-            group = int(part["__group"].iloc[0])
-            part = part.drop(columns="__group")
+            group = int(part["group"].iloc[0])
             lengths = part["length"].to_numpy(np.int64)
             bins, offsets = best_fit_decreasing(lengths, capacity)
-            made = int(bins.max()) + 1
-            full = np.bincount(bins, lengths) == capacity
-            certified = made == lower_bound(lengths, capacity)
-            part["sequence_id"] = (turn << 58) + (group << 24) + bins
-            part["offset"], part["bins"] = offsets, made
-            part["final"] = certified | full[bins]
-            part["first"] = offsets == 0
-            return part
-
-        # Dealt at random (the same way at every run): a hash of the row and its place.
-        dealt = pool.withColumn("__group", F.pmod(F.xxhash64(*columns, F.lit(turn)), F.lit(groups)).cast("int"))
-        return materialise(dealt.groupBy("__group").applyInPandas(one, schema), "packed")
-
-    done, before = [], None
-    pool, count = rows, rows.count()
-    for turn in range(1, rounds + 1):
-        tried = packed(pool, turn, count)
-        open_now = tried.filter("not final")
-        left, used = open_now.agg(F.count("*"), F.coalesce(F.sum(F.col("first").cast("long")), F.lit(0))).first()
-        made = tried.filter("first").count()
-        if before is not None and made >= before[1]:  # the exchange saved nothing: keep the packing before it
-            done.append(before[0])
-            break
-        done.append(tried.filter("final"))
-        if not left:
-            break
-        # A lone partition has nobody to exchange with.
-        if turn == rounds or count <= partition:
-            done.append(open_now)
-            break
-        pool, count, before = open_now.select(*columns), left, (open_now, used)
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out.select(*columns, "sequence_id", "offset")
+            least = lower_bound(lengths, capacity)
+            ids = (turn << 58) + (group << 24) + bins
+            if turn > 1:
+                _, old = np.unique(part["sequence_id"].to_numpy(), return_inverse=True)
+                if _waste(old, lengths, capacity) <= _waste(bins, lengths, capacity):
+                    bins, offsets, ids = old, part["offset"].to_numpy(), part["sequence_id"].to_numpy()
+            fill = np.bincount(bins, lengths)[bins]
+            return pd.DataFrame({"row": part["row"], "length": part["length"], "sequence_id": ids, "offset": offsets, "room": capacity - fill,
+                                 "certified": bins.max() + 1 == least})
+
+        dealt = pool.withColumn("group", F.pmod(deal, F.lit(groups)).cast("int"))
+        return materialise(dealt.groupBy("group").applyInPandas(
+            one, "row long, length int, sequence_id long, offset long, room long, certified boolean"), "packed")
+
+    # Dealt at random (the same way at every run).
+    now = packed(narrow, F.xxhash64("row"), 1, max(1, -(-count // partition)))
+    if count > partition:  # a lone partition has nobody to exchange with
+        for turn in range(2, rounds + 1):
+            if now.filter("offset = 0").count() <= bound:
+                break
+            # Whole bins change places: those with room, of partitions with a gap, and as many filled ones to combine with.
+            heads = now.filter("offset = 0 and not certified")
+            open_bins, full = heads.agg(F.coalesce(F.sum((F.col("room") > 0).cast("long")), F.lit(0)), F.count("*")).first()
+            if not open_bins:
+                break
+            share = min(1.0, open_bins / max(1, full - open_bins))
+            drawn = F.pmod(F.xxhash64("sequence_id", F.lit(-turn)), F.lit(1 << 20)) < share * (1 << 20)
+            moves = ~F.col("certified") & ((F.col("room") > 0) | drawn)
+            pool = now.filter(moves)
+            groups = max(1, -(-pool.count() // partition))
+            again = packed(pool, F.xxhash64("sequence_id", F.lit(turn)), turn, groups)
+            now = materialise(now.filter(~moves).union(again), "packed")
+    placed = now.select(F.col("row").alias(number), "sequence_id", "offset")
+    return rows.join(placed, number).select(*columns, "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
