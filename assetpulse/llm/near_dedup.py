@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from assetpulse.llm import textscan
 from assetpulse.llm.components import connected_components
-from assetpulse.llm.shared import materialise
+from assetpulse.llm.shared import bounded_batches, materialise
 
 SKETCH = 64
 OVERLAP = 30
@@ -185,6 +185,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links with nothing, its component is null and it is kept. Other columns are
     not read. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     sketches = materialise(shingle_sketches(docs), "sketches")
     classes = materialise(_classes(sketches), "classes")
     must = F.least(F.lit(OVERLAP), F.ceil(F.col("n") * PERCENT / 100))
@@ -219,6 +220,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group (all columns as they were)."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each near-duplicate group: that with the smallest doc_id (null last), all columns as they were.
+
+    Rows are compared one by one, so of rows that repeat a doc_id, and of equal
+    rows without one, one stays too. Rows without words are in no group and stay.
+    """
+    number = "row"
+    while number in docs.columns:
+        number += "_"
+    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    id_of = F.col("doc_id").cast("long")
+    found = near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias(number), "component_id").join(rows.select(number, id_of.alias("doc_id")), number)
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", number)).alias("first"))
+    stay = first.select(F.col("first")[number].alias(number))
+    return rows.join(stay, number, "left_semi").select(*docs.columns)

@@ -1,4 +1,4 @@
-"""Intermediate tables in the shared folder, and the session limits that every operator sets."""
+"""Intermediate tables in the shared folder, and the limit on what reaches a Python worker at once."""
 
 from __future__ import annotations
 
@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from assetpulse.session import ensure_checkpoint_dir
 
 
+#: Bytes of one batch of rows that Spark hands to a Python worker (at least one row).
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound batches by bytes where long texts travel; a tighter setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder; it goes when the application ends."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
