@@ -215,7 +215,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                         out, size = [], 0
                 yield _frame(out)
 
-    return files.repartition(F.col("file")).mapInPandas(
+    return files.repartition(max(1, files.count())).mapInPandas(
         read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
