@@ -38,12 +38,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetpulse.llm.shared import materialise
+from assetpulse.llm.shared import bounded_batches, materialise
 from assetpulse.llm.textscan import _CODE, _LOWER, _POWERS, mix
 
 BLOCK = 128
 #: A shard is closed beyond so many bytes of text or documents; texts are scanned in parts of about PART_BYTES.
-SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 16
+SHARD_BYTES, SHARD_DOCS = 8 << 20, 1 << 16
 PART_BYTES = 1 << 20
 #: Items are searched together up to about so many of their terms.
 ITEM_TERMS = 200_000
@@ -212,6 +212,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         if shard.ids:
             yield pd.DataFrame([shard.row()])
 
+    bounded_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return materialise(read.mapInPandas(run, INDEX), "search-index")
 

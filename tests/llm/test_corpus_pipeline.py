@@ -22,5 +22,5 @@ def test_stages_take_effect(spark):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(k[2:].split("_")[0]) for k in entry.queries() if k.startswith("op") and k[2].isdigit())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert "pipeline" in entry.queries()

@@ -347,3 +347,39 @@ def test_seating_follows_the_process():
     want = sum(k * p for k, p in dist.items())
     assert abs(t.mean() - want) < 0.02 and t.min() >= 1 and t.max() <= 5
     assert (language_model.seat(np.array([0, 1, 1000]), np.full(3, 2.0), 0.5, rng)[:2] == [0, 1]).all()
+
+
+def test_encoder_equals_the_library_on_plain_and_african_letters(monkeypatch):
+    from assetpulse.llm import tokens
+    rng = random.Random(12)
+    plain = [chr(c) for c in range(0x20, 0x250)]
+    monkeypatch.setattr(tokens, "JOINED", 5)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder = tokens.Encoder(tokens.vocabulary(name))
+        texts = ["ƐA", "Ɩf", "Ʋb", "it's I'LL '' 's 12"]
+        texts += ["".join(rng.choice(plain) if rng.random() < 0.6 else rng.choice("ab 's 't'rE 12\n\t  ƐƖƲ.,!İ日") for _ in range(rng.randrange(16))) for _ in range(8000)]
+        for text in texts:
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_packing_keeps_clashing_columns_and_spreads_equal_rows(spark):
+    rows = [(1, 0, 0, 300, 0, 5, True, "g", 7.5)] * 500 + [(i, 0, 0, 100 + i % 800, 0, i, False, None, 0.0) for i in range(300)]
+    names = "doc_id long, piece int, start long, length long, ids_crc32 long, bins long, final boolean, row string, `group` double, sequence_id int"
+    df = spark.createDataFrame([(*r, 0) for r in rows], names)
+    got = packing.pack(df, partition=60).collect()
+    assert sorted((r.doc_id, r.length, r.bins, r.final, str(r.row), r.group) for r in got) == sorted((r[0], r[3], r[5], r[6], str(r[7]), r[8]) for r in rows)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:i]) for i in range(len(b))] and sum(n for _, n in b) <= 1024
+
+
+def test_deduplicated_keeps_one_of_repeated_rows(spark):
+    text = "one two three four five six seven"
+    rows = [(4, text, 1)] * 3 + [(None, text, 2)] * 2 + [(3, text + " ", 3), (9, "", 4), (9, "", 4), (10, None, 5), (11, "other words here", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    got = near_dedup.deduplicated(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), r.row) for r in got.collect()) == [("10", 5), ("11", 6), ("3", 3), ("9", 4), ("9", 4)]
