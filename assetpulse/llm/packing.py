@@ -40,13 +40,13 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
     first may be shorter. ``ids`` are little-endian unsigned 32-bit integers.
     """
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary).encode
+        encode_all = encoder(vocabulary).encode_all
         end = int(end_id).to_bytes(4, "little")
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
         for part in parts:
             rows, size = [], 0
-            for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
-                raw = encode(text) + end
+            for doc_id, raw in zip(part["doc_id"], encode_all(part["text"]), strict=True):
+                raw += end
                 n = len(raw) // 4
                 first = n % capacity or capacity
                 for k, start in enumerate([0, *range(first, n, capacity)]):

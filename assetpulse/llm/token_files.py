@@ -179,7 +179,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode = encoder(vocabulary).encode
+        encode_all = encoder(vocabulary).encode_all
         system, root = _filesystem(folder)
         system.create_dir(root, recursive=True)
         task, shard, end = TaskContext.get().partitionId(), 0, int(end_id).to_bytes(4, "little")
@@ -201,8 +201,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
 
         ids, names, size = [], [], 0
         for part in parts:
-            for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
-                raw = encode(text) + end
+            for doc_id, raw in zip(part["doc_id"], encode_all(part["text"]), strict=True):
+                raw += end
                 ids.append(raw)
                 names.append(doc_id)
                 size += len(raw) // 4

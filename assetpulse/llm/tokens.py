@@ -1,8 +1,9 @@
 """Token ids of texts by a public tokenizer file, with a cache of pre-tokens.
 
 Both vocabularies split a text by a pattern before any merge, so the ids of a
-text are the ids of its pre-tokens in a row. Pre-tokens repeat, so each distinct
-one goes through the tokenizers library once and its ids are then looked up. New
+text are the ids of its pre-tokens in a row. Pre-tokens repeat (and so do the words
+with their punctuation between white space), so each distinct one goes through the
+tokenizers library once and its ids are then looked up. New
 pre-tokens are encoded many at a time, as one text; where the words end is read
 from the ids (an end-of-word mark, or the length in bytes).
 Texts with characters whose class or case might be read differently by the two
@@ -17,6 +18,7 @@ import json
 import os
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +30,8 @@ WORD_PATTERN = r"[{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{N}]|[^\s{L}{N}]+"
 _PLAIN_END = 0x250
 #: Distinct pre-tokens in each of the cache's two generations (a worker holds about 200 bytes for each).
 CACHE_ENTRIES = 600_000
-#: New pre-tokens that are encoded as one text.
-JOINED = 2_000
+#: New pre-tokens that are encoded as one text; characters of texts whose new ones are gathered.
+JOINED, TOGETHER = 2_000, 1 << 19
 
 
 def _chars(kind: str) -> str:
@@ -67,24 +69,48 @@ class Encoder:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.odd(text):
-            return self.whole(text)
-        words = self.split(text.lower() if self.lower else text)
-        distinct = set(words)
-        if len(self.cache) + len(distinct) > CACHE_ENTRIES:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text; texts of about ``TOGETHER`` characters share the look for new pre-tokens."""
+        run, size = [], 0
+        for text in texts:
+            text = text if isinstance(text, str) else ""
+            run.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._run(run)
+                run, size = [], 0
+        yield from self._run(run)
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        # The word vocabulary drops white space, so what stands between it is encoded on its own.
+        words = [None if self.odd(t) else t.lower().split() if self.lower else self.split(t) for t in texts]
+        distinct = set().union(*(w for w in words if w is not None))
+        if len(self.cache) + 2 * len(distinct) > CACHE_ENTRIES:
             self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
-        new = []
-        for w in distinct:
+        new = self._unknown(distinct)
+        if self.lower:
+            parts = {w: self.split(w) for w in new}
+            self._add(self._unknown({p for ps in parts.values() for p in ps}))
+            for w, ps in parts.items():
+                if w not in self.cache:
+                    self.cache[w] = b"".join(map(self.cache.__getitem__, ps))
+        else:
+            self._add(new)
+        ids = self.cache.__getitem__
+        return [self.whole(t) if w is None else b"".join(map(ids, w)) for t, w in zip(texts, words, strict=True)]
+
+    def _unknown(self, words: set[str]) -> list[str]:
+        """Those that neither generation of the cache holds; the older one's come to the newer."""
+        cache, older, new = self.cache, self.older, []
+        for w in words:
             if w not in cache:
                 if (ids := older.get(w)) is None:
                     new.append(w)
                 else:
                     cache[w] = ids
-        self._add(new)
-        return b"".join(map(cache.__getitem__, words))
+        return new
 
     def _add(self, new: list[str]) -> None:
         """Ids of new pre-tokens, those that can stand side by side together."""
