@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from assetpulse.llm import textscan
 from assetpulse.llm.components import connected_components
-from assetpulse.llm.shared import bounded_batches, materialise
+from assetpulse.llm.shared import bounded_batches, give_back, materialise
 
 SKETCH = 64
 OVERLAP = 30
@@ -59,6 +59,7 @@ def _sketches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sketch.append((s[:SKETCH] ^ _SIGN).view(np.int64))
         yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": n, "digest": digest, "sketch": sketch})
+        give_back()
 
 
 def shingle_sketches(docs: DataFrame) -> DataFrame:
@@ -97,6 +98,7 @@ def _full_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         sets = [s.view(np.int64) for _, run in textscan.slices(part["text"]) for s in textscan.shingle_sets(run)]
         yield pd.DataFrame({"rep": part["doc_id"], "n": [len(x) for x in sets], "shingles": sets})
+        give_back()
 
 
 def _exact_lists(texts: DataFrame, reps: DataFrame) -> DataFrame:
@@ -166,6 +168,7 @@ def _verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             both = len(np.intersect1d(left, right, assume_unique=True))
             keep.append(100 * both >= PERCENT * (len(left) + len(right) - both))
         yield part.loc[np.asarray(keep, bool), ["a", "b"]]
+        give_back()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
