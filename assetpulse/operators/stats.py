@@ -8,10 +8,10 @@ expressions as literals. No unpartitioned window.
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from . import selection
 
 
 def one_row_stats(df: DataFrame, aggs: dict) -> DataFrame:
@@ -40,10 +40,8 @@ def quantiles(df: DataFrame, spec: dict[str, list[float]], method: str = "exact"
               accuracy: int = 100000) -> DataFrame:
     """A10: one-row table of linear-interpolated quantiles ``<col>_q<permille>``.
 
-    method='exact'  one path at every size: equal values are counted first (with
-                    map-side combine, so a value that holds most rows is one row
-                    afterwards), the distinct values are range-partitioned, and
-                    the needed ranks are found in their running counts.
+    method='exact'  ranks found by narrowing (``operators.selection``): a few passes
+                    over the columns, one path at every size, no sort and no shuffle of rows.
                     'sort' and 'auto' are other names of the same path.
     method='approx' ``percentile_approx`` (rank error 1/accuracy), one pass.
 
@@ -54,40 +52,25 @@ def quantiles(df: DataFrame, spec: dict[str, list[float]], method: str = "exact"
                         for c, qs in spec.items() for q in qs])
     if method not in ("exact", "sort", "auto"):
         raise ValueError(f"unknown quantile method {method}")
-    return _counted_quantiles(df, spec)
-
-
-def _counted_quantiles(df: DataFrame, spec: dict[str, list[float]]) -> DataFrame:
-    cols = list(spec)
-    spark = df.sparkSession
-    pairs = (df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("p"))
-        .select("p.name", "p.v")
-        .where(F.col("v").isNotNull() & ~F.isnan("v")))
-    counted = pairs.groupBy("name", "v").agg(F.count(F.lit(1)).alias("_c"))
-    # Ranges of distinct values, fixed by the checkpoint; a running count inside each.
-    ranged = cut_lineage(counted.repartitionByRange("name", "v").withColumn("_pid", F.spark_partition_id()))
-    inside = Window.partitionBy("_pid", "name").orderBy("v")
-    ranged = ranged.withColumn("_end", F.sum("_c").over(inside))
-    # One row per (range, column): where the range begins in the column's order.
-    per = ranged.groupBy("name", "_pid").agg(F.sum("_c").alias("_n"))
-    by_name = Window.partitionBy("name")
-    offsets = per.select("name", "_pid", F.sum("_n").over(by_name).alias("_total"),
-                         (F.sum("_n").over(by_name.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    wanted = spark.createDataFrame([(c, float(q)) for c in cols for q in spec[c]], "name string, q double")
-    pos = (wanted.join(offsets.select("name", "_total").distinct(), "name")
-           .withColumn("_pos", F.col("q") * (F.col("_total") - 1)))
-    rank = pos.select("name", "q", "_pos", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))).alias("_rank")).distinct()
-    placed = ranged.join(F.broadcast(offsets), ["name", "_pid"]).select(
-        "name", "v", (F.col("_off") + F.col("_end") - F.col("_c")).alias("_lo"), (F.col("_off") + F.col("_end")).alias("_hi"))
-    # Two ranks for each asked quantile: a constant table.
-    hit = placed.join(F.broadcast(rank), "name").where((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
-    vals = hit.groupBy("name", "q").agg(F.min("v").alias("_vlo"), F.max("v").alias("_vhi"), F.first("_pos").alias("_pos"))
-    vals = vals.select("name", "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo"))
-                                     * (F.col("_pos") - F.floor("_pos"))).alias("value"))
-    key = F.concat(F.col("name"), F.lit("_q"), F.lpad(F.round(F.col("q") * 1000).cast("int").cast("string"), 3, "0"))
-    names = [_qname(c, q) for c in cols for q in spec[c]]
-    return vals.withColumn("_k", key).groupBy().pivot("_k", names).agg(F.first("value"))
+    found = selection.table_statistics(df, spec)[0]
+    names = [_qname(c, q) for c, q in found]
+    return df.sparkSession.createDataFrame([tuple(found.values())], ", ".join(f"`{x}` double" for x in names))
+
+
+def quantile_values(df: DataFrame, spec: dict[str, list[float]], method: str = "exact") -> dict[str, float | None]:
+    """The quantiles as numbers, for expressions that hold them as literals."""
+    if method in ("exact", "sort", "auto"):
+        return {_qname(c, q): v for (c, q), v in selection.table_statistics(df, spec)[0].items()}
+    return values(quantiles(df, spec, method=method))
+
+
+def statistics(df: DataFrame, spec: dict[str, list[float]], ranges: list[str], method: str = "exact") -> dict[str, float | None]:
+    """Quantiles (as ``quantile_values``) and ``<c>_min`` / ``<c>_max`` of ``ranges``, in the same passes."""
+    extra = {f"{c}_{k}": f(c) for c in ranges for k, f in (("min", F.min), ("max", F.max))}
+    if method in ("exact", "sort", "auto"):
+        found, more = selection.table_statistics(df, spec, extra)
+        return {_qname(c, q): v for (c, q), v in found.items()} | more
+    return quantile_values(df, spec, method) | values(one_row_stats(df, extra))
 
 
 def quantile_lookup(stats, spec: dict[str, list[float]]) -> dict:
@@ -113,5 +96,5 @@ def mean_sd_stats(df: DataFrame, col: str, sample: bool = True) -> DataFrame:
     return one_row_stats(df, {f"{col}_mean": F.avg(col), f"{col}_sd": sd})
 
 
-__all__ = ["one_row_stats", "values", "attach_values", "quantiles", "quantile_lookup",
+__all__ = ["one_row_stats", "values", "attach_values", "quantiles", "quantile_values", "statistics", "quantile_lookup",
            "minmax_stats", "mean_sd_stats"]

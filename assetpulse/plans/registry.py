@@ -41,7 +41,10 @@ def query(name: str):
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Readings + health score + both alert levels."""
-    t = FX.telemetry(spark, sf)
+    return with_levels(FX.telemetry(spark, sf))
+
+
+def with_levels(t: DataFrame) -> DataFrame:
     return (t.withColumn("alert_level_basic", R.alert_level(t, C.BASIC_THRESHOLDS))
              .withColumn("alert_level_full", R.alert_level(t, C.FULL_THRESHOLDS))
              .withColumn("health_score", R.health_score(t)))
@@ -50,13 +53,14 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 def with_edge_flag(df: DataFrame, q: float = 0.92) -> DataFrame:
     """Rule flag used where the SQL check needs a deterministic anomaly flag:
     edge anomaly score above its table quantile ``q`` (top 8 %)."""
-    st = S.values(S.quantiles(df, {"anomaly_score": [q]}))
+    st = S.quantile_values(df, {"anomaly_score": [q]})
     (name, thr), = st.items()
     return df.withColumn("edge_flag", (F.col("anomaly_score") > F.lit(thr)).cast("int"))
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
-    return with_edge_flag(scored(spark, sf))
+    """Scored readings with the rule flag; their roll-ups need no fault code."""
+    return with_edge_flag(with_levels(FX.base_readings(spark, sf)))
 
 
 def block_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,32 +96,32 @@ def q_alert_log(spark, sf):
 @query("health_score")
 def q_health_score(spark, sf):
     """F4 + F5."""
-    return scored(spark, sf).select("reading_id", "health_score")
+    return with_levels(FX.base_readings(spark, sf)).select("reading_id", "health_score")
 
 
 @query("alert_level_basic")
 def q_alert_level_basic(spark, sf):
     """F6."""
-    return scored(spark, sf).select("reading_id", "alert_level_basic")
+    return with_levels(FX.base_readings(spark, sf)).select("reading_id", "alert_level_basic")
 
 
 @query("alert_level_full")
 def q_alert_level_full(spark, sf):
     """F7."""
-    return scored(spark, sf).select("reading_id", "alert_level_full")
+    return with_levels(FX.base_readings(spark, sf)).select("reading_id", "alert_level_full")
 
 
 @query("alert_score")
 def q_alert_score(spark, sf):
     """F10 on every reading (no forest flag column: default 0)."""
-    t = FX.telemetry(spark, sf)
+    t = FX.base_readings(spark, sf)
     return t.select("reading_id", R.alert_score(t).alias("alert_score"))
 
 
 @query("rul_band")
 def q_rul_band(spark, sf):
     """F8."""
-    return FX.telemetry(spark, sf).select("reading_id", "rul_days", R.rul_band(F.col("rul_days")).alias("rul_band"))
+    return FX.base_readings(spark, sf).select("reading_id", "rul_days", R.rul_band(F.col("rul_days")).alias("rul_band"))
 
 
 @query("health_band")
@@ -139,7 +143,7 @@ def q_maintenance_map(spark, sf):
     """J2."""
     t = FX.base_readings(spark, sf)
     spec = FX.cascade_spec()
-    st = S.values(S.quantiles(t, spec))
+    st = S.quantile_values(t, spec)
     coded = t.withColumn("fault_code", R.fault_cascade(S.quantile_lookup(st, spec)))
     return L.map_actions(coded).select("reading_id", "fault_code", "maintenance_action")
 
@@ -170,21 +174,19 @@ def q_sensor_quantiles(spark, sf):
 @query("rul_recompute")
 def q_rul_recompute(spark, sf):
     """F11 + F13 (noise 0 for the check)."""
-    return relabel(FX.telemetry(spark, sf)).select("reading_id", F.col("rul_days").alias("rul_days_new"))
+    return relabel(FX.base_readings(spark, sf)).select("reading_id", F.col("rul_days").alias("rul_days_new"))
 
 
 @query("prob_blend")
 def q_prob_blend(spark, sf):
     """J3 + F14 (noise 0 for the check)."""
-    return relabel(FX.telemetry(spark, sf)).select("reading_id", "fault_code",
-                                                   F.col("failure_prob").alias("failure_prob_new"))
+    return relabel(FX.base_readings(spark, sf)).select("reading_id", "fault_code", F.col("failure_prob").alias("failure_prob_new"))
 
 
 @query("relabel")
 def q_relabel(spark, sf):
     """F12 -> J2 -> F13 -> F14 (noise 0 for the check)."""
-    out = relabel(FX.telemetry(spark, sf))
-    return out.select(*FX.telemetry(spark, sf).columns)
+    return relabel(FX.base_readings(spark, sf)).select(*FX.TELEMETRY_COLUMNS)
 
 
 # --- vibration samples -------------------------------------------------------------
@@ -322,7 +324,7 @@ def q_block_detail(spark, sf):
 @query("time_series_downsampled")
 def q_time_series_downsampled(spark, sf):
     """P9 + W3 + F16: every 3rd reading in time order."""
-    idx = O.row_index(_columns(scored(spark, sf), *RU.TIME_SERIES_COLUMNS), TIME_ORDER)
+    idx = O.row_index(_columns(with_levels(FX.base_readings(spark, sf)), *RU.TIME_SERIES_COLUMNS), TIME_ORDER)
     return RU.time_series(idx, C.DOWNSAMPLE_STEP)
 
 
@@ -336,14 +338,14 @@ def _columns(df: DataFrame, *more: str) -> DataFrame:
 @query("rolling_mean_30")
 def q_rolling_mean_30(spark, sf):
     """W1 per asset (halo plan: no task holds a whole asset)."""
-    r = O.rolling(_columns(FX.telemetry(spark, sf), "asset_id", "vibration"), "vibration", "vib_roll30", TIME_ORDER, by="asset_id", w=30)
+    r = O.rolling(_columns(FX.base_readings(spark, sf), "asset_id", "vibration"), "vibration", "vib_roll30", TIME_ORDER, by="asset_id", w=30)
     return r.select("reading_id", "asset_id", F.round("vib_roll30", 10).alias("vib_roll30"))
 
 
 @query("sequences_30")
 def q_sequences_30(spark, sf):
     """The 30 readings before each reading of the same asset (own row excluded)."""
-    s = O.preceding_list(_columns(FX.telemetry(spark, sf), "asset_id", "vibration", "rul_days"), ["vibration"], "seq", TIME_ORDER, by="asset_id",
+    s = O.preceding_list(_columns(FX.base_readings(spark, sf), "asset_id", "vibration", "rul_days"), ["vibration"], "seq", TIME_ORDER, by="asset_id",
                          n=C.SEQUENCE_LENGTH)
     return s.select("reading_id", "asset_id", F.size("seq").cast("long").alias("seq_len"),
                     F.col("seq")[0]["vibration"].alias("first_vibration"),
@@ -354,7 +356,7 @@ def q_sequences_30(spark, sf):
 @query("time_split")
 def q_time_split(spark, sf):
     """First 80 % of readings in time order train, rest test."""
-    return O.time_split(_columns(FX.telemetry(spark, sf)), TIME_ORDER, 0.2).select("reading_id", "row_idx", "is_test")
+    return O.time_split(_columns(FX.base_readings(spark, sf)), TIME_ORDER, 0.2).select("reading_id", "row_idx", "is_test")
 
 
 @query("stratified_split")
@@ -367,9 +369,9 @@ def q_stratified_split(spark, sf):
 @query("rul_scatter")
 def q_rul_scatter(spark, sf):
     """First 200 test points (time order) of actual vs predicted RUL."""
-    t = FX.telemetry(spark, sf)
-    pred = relabel(t).select("reading_id", F.col("rul_days").alias("rul_new"))
-    split = O.time_split(_columns(t, "rul_days"), TIME_ORDER, 0.2).join(pred, "reading_id")
+    both = relabel(FX.base_readings(spark, sf).withColumn("actual", F.col("rul_days"))).select(
+        *TIME_ORDER, F.col("actual").alias("rul_days"), F.col("rul_days").alias("rul_new"))
+    split = O.time_split(both, TIME_ORDER, 0.2)
     n_train = split.where(~F.col("is_test")).count()
     test = split.where(F.col("is_test")).withColumn("position", F.col("row_idx") - F.lit(n_train))
     return O.first_n(test, ["position"], 200).select(
@@ -388,7 +390,7 @@ def q_label_encode(spark, sf):
 @query("standard_scale")
 def q_standard_scale(spark, sf):
     """M3: population z-scores of the 8 forest features."""
-    out = FE.standard_scale_expr(FX.telemetry(spark, sf), SC.ANOMALY_FEATURES)
+    out = FE.standard_scale_expr(FX.base_readings(spark, sf), SC.ANOMALY_FEATURES)
     return out.select("reading_id", *[F.round(f"{c}_std", 9).alias(f"{c}_std") for c in SC.ANOMALY_FEATURES])
 
 
@@ -398,7 +400,7 @@ MINMAX_CHECK_COLS = ["vibration", "temperature", "humidity", "age_days", "rul_da
 @query("minmax_scale")
 def q_minmax_scale(spark, sf):
     """M4: min-max fitted on the time-split training rows, applied to all."""
-    t = O.time_split(_columns(FX.telemetry(spark, sf), *MINMAX_CHECK_COLS), TIME_ORDER, 0.2).withColumn("_train", ~F.col("is_test"))
+    t = O.time_split(_columns(FX.base_readings(spark, sf), *MINMAX_CHECK_COLS), TIME_ORDER, 0.2).withColumn("_train", ~F.col("is_test"))
     out = FE.minmax_scale_expr(t, MINMAX_CHECK_COLS, "_train")
     return out.select("reading_id", "is_test", *[F.round(f"{c}_mm", 9).alias(f"{c}_mm") for c in MINMAX_CHECK_COLS])
 
@@ -439,9 +441,7 @@ def q_anomaly_eval(spark, sf):
 @query("regression_metrics")
 def q_regression_metrics(spark, sf):
     """A12 of the recomputed RUL against the input RUL."""
-    t = FX.telemetry(spark, sf)
-    d = relabel(t).select("reading_id", F.col("rul_days").alias("p")).join(
-        t.select("reading_id", F.col("rul_days").alias("y")), "reading_id")
+    d = relabel(FX.base_readings(spark, sf).withColumn("y", F.col("rul_days"))).select("y", F.col("rul_days").alias("p"))
     m = M.regression_metrics(d, "y", "p")
     return m.select(*[F.round(c, 9).alias(c) for c in m.columns])
 
@@ -471,7 +471,7 @@ def q_accuracy(spark, sf):
 def model_input(spark, sf, noise: bool = True) -> DataFrame:
     """Relabelled readings with their forest flag (as the supervised models are trained in the pipeline)."""
     from ..ml import iforest
-    return relabel(iforest.fit_transform(FX.telemetry(spark, sf))[1], noise=noise)
+    return relabel(iforest.fit_transform(FX.base_readings(spark, sf))[1], noise=noise)
 
 
 @query("isolation_forest")

@@ -2,8 +2,8 @@
 
 F12 (quantile fault cascade) -> J2 (maintenance action) -> F13 (RUL from
 normalised probability, vibration and age) -> F14 (probability blend).
-Two statistics passes (quantiles, min/max), both one-row tables broadcast
-back; noise is a hash of the reading id, so reruns and retries agree.
+Quantiles and ranges come from the same passes over the table and enter as
+literals; noise is a hash of the reading id, so reruns and retries agree.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from .. import config as C
 from ..functions import rules as R
 from ..operators import lookups as L
 from ..operators import stats as S
-from ..sources.fixtures import with_fault_labels
+from ..sources.fixtures import cascade_spec, with_fault_labels
 
 
 def relabel(df: DataFrame, noise: bool = False, seed: int = 42,
@@ -26,9 +26,10 @@ def relabel(df: DataFrame, noise: bool = False, seed: int = 42,
     original probability, vibration and age, normalised over the table.
     """
     base = df.drop(*[c for c in ("fault_code", "maintenance_action") if c in df.columns])
-    labelled = with_fault_labels(base, quantile_method)
-    mm = S.values(S.minmax_stats(base, ["failure_prob", "vibration", "age_days"]))
-    x = S.attach_values(labelled, mm)
+    ranges = ["failure_prob", "vibration", "age_days"]
+    stats = S.statistics(base, cascade_spec(), ranges, quantile_method)
+    mm = {f"{c}_{k}": stats[f"{c}_{k}"] for c in ranges for k in ("min", "max")}
+    x = S.attach_values(with_fault_labels(base, stats=stats), mm)
     pn = R.minmax_norm(F.col("failure_prob"), F.col("failure_prob_min"), F.col("failure_prob_max"))
     vn = R.minmax_norm(F.col("vibration"), F.col("vibration_min"), F.col("vibration_max"))
     an = R.minmax_norm(F.col("age_days"), F.col("age_days_min"), F.col("age_days_max"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import rules as R
 from ..operators import stats as S
+from ..schema import READINGS_SCHEMA
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,7 +86,7 @@ def with_fault_labels(df: DataFrame, quantile_method: str = "exact",
     literals."""
     spec = cascade_spec()
     if stats is None:
-        stats = S.values(S.quantiles(df, spec, method=quantile_method))
+        stats = S.quantile_values(df, spec, quantile_method)
     q = S.quantile_lookup(stats, spec)
     spark = df.sparkSession
     actions = spark.createDataFrame(C.MAINTENANCE_ACTIONS, "fault_code string, maintenance_action string")
@@ -94,15 +95,14 @@ def with_fault_labels(df: DataFrame, quantile_method: str = "exact",
     return labelled.join(F.broadcast(actions), "fault_code", "left")
 
 
+TELEMETRY_COLUMNS = READINGS_SCHEMA.names
+
+
 def telemetry(spark: SparkSession, sf_dir: str, quantile_method: str = "exact") -> DataFrame:
     """The readings table (27 columns) used by every telemetry query."""
     base = base_readings(spark, sf_dir)
     out = with_fault_labels(base, quantile_method)
-    cols = ["reading_id", "event_time", "asset_id", "site_id", "fault_code", "occupancy_state",
-            "hmi_alert_code", "maintenance_action"] + [c for c in base.columns if c not in
-                                                       ("reading_id", "event_time", "asset_id", "site_id",
-                                                        "occupancy_state", "hmi_alert_code")]
-    return out.select(*cols)
+    return out.select(*TELEMETRY_COLUMNS)
 
 
 def vibration_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,3 +153,26 @@ def test_slope_does_not_depend_on_the_position(spark):
     for rid, slope in got.items():
         win = [(k * 37) % 11 for k in range(rid - 30, rid)]
         assert slope == pytest.approx(np.polyfit(np.arange(30), win, 1)[0], abs=1e-9)
+
+
+@pytest.mark.parametrize("merged,accuracy", [(20_000, 2_000), (40, 2_000), (60, 50)])
+def test_selection_equals_pandas(spark, monkeypatch, merged, accuracy):
+    import numpy as np
+    import pandas as pd
+    from assetpulse.operators import selection as SEL
+    monkeypatch.setattr(SEL, "MERGED", merged)
+    monkeypatch.setattr(SEL, "ACCURACY", accuracy)
+    rng = np.random.default_rng(3)
+    n = 3000
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "tied": rng.integers(0, 4, n).astype(float), "hot": np.where(rng.random(n) < 0.6, 7.0, rng.normal(size=n)),
+                        "some": np.where(rng.random(n) < 0.9, np.nan, rng.normal(size=n)), "none": np.full(n, np.nan)})
+    df = spark.createDataFrame(pdf).withColumn("some", F.when(~F.isnan("some"), F.col("some"))).repartition(5)
+    qs = [0.0, 0.001, 0.25, 0.5, 0.92, 0.9999, 1.0]
+    got, more = SEL.table_statistics(df, {c: qs for c in pdf}, {"top": F.max("a")})
+    for c in pdf:
+        for q in qs:
+            want = pdf[c].dropna().quantile(q) if pdf[c].notna().any() else None
+            assert got[c, q] == (None if want is None else pytest.approx(want, abs=1e-12)), (c, q)
+    assert more == {"top": pdf["a"].max()}
+    empty, _ = SEL.table_statistics(df.limit(0), {"a": [0.5]})
+    assert empty == {("a", 0.5): None}
