@@ -25,7 +25,7 @@ MERGED = 20_000
 
 @dataclass
 class _Bracket:
-    """A wanted quantile of a column: the values between ``low`` and ``high`` hold its two neighbouring ranks."""
+    """A wanted quantile of a column: the values from ``low`` to ``high`` hold its two neighbouring ranks."""
 
     column: str
     q: float
@@ -34,6 +34,7 @@ class _Bracket:
     below: int = 0
     inside: int = 0
     ranks: tuple[int, int] = (0, 0)
+    stuck: bool = False  # a value that many rows share keeps it from getting narrower: few distinct values are left
 
     def value(self) -> Column:
         return F.col(self.column).cast("double")
@@ -97,9 +98,9 @@ def table_statistics(df: DataFrame, spec: dict[str, list[float]], extra: dict[st
         wait = [b for b in wait if out[b.column, b.q] is None]
         few, held = [], 0
         for b in sorted(wait, key=lambda b: b.inside):
-            if held + b.inside <= MERGED:
+            if b.stuck or held + b.inside <= MERGED:
                 few.append(b)
-                held += b.inside
+                held += 0 if b.stuck else b.inside
         if few:
             pairs = F.filter(F.array(*[F.when(b.holds(), F.struct(F.lit(i).alias("i"), b.value().alias("v"))) for i, b in enumerate(few)]),
                              lambda x: x.isNotNull())
@@ -119,5 +120,6 @@ def table_statistics(df: DataFrame, spec: dict[str, list[float]], extra: dict[st
             row = df.agg(*[F.percentile_approx(F.when(b.holds(), b.value()), F.array(*map(F.lit, b.shares())), F.lit(ACCURACY)).alias(f"p{i}")
                            for i, b in enumerate(wait)]).first()
             for i, b in enumerate(wait):
+                b.stuck = (b.low, b.high) == tuple(row[f"p{i}"])
                 b.low, b.high = row[f"p{i}"]
     return out, {name: first[f"x{i}"] for i, name in enumerate(extra or {})}
