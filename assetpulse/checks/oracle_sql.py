@@ -428,6 +428,11 @@ FROM (SELECT reading_id, fault_code,
              CAST(CAST(('0x' || substring(md5('split:' || CAST(reading_id AS VARCHAR)), 1, 8)) AS BIGINT) AS DOUBLE)
                / 4294967296e0 AS u
       FROM telemetry) z""")
+for _name in ("window_rul_predictions", "window_fault_predictions"):
+    register(_name, """
+SELECT reading_id, asset_id, true AS predicted FROM (
+  SELECT reading_id, asset_id, row_number() OVER (PARTITION BY asset_id ORDER BY event_time, reading_id) AS n FROM telemetry) z
+WHERE n > 30""")
 register("shap_additivity", """
 SELECT reading_id, CAST(20 AS BIGINT) AS n_features, true AS additive
 FROM (SELECT reading_id, fault_code,

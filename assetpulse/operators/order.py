@@ -68,6 +68,19 @@ def first_n(df: DataFrame, order: list, n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def last_n(df: DataFrame, by: str, order: list[str], n: int, salts: int = 32) -> DataFrame:
+    """The last ``n`` rows of each ``by`` in ``order`` (ties by the last order column).
+
+    Rows are first cut to ``n`` for each (``by``, salt), so a hot key is spread over
+    ``salts`` groups and at most ``n * salts`` of its rows meet. ``order`` must be total.
+    """
+    newest = [F.col(c).desc_nulls_last() for c in order]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    for keys in ([by, "_salt"], [by]):
+        salted = salted.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).where(F.col("_rank") <= n)
+    return salted.drop("_salt", "_rank")
+
+
 def _halo(df: DataFrame, order: list, by: str | None, w: int, bucket_rows: int):
     """Index rows in (by, order) order and attach bucket ids with a (w-1)-row halo."""
     if bucket_rows < w:

@@ -638,6 +638,35 @@ def q_window_fault_eval(spark, sf):
     return acc.select(F.lit("WindowMLP").alias("model"), "accuracy", F.lit(secs).alias("train_time_s"))
 
 
+def _reloaded_window_predictions(spark, sf, fit, name):
+    """Every reading with 30 predecessors, scored by a windowed model that was saved and loaded, from an empty store."""
+    from dataclasses import replace
+
+    from ..ml import sequence_models as SM
+    from ..streaming.feed import workspace
+    path = f"{workspace(spark, name)}/model"
+    inp = cut_lineage(model_input(spark, sf))
+    fit(inp)[0].save(path)
+    model = SM.WindowModel.load(spark, path)
+    return replace(model, store=model.store.limit(0)).predict(inp)
+
+
+@query("window_rul_predictions")
+def q_window_rul_predictions(spark, sf):
+    """M11 predict + K3: readings with a window and whether their predicted RUL and band are there."""
+    from ..ml import sequence_models as SM
+    out = _reloaded_window_predictions(spark, sf, SM.fit_window_rul, "window-rul")
+    return out.select("reading_id", "asset_id", (F.col("rul_pred").isNotNull() & F.col("rul_pred_band").isNotNull()).alias("predicted"))
+
+
+@query("window_fault_predictions")
+def q_window_fault_predictions(spark, sf):
+    """M12 predict + K3: readings with a window and whether they have a fault and a softmax confidence in (0, 1]."""
+    from ..ml import sequence_models as SM
+    out = _reloaded_window_predictions(spark, sf, SM.fit_window_fault, "window-fault")
+    return out.select("reading_id", "asset_id", (F.col("predicted_fault").isNotNull() & (F.col("confidence") > 0) & (F.col("confidence") <= 1)).alias("predicted"))
+
+
 def _shap(spark, sf, noise: bool = True):
     """Contributions of every test row, written once: the views read them more than once."""
     from ..ml import models as ML
