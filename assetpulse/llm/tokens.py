@@ -1,9 +1,8 @@
 """Token ids of texts by a public tokenizer file, with a cache of pre-tokens.
 
 Both vocabularies split a text by a pattern before any merge, so the ids of a
-text are the ids of its pre-tokens in a row. Pre-tokens repeat (and so do the words
-with their punctuation between white space), so each distinct one goes through the
-tokenizers library once and its ids are then looked up. New
+text are the ids of its pre-tokens in a row. Pre-tokens repeat, so each distinct
+one goes through the tokenizers library once and its ids are then looked up. New
 pre-tokens are encoded many at a time, as one text; where the words end is read
 from the ids (an end-of-word mark, or the length in bytes).
 Texts with characters whose class or case might be read differently by the two
@@ -84,20 +83,11 @@ class Encoder:
         yield from self._run(run)
 
     def _run(self, texts: list[str]) -> list[bytes]:
-        # The word vocabulary drops white space, so what stands between it is encoded on its own.
-        words = [None if self.odd(t) else t.lower().split() if self.lower else self.split(t) for t in texts]
+        words = [None if self.odd(t) else self.split(t.lower() if self.lower else t) for t in texts]
         distinct = set().union(*(w for w in words if w is not None))
-        if len(self.cache) + 2 * len(distinct) > CACHE_ENTRIES:
+        if len(self.cache) + len(distinct) > CACHE_ENTRIES:
             self.older, self.cache = self.cache, {}
-        new = self._unknown(distinct)
-        if self.lower:
-            parts = {w: self.split(w) for w in new}
-            self._add(self._unknown({p for ps in parts.values() for p in ps}))
-            for w, ps in parts.items():
-                if w not in self.cache:
-                    self.cache[w] = b"".join(map(self.cache.__getitem__, ps))
-        else:
-            self._add(new)
+        self._add(self._unknown(distinct))
         ids = self.cache.__getitem__
         return [self.whole(t) if w is None else b"".join(map(ids, w)) for t, w in zip(texts, words, strict=True)]
 
