@@ -22,7 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each near-duplicate group."""
+    """One row (that with the smallest doc_id) of each near-duplicate group, repeated rows included."""
     return near_dedup.deduplicated(docs)
 
 
@@ -43,7 +43,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: No SQL: the classifier is trained and the tokenizer is a library. Tests compare the stages with brute force.
+#: No SQL: the classifier is trained and the tokenizer is a library. The stages' operators are tested with brute force, the stages for taking effect.
 ORACLE_SQL = None
 
 
