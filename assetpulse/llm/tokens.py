@@ -48,12 +48,11 @@ class Encoder:
         self.lower = self.library.normalizer is not None
         pattern = WORD_PATTERN if self.lower else BYTE_PATTERN
         self.split = re.compile(pattern.replace("{L}", _chars("L")).replace("{N}", _chars("N"))).findall
-        # Outside the plain range: separators that the engines class differently, a
-        # dotted capital that lower-cases to two characters, and special tokens.
-        odd = "[^\x00-\x1b\x20-įı-ɏ]|<\\|"
-        if self.lower:  # capitals whose small letter is outside
-            odd += "|[" + "".join(c for c in map(chr, range(_PLAIN_END)) if max(c.lower()) >= chr(_PLAIN_END)) + "]"
-        self.odd = re.compile(odd).search
+        # Plain: what both engines class alike. Not so some separators, a dotted capital that
+        # lower-cases to two characters and, where texts are lower-cased, capitals whose small
+        # letter is outside the range.
+        self.plain = frozenset(c for c in map(chr, range(_PLAIN_END)) if c not in "\x1c\x1d\x1e\x1fİ"
+                               and not (self.lower and max(c.lower()) >= chr(_PLAIN_END)))
         model = json.loads(self.library.to_str())["model"]
         mark = model.get("end_of_word_suffix")
         size = 1 + max(model["vocab"].values())
@@ -64,6 +63,10 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def odd(self, text: str) -> bool:
+        """Whether the library must encode the text whole: a character that is not plain, or the start of a special token."""
+        return "<|" in text or not self.plain.issuperset(set(text))
+
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -83,23 +86,25 @@ class Encoder:
         yield from self._run(run)
 
     def _run(self, texts: list[str]) -> list[bytes]:
-        words = [None if self.odd(t) else self.split(t.lower() if self.lower else t) for t in texts]
-        distinct = set().union(*(w for w in words if w is not None))
-        if len(self.cache) + len(distinct) > CACHE_ENTRIES:
+        if len(self.cache) > CACHE_ENTRIES:
             self.older, self.cache = self.cache, {}
-        self._add(self._unknown(distinct))
-        ids = self.cache.__getitem__
-        return [self.whole(t) if w is None else b"".join(map(ids, w)) for t, w in zip(texts, words, strict=True)]
+        words = [None if self.odd(t) else self.split(t.lower() if self.lower else t) for t in texts]
+        known = self.cache.get
+        ids = [None if w is None else list(map(known, w)) for w in words]
+        missing = [i for i, found in enumerate(ids) if found is not None and None in found]
+        self._add(self._unknown({w for i in missing for w, found in zip(words[i], ids[i], strict=True) if found is None}))
+        for i in missing:
+            ids[i] = map(known, words[i])
+        return [self.whole(t) if found is None else b"".join(found) for t, found in zip(texts, ids, strict=True)]
 
     def _unknown(self, words: set[str]) -> list[str]:
-        """Those that neither generation of the cache holds; the older one's come to the newer."""
+        """Those that the older generation of the cache lacks too; what it holds comes to the newer."""
         cache, older, new = self.cache, self.older, []
         for w in words:
-            if w not in cache:
-                if (ids := older.get(w)) is None:
-                    new.append(w)
-                else:
-                    cache[w] = ids
+            if (ids := older.get(w)) is None:
+                new.append(w)
+            else:
+                cache[w] = ids
         return new
 
     def _add(self, new: list[str]) -> None:
