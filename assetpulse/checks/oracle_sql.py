@@ -268,6 +268,9 @@ def register(name: str, body: str) -> None:
 
 register("alert_log", "SELECT * FROM alerts")
 register("scan_readings", "SELECT * FROM telemetry")
+register("csv_readings", """
+SELECT row_number() OVER (ORDER BY event_time, reading_id) - 1 AS reading_id, event_time, asset_id, site_id, vibration, rul_days
+FROM telemetry""")
 
 # --- rules (F) -------------------------------------------------------------
 register("health_score", "SELECT reading_id, health_score FROM scored")
@@ -571,6 +574,9 @@ register("stream_alerts", """
 SELECT reading_id, event_time, asset_id, alert_level_basic AS alert_level, fault_code, failure_prob,
        maintenance_action
 FROM scored WHERE alert_level_basic IN ('CRITICAL', 'WARNING')""")
+register("stream_lifecycle", """
+SELECT reading_id, asset_id, alert_level_basic AS alert_level, CAST(1 AS BIGINT) AS n_resumed, CAST(1 AS BIGINT) AS n_reset
+FROM scored WHERE alert_level_basic IN ('CRITICAL', 'WARNING')""")
 register("stream_last50", """
 SELECT asset_id, reading_id, event_time, vibration, temperature FROM telemetry
 ORDER BY event_time DESC, reading_id DESC LIMIT 50""")

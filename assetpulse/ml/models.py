@@ -38,6 +38,7 @@ class RulResult:
     metrics: DataFrame          # one row: mae, rmse, r2
     predictions: DataFrame      # test rows with rul_pred
     train_time_s: float
+    n_train: int = 0
 
 
 @dataclass
@@ -89,7 +90,7 @@ def fit_rul(df: DataFrame, features: list[str] | None = None, iters: int = C.RUL
             seed: int = C.RUL_GBT["seed"], target: str = SC.RUL_TARGET, max_bins: int = 128) -> RulResult:
     """M7: time split (no shuffle), min-max scale on train, boosted trees."""
     feats = FE.select_features(df, features or SC.RUL_FEATURES)
-    split = O.time_split(df, TIME_ORDER, test)
+    split, n_train = O.time_cut(df, TIME_ORDER, test)
     train = split.where(~F.col("is_test"))
     test_rows = split.where(F.col("is_test"))
     prepare = [VectorAssembler(inputCols=feats, outputCol="raw_features", handleInvalid="keep"),
@@ -100,7 +101,7 @@ def fit_rul(df: DataFrame, features: list[str] | None = None, iters: int = C.RUL
     model = fit_cached(prepare, learner, train, target)
     secs = time.perf_counter() - t0
     pred = model.transform(test_rows).drop("raw_features", "features").persist()
-    return RulResult(model, feats, M.regression_metrics(pred, target, "rul_pred"), pred, secs)
+    return RulResult(model, feats, M.regression_metrics(pred, target, "rul_pred"), pred, secs, n_train)
 
 
 def predict_rul(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def fit_fault(df: DataFrame, features: list[str] | None = None, trees: int = C.F
     enc, models = FE.label_encode(df, [label_col, "hmi_alert_code"])
     labels = list(models[label_col].labels)
     feats = FE.select_features(enc, features or SC.FAULT_FEATURES)
-    split = O.stratified_split(enc, label_col, "reading_id", test)
+    split = O.stratified_cut(enc, label_col, "reading_id", test)
     train = L.class_weights(split.where(~F.col("is_test")), label_col, "weight")
     test_rows = split.where(F.col("is_test"))
     target = f"{label_col}_enc"
@@ -133,7 +134,7 @@ def fit_fault(df: DataFrame, features: list[str] | None = None, trees: int = C.F
     model = fit_cached(prepare, learner, train.withColumn(target, F.col(target).cast("double")), target, "weight")
     secs = time.perf_counter() - t0
     # Several metrics read the scored test rows: keep them once (recomputable
-    # from lineage on executor loss; the split itself is checkpointed).
+    # from lineage on executor loss; the split depends on the rows alone).
     pred = label_predictions(model, test_rows, labels).persist()
     return FaultResult(model, feats, labels, pred, secs, list(models["hmi_alert_code"].labels))
 

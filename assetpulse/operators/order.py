@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ensure_checkpoint_dir
+from .selection import ACCURACY, MERGED, nth, sort_number
 
 _LOCAL_BITS = 33  # monotonically_increasing_id(): partition id << 33 | row position
 
@@ -135,6 +136,34 @@ def time_split(df: DataFrame, order: list, test: float = 0.2, index_col: str = "
     return idx.withColumn("is_test", F.col(index_col) >= F.lit(cut))
 
 
+def time_cut(df: DataFrame, order: list[str], test: float = 0.2) -> tuple[DataFrame, int]:
+    """W4, exact and without a sort: the rows with ``is_test``, and the number of training rows.
+
+    The first floor(n * (1 - test)) rows in ``order`` train, as in ``time_split``. The
+    key of the first test row is selected column by column (``selection.nth``), and the
+    flag is a comparison with that key: no row moves and nothing is written. ``order``
+    must be total and hold numbers, dates or times; nulls sort first. No rows: none.
+    """
+    keys = [f"_k{i}" for i in range(len(order))]
+    rows = df.select(*[sort_number(df, c).alias(k) for c, k in zip(order, keys, strict=True)])
+    n = rows.count()
+    cut = int(n * (1 - test))
+    if cut >= n:
+        return df.withColumn("is_test", F.lit(False)), n
+    rank, left, bound = cut, n, []
+    for k in keys:
+        value, below, left = nth(rows, k, rank, left)
+        rank -= below
+        bound.append(value)
+        rows = rows.where(F.col(k).eqNullSafe(F.lit(value)))
+    flag = F.lit(True)
+    for c, value in reversed(list(zip(order, bound, strict=True))):
+        key = sort_number(df, c)
+        after = key.isNotNull() if value is None else F.coalesce(key > F.lit(value), F.lit(False))
+        flag = after | (key.eqNullSafe(F.lit(value)) & flag)
+    return df.withColumn("is_test", flag), cut
+
+
 def time_split_approx(df: DataFrame, time_col: str = "event_time", test: float = 0.2,
                       accuracy: int = 1_000_000) -> DataFrame:
     """W4 without a sort: rows at or after the (1 - test) quantile of the time
@@ -171,6 +200,62 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2,
             .drop("_u", "_gidx", "_first", "_n", "_class"))
 
 
+def stratified_cut(df: DataFrame, label: str, key: str, test: float = 0.2, salt: str = "split") -> DataFrame:
+    """W5, exact and without a sort: per class the first round(test * class size) rows by (hashed key, key) are test.
+
+    The same rows as ``stratified_split`` picks. Every class's last test hash is bracketed
+    by a grouped sketch, counted, and narrowed until few rows are left in all brackets
+    together; those alone come to the driver (with one row a class: a label is
+    categorical). ``key`` must be unique, a row without one trains; rows without a label
+    are a class of their own.
+    """
+    u = hash_unit(F.col(key), salt)
+    rows = df.select(F.col(label).alias("_class"), u.alias("_u"), F.col(key).alias("_key"))
+    spark = df.sparkSession
+    kind = rows.schema["_class"].dataType.simpleString()
+    sizes = {r[0]: r[1] for r in rows.groupBy("_class").count().collect()}
+    if not sizes:
+        return df.withColumn("is_test", F.lit(False))
+    wanted = dict(spark.createDataFrame(list(sizes.items()), f"c {kind}, n long")
+                  .select("c", F.round(F.col("n") * F.lit(test)).cast("long")).collect())
+    bracket = {c: (0.0, 1.0, 0, n) for c, n in sizes.items()}  # from, to (included), rows before, rows inside
+
+    def bracketed() -> DataFrame:
+        ends = spark.createDataFrame([(c, b[0], b[1]) for c, b in bracket.items()], f"_c {kind}, _lo double, _hi double")
+        return rows.join(F.broadcast(ends), F.col("_class").eqNullSafe(F.col("_c")))  # one row a class
+
+    def inside() -> DataFrame:
+        return bracketed().where((F.col("_u") >= F.col("_lo")) & (F.col("_u") <= F.col("_hi")))
+
+    while sum(b[3] for b in bracket.values()) > MERGED:
+        before, error = dict(bracket), 2 / ACCURACY
+        grid = [i * error for i in range(int(1 / error) + 1)]
+        for c, points in inside().groupBy("_class").agg(F.percentile_approx("_u", F.array(*map(F.lit, grid)), F.lit(ACCURACY))).collect():
+            lo, hi, below, n = bracket[c]
+            share = (wanted[c] - below) / max(1, n)
+            at = min(int(share / error), len(grid) - 1)
+            bracket[c] = (points[max(0, at - 1)] if at > 1 else lo, points[min(len(grid) - 1, at + 2)] if at + 2 < len(grid) else hi, below, n)
+        for c, below, n in bracketed().groupBy("_class").agg(
+                F.count_if(F.col("_u") < F.col("_lo")), F.count_if((F.col("_u") >= F.col("_lo")) & (F.col("_u") <= F.col("_hi")))).collect():
+            bracket[c] = (*bracket[c][:2], below, n)
+            if not below <= wanted[c] <= below + n:  # the sketch missed: keep the wider bracket
+                bracket[c] = before[c]
+        if bracket == before:  # a hash that many rows share: they differ by key alone
+            break
+    seen, last = {c: b[2] for c, b in bracket.items()}, {}
+    for c, h, k in inside().select("_class", "_u", "_key").orderBy("_u", "_key").collect():  # at most MERGED rows
+        seen[c] += 1
+        if seen[c] <= wanted[c]:
+            last[c] = (h, k)
+    key_kind = rows.schema["_key"].dataType.simpleString()
+    # A class whose bracket begins right after its last test row: all rows before the bracket are test.
+    ends = [(c, *last.get(c, (bracket[c][0], None))) for c in sizes]
+    table = spark.createDataFrame(ends, f"_class {kind}, _h double, _k {key_kind}")
+    hit = (u < F.col("_h")) | ((u == F.col("_h")) & F.coalesce(F.col(key) <= F.col("_k"), F.lit(False)))
+    return (df.join(F.broadcast(table), F.col(label).eqNullSafe(F.col("_class")))
+            .withColumn("is_test", F.coalesce(hit, F.lit(False))).drop("_class", "_h", "_k"))
+
+
 def stratified_split_approx(df: DataFrame, key: str, test: float = 0.2, salt: str = "split") -> DataFrame:
     """W5 at scale: test when the hashed key falls under ``test`` (no shuffle)."""
     return df.withColumn("is_test", hash_unit(F.col(key), salt) < F.lit(test))

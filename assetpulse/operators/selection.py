@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rank error of a sketch is 1 / ACCURACY of the rows it saw.
 ACCURACY = 2_000
@@ -123,3 +124,58 @@ def table_statistics(df: DataFrame, spec: dict[str, list[float]], extra: dict[st
                 b.stuck = (b.low, b.high) == tuple(row[f"p{i}"])
                 b.low, b.high = row[f"p{i}"]
     return out, {name: first[f"x{i}"] for i, name in enumerate(extra or {})}
+
+
+def sort_number(df: DataFrame, name: str) -> Column:
+    """A column as a number that sorts alike: dates as days, times as microseconds (zone-free for zone-less times)."""
+    kind, c = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(kind, T.TimestampNTZType):
+        seconds = F.unix_date(c.cast("date")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+        return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
+    if isinstance(kind, T.NumericType):
+        return c
+    raise TypeError(f"no rank selection on {name}: {kind.simpleString()}")
+
+
+def nth(df: DataFrame, column: str, rank: int, total: int) -> tuple:
+    """The value at 0-based ``rank`` of a numeric column in ascending order, the rows before it and the rows that share it.
+
+    ``total`` is the row count. Nulls sort first, NaN last. A sketch of known rank
+    error gives two values around the rank and one pass counts the rows before, at
+    and between them, until few rows are left to be counted by value; the part that
+    holds the rank never includes the two values again, so every round narrows it.
+    """
+    c = F.col(column)
+    rows, below, inside = df.select(column), 0, total
+    if inside > MERGED:
+        nulls = rows.where(c.isNull()).count()
+        if rank < nulls:
+            return None, 0, nulls
+        rows, below, inside = rows.where(c.isNotNull()), nulls, total - nulls
+    while inside > MERGED:
+        share, error = (rank - below + 0.5) / inside, 2 / ACCURACY
+        ends = F.array(F.lit(max(0.0, share - error)), F.lit(min(1.0, share + error)))
+        a, b = rows.agg(F.percentile_approx(c, ends, F.lit(ACCURACY))).first()[0]
+        less, at_a, between, at_b = rows.agg(
+            F.count_if(c < F.lit(a)), F.count_if(c == F.lit(a)), F.count_if((c > F.lit(a)) & (c < F.lit(b))),
+            F.count_if((c == F.lit(b)) & (c > F.lit(a)))).first()
+        more = inside - less - at_a - between - at_b
+        for keep, n, value in ((c < F.lit(a), less, None), (None, at_a, a), ((c > F.lit(a)) & (c < F.lit(b)), between, None),
+                               (None, at_b, b), (c > F.lit(b), more, None)):
+            if rank < below + n:
+                break
+            below += n
+        if keep is None:
+            return value, below, n
+        if n == inside:  # whole numbers too large for the sketch to tell apart: few different ones are left
+            break
+        rows, inside = rows.where(keep), n
+    for value, n in rows.groupBy(c.alias("v")).count().orderBy("v").collect():  # at most MERGED rows
+        if rank < below + n:
+            return value, below, n
+        below += n
+    raise IndexError(f"rank {rank} of {total} rows")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -52,8 +52,10 @@ def run_batch_job(spark: SparkSession, readings: DataFrame, vibration_raw: DataF
     acc, report, cm = ML.fault_metrics(fault.predictions)
     comparison = model_comparison(spark, rul, fault)
     summary = RU.asset_summary(scored, flag_col="if_flag")
-    scatter = O.first_n(rul.predictions.select("row_idx", "rul_days", "rul_pred"), ["row_idx"], 200).select(
-        F.round("rul_days", 1).alias("actual"), F.round("rul_pred", 1).alias("predicted"), "row_idx")
+    first = O.first_n(rul.predictions.select(*TIME_ORDER, "rul_days", "rul_pred"), TIME_ORDER, 200)
+    position = F.row_number().over(Window.orderBy(*TIME_ORDER)) + F.lit(rul.n_train - 1)  # of 200 rows
+    scatter = first.select(F.round("rul_days", 1).alias("actual"), F.round("rul_pred", 1).alias("predicted"),
+                           position.cast("long").alias("row_idx"))
     sections = {
         "block_summary": summary,
         "location_summary": RU.site_summary(scored),

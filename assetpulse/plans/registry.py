@@ -85,6 +85,21 @@ def q_scan_readings(spark, sf):
     return FX.telemetry(spark, sf).orderBy(*TIME_ORDER)
 
 
+@query("csv_readings")
+def q_csv_readings(spark, sf):
+    """Readings written as CSV files with vendor headers and without an id, in time order; read back with row numbers."""
+    from ..sources.readers import read_readings
+    from ..streaming.feed import workspace
+    path = f"{workspace(spark, 'csv')}/readings"
+    t = FX.base_readings(spark, sf)
+    names = {ours: vendor for vendor, ours in SC.READING_ALIASES.items() if ours in t.columns}
+    text = t.select("reading_id", *[(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if c == "event_time" else F.col(c)).alias(v) for c, v in names.items()])
+    (text.repartitionByRange(names["event_time"], "reading_id").sortWithinPartitions(names["event_time"], "reading_id")
+         .drop("reading_id").write.option("header", True).csv(path))
+    back = read_readings(spark, path, "csv", text.drop("reading_id").schema)
+    return back.select("reading_id", "event_time", "asset_id", "site_id", "vibration", "rul_days")
+
+
 @query("alert_log")
 def q_alert_log(spark, sf):
     """F7 -> F10 -> J1 -> P4 -> O2."""
@@ -561,6 +576,22 @@ def q_stream_alerts(spark, sf):
     return spark.read.parquet(f"{ws}/sink")
 
 
+@query("stream_lifecycle")
+def q_stream_lifecycle(spark, sf):
+    """Alerts of a feed that was paused before its third trigger and resumed, and of one reset; how often each was delivered."""
+    from ..streaming import feed as SF
+    t = FX.telemetry(spark, sf)
+    ws = SF.workspace(spark, "lifecycle")
+    SF.write_feed_files(t, f"{ws}/source", STREAM_FILES)
+    feed = lambda: SF.read_feed(spark, f"{ws}/source", t.schema, STREAM_FILES_PER_TRIGGER)
+    SF.run_alert_triggers(feed(), f"{ws}/sink", f"{ws}/chk", stop_before=2)
+    SF.run_alert_triggers(feed(), f"{ws}/sink", f"{ws}/chk")
+    SF.run_alert_triggers(feed(), f"{ws}/reset", f"{ws}/chk_reset")
+    runs = [spark.read.parquet(f"{ws}/{name}").withColumn("run", F.lit(name)) for name in ("sink", "reset")]
+    return runs[0].unionByName(runs[1]).groupBy("reading_id", "asset_id", "alert_level").agg(
+        F.count_if(F.col("run") == "sink").alias("n_resumed"), F.count_if(F.col("run") == "reset").alias("n_reset"))
+
+
 @query("stream_last50")
 def q_stream_last50(spark, sf):
     """The newest 50 readings of the feed (from per-asset bounded state)."""

@@ -7,11 +7,31 @@ comparisons behave like missing values, not like +inf.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as SC
+from ..operators import lookups as L
+
+
+def number_rows(df: DataFrame, name: str = "reading_id") -> DataFrame:
+    """Adds each row's 0-based number in its files' order (files by path, rows as they stand).
+
+    ``df`` must be read directly from files. A row's number is the rows of the files and
+    splits before its own, plus its place in its split, so it is the same on a retry and
+    however the files are cut into splits. One narrow pass counts the splits.
+    """
+    tagged = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_mid"))
+    splits = tagged.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_rows"))  # one row a file
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = (splits.join(files.select("_file", before.alias("_before")), "_file")
+               .select("_file", "_block", (inside + F.col("_before") - F.col("_first")).alias("_shift")))
+    return (L.dimension_join(tagged, offsets, ["_file", "_block"])
+            .withColumn(name, F.col("_shift") + F.col("_mid")).drop("_file", "_block", "_mid", "_shift"))
 
 
 def normalise_readings(df: DataFrame) -> DataFrame:
@@ -29,7 +49,8 @@ def read_readings(spark: SparkSession, path: str, fmt: str = "parquet",
                   schema: T.StructType | None = None, timestamp_format: str | None = None) -> DataFrame:
     """Readings table. Missing paths fail fast with a clear message.
 
-    CSV needs ``schema`` (vendor or our names); Parquet carries its own.
+    CSV needs ``schema`` (vendor or our names); Parquet carries its own. Files without
+    ``reading_id`` get the row number (``number_rows``).
     Row order is not imposed here: an operator that needs an order asks for it.
     """
     _require(spark, path)
@@ -44,6 +65,8 @@ def read_readings(spark: SparkSession, path: str, fmt: str = "parquet",
         df = reader.schema(schema).csv(path)
     else:
         raise ValueError(f"unsupported format {fmt}")
+    if "reading_id" not in df.columns:
+        df = number_rows(df)
     df = normalise_readings(df)
     if "event_time" in df.columns and not isinstance(df.schema["event_time"].dataType,
                                                      (T.TimestampType, T.TimestampNTZType)):
