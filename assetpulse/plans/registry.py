@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -377,7 +377,7 @@ def q_time_split(spark, sf):
 @query("stratified_split")
 def q_stratified_split(spark, sf):
     """Exact 20 % per fault class by hashed rank."""
-    return O.stratified_split(FX.telemetry(spark, sf).select("reading_id", "fault_code"), "fault_code", "reading_id", 0.2).select(
+    return O.stratified_cut(FX.telemetry(spark, sf).select("reading_id", "fault_code"), "fault_code", "reading_id", 0.2).select(
         "reading_id", "fault_code", "is_test")
 
 
@@ -386,10 +386,10 @@ def q_rul_scatter(spark, sf):
     """First 200 test points (time order) of actual vs predicted RUL."""
     both = relabel(FX.base_readings(spark, sf).withColumn("actual", F.col("rul_days"))).select(
         *TIME_ORDER, F.col("actual").alias("rul_days"), F.col("rul_days").alias("rul_new"))
-    split = O.time_split(both, TIME_ORDER, 0.2)
-    n_train = split.where(~F.col("is_test")).count()
-    test = split.where(F.col("is_test")).withColumn("position", F.col("row_idx") - F.lit(n_train))
-    return O.first_n(test, ["position"], 200).select(
+    split, _ = O.time_cut(both, TIME_ORDER, 0.2)
+    first = O.first_n(split.where(F.col("is_test")), TIME_ORDER, 200)
+    test = first.withColumn("position", (F.row_number().over(Window.orderBy(*TIME_ORDER)) - 1).cast("long"))  # of 200 rows
+    return test.select(
         "position", F.round("rul_days", 1).alias("actual"), F.round("rul_new", 1).alias("predicted"))
 
 
@@ -415,7 +415,7 @@ MINMAX_CHECK_COLS = ["vibration", "temperature", "humidity", "age_days", "rul_da
 @query("minmax_scale")
 def q_minmax_scale(spark, sf):
     """M4: min-max fitted on the time-split training rows, applied to all."""
-    t = O.time_split(_columns(FX.base_readings(spark, sf), *MINMAX_CHECK_COLS), TIME_ORDER, 0.2).withColumn("_train", ~F.col("is_test"))
+    t = O.time_cut(_columns(FX.base_readings(spark, sf), *MINMAX_CHECK_COLS), TIME_ORDER, 0.2)[0].withColumn("_train", ~F.col("is_test"))
     out = FE.minmax_scale_expr(t, MINMAX_CHECK_COLS, "_train")
     return out.select("reading_id", "is_test", *[F.round(f"{c}_mm", 9).alias(f"{c}_mm") for c in MINMAX_CHECK_COLS])
 
