@@ -322,6 +322,7 @@ FROM relab""")
 
 # --- vibration samples (S2, S3, F1-F3, W1 global, P10, P11, A9) ------------
 register("vibration_alias", "SELECT sample_id, event_time, asset_id, x, y, z, Temp, Hum FROM vibration")
+register("vibration_folder", "SELECT sample_id, event_time, x, y, z, Temp, Hum FROM vibration")
 register("vibration_features", """
 SELECT sample_id, accel_magnitude, round(rolling_mag, 9) AS rolling_mag,
        round(vibr_zscore, 8) AS vibr_zscore,

@@ -218,6 +218,26 @@ def q_vibration_alias(spark, sf):
         "sample_id", "event_time", "asset_id", "x", "y", "z", "Temp", "Hum")
 
 
+@query("vibration_folder")
+def q_vibration_folder(spark, sf):
+    """S2 + S3: samples written as CSV files with three spellings and orders of the header, read back as one table."""
+    from ..sources.readers import read_vibration
+    from ..streaming.feed import workspace
+    path = f"{workspace(spark, 'samples')}/samples"
+    raw = FX.vibration_raw(spark, sf).withColumn("event_time", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    spelled = {"acc": [("sample_id", "sample_id"), ("event_time", "Timestamp"), ("acc_x", "acc_x"), ("acc_y", "acc_y"), ("acc_z", "acc_z"),
+                       ("temperature", "temperature"), ("humidity", "humidity")],
+               "accel": [("acc_z", "Accel_Z"), ("acc_y", "Accel_Y"), ("acc_x", "Accel_X"), ("humidity", "Hum"), ("temperature", "Temp"),
+                         ("event_time", "time"), ("sample_id", "sample_id")],
+               "short": [("event_time", "TIME_S"), ("acc_x", " X "), ("sample_id", "sample_id"), ("acc_y", "Y"), ("acc_z", "Z"),
+                         ("humidity", "HUM"), ("temperature", "TEMP")]}
+    for k, (name, cols) in enumerate(spelled.items()):
+        part = raw.where(F.pmod("sample_id", F.lit(3)) == k).select(*[F.col(c).alias(n) for c, n in cols])
+        part.write.option("header", True).csv(f"{path}/{name}")
+    back = read_vibration(spark, path, "csv")
+    return back.select(F.col("sample_id").cast("long"), F.to_timestamp_ntz("Time").alias("event_time"), "x", "y", "z", "Temp", "Hum")
+
+
 @query("vibration_features")
 def q_vibration_features(spark, sf):
     """F1 + W1 (global halo rolling mean) + F2 + F3."""

@@ -7,12 +7,13 @@ comparisons behave like missing values, not like +inf.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as SC
 from ..operators import lookups as L
+from ..session import cut_lineage
 
 
 def number_rows(df: DataFrame, name: str = "reading_id") -> DataFrame:
@@ -93,24 +94,82 @@ def normalise_vibration(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Types of the canonical sample columns; other columns of sample files are text.
+SAMPLE_TYPES = {"x": "double", "y": "double", "z": "double", "Time": "string", "Temp": "double", "Hum": "double"}
+
+
+def header_catalogue(lines: DataFrame, sep: str = ",") -> DataFrame:
+    """One row a file (``_file``, ``_header``, ``_names``): its first line that isn't blank, and the columns it names.
+
+    ``lines`` are text rows with ``value``, ``_file`` and ``_block``. Only a file's first split
+    counts, each task passes on one row a file, and a name is canonical where it is known.
+    """
+    first = (lines.withColumn("_line", F.monotonically_increasing_id()).where((F.col("_block") == 0) & (F.trim("value") != ""))
+             .groupBy("_file").agg(F.min_by("value", "_line").alias("_header")))
+    known = F.create_map(*[F.lit(v) for kv in SC.VIBRATION_ALIASES.items() for v in kv])
+
+    def canonical(cell):
+        plain = F.trim(F.regexp_replace(cell, "[\ufeff\"]", ""))
+        return F.coalesce(F.try_element_at(known, F.lower(plain)), plain)
+    return first.withColumn("_names", F.transform(F.split("_header", f"\\Q{sep}\\E", -1), canonical))
+
+
+def read_sample_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ",") -> DataFrame:
+    """CSV samples of a folder whose files may spell and order their headers differently.
+
+    A catalogue of the files' headers is made in one pass; a second one takes every line's
+    cells by the names of its own file, so the plan is the same for one spelling or many and
+    nothing is inferred. ``schema`` (any known spelling) sets types; else the canonical
+    columns have ``SAMPLE_TYPES`` and others are text. A cell that is absent, empty or not of
+    its type is null, a line equal to its file's header is one, blank lines don't count, and
+    of two columns with one meaning the first counts. Lines hold no line breaks, names no separator.
+    """
+    text = (spark.read.option("recursiveFileLookup", "true").text(path)
+            .select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")))
+    catalogue = cut_lineage(header_catalogue(text, sep))  # one row a file, read twice
+    need = F.array(*[F.lit(c) for c in ("x", "y", "z")])
+    bad = catalogue.where(F.size(F.array_except(need, "_names")) > 0).select("_file", "_names").limit(5).collect()
+    if bad:
+        raise ValueError(f"vibration samples miss axis columns in {[(r[0], r[1]) for r in bad]}")
+    width, names = catalogue.agg(F.max(F.size("_names")), F.array_sort(F.flatten(F.collect_set("_names")))).first()
+    if not names:
+        raise ValueError(f"no samples with a header in {path}")
+    types = dict(SAMPLE_TYPES)
+    if schema is not None:
+        renames = vibration_renames(schema.names)
+        types.update({renames.get(f.name, f.name): f.dataType.simpleString() for f in schema.fields})
+    columns = [c for c in SAMPLE_TYPES if c in names] + [c for c in dict.fromkeys(names) if c and c not in SAMPLE_TYPES]
+    cells = ", ".join(f"_{i} string" for i in range(width))
+    rows = (L.dimension_join(text.where(F.trim("value") != ""), catalogue, ["_file"]).where(F.col("value") != F.col("_header"))
+            .withColumn("_row", F.from_csv("value", F.lit(cells), {"sep": sep}))
+            .withColumn("_cells", F.array(*[F.col(f"_row._{i}") for i in range(width)])))
+
+    def cell(name: str) -> Column:
+        place = F.array_position("_names", F.lit(name))
+        return F.when(place > 0, F.get("_cells", (place - 1).cast("int"))).try_cast(types.get(name, "string")).alias(name)
+    return rows.select(*[cell(c) for c in columns], F.col("_file").alias("source_file"))
+
+
 def read_vibration(spark: SparkSession, path: str, fmt: str = "parquet",
                    schema: T.StructType | None = None) -> DataFrame:
-    """Accelerometer samples from one file or a folder of files.
+    """Accelerometer samples from one file or a folder of files, which may spell their headers differently.
 
     ``source_file`` records which file each sample came from (many-file reads).
     """
     _require(spark, path)
-    reader = spark.read.option("recursiveFileLookup", "true")  # any folder layout of sample files
     if fmt == "csv":
-        reader = reader.option("header", True)
-        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-        df = reader.csv(path)
-    elif fmt == "parquet":
-        df = reader.parquet(path)
-    else:
+        return read_sample_csv(spark, path, schema)
+    if fmt != "parquet":
         raise ValueError(f"unsupported format {fmt}")
-    df = df.withColumn("source_file", F.col("_metadata.file_path"))
-    return normalise_vibration(df)
+    # Any folder layout of sample files; the union of their columns, spellings of one column put together.
+    df = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(path)
+    spellings: dict[str, list[str]] = {}
+    renames = vibration_renames(df.columns)
+    for c in df.columns:
+        spellings.setdefault(renames.get(c, c), []).append(c)
+    merged = df.select(*[F.coalesce(*[F.col(f"`{c}`") for c in cs]).alias(name) for name, cs in spellings.items()],
+                       F.col("_metadata.file_path").alias("source_file"))
+    return normalise_vibration(merged)
 
 
 def read_alert_log(spark: SparkSession, path: str, schema: T.StructType,
@@ -143,5 +202,5 @@ def _require(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(f"input not found: {path}")
 
 
-__all__ = ["read_readings", "read_vibration", "read_alert_log", "read_sections",
+__all__ = ["read_readings", "read_vibration", "read_sample_csv", "header_catalogue", "read_alert_log", "read_sections",
            "normalise_readings", "normalise_vibration", "vibration_renames"]

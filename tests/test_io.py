@@ -80,3 +80,42 @@ def test_relabelled_written_to_new_path(spark, telemetry):
     dst = _dir(spark, "dst")
     K.write_relabelled(relabel(spark.read.parquet(src)), dst, source_path=src)
     assert spark.read.parquet(dst).count() == telemetry.count()
+
+
+def _text_files(spark, path, files):
+    for name, lines in files.items():
+        spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.text(f"{path}/{name}")
+
+
+def test_folder_of_differently_spelled_csv_headers_reads_as_one(spark):
+    mixed, plain = _dir(spark, "mixed"), _dir(spark, "plain")
+    _text_files(spark, mixed, {
+        "a": ["ACC_X,Accel_Y,z,Time,note", "1.5,2,3,t0,first", "", "bad,5,6,t1,\"a, b\"", "ACC_X,Accel_Y,z,Time,note", "7,8,9,t2"],
+        "b": ["﻿note,\"Z\",Temperature, y ,acc_x", "second,30,21.5,20,10"],
+        "c": ["x,y,z"]})
+    _text_files(spark, plain, {"a": ["x,y,z,Time,Temp,note", "1.5,2,3,t0,,first", ",5,6,t1,,\"a, b\"", "7,8,9,t2,,",
+                                     "10,20,30,,21.5,second"]})
+    got, want = RD.read_vibration(spark, mixed, "csv"), RD.read_vibration(spark, plain, "csv")
+    assert dict(got.dtypes) == dict(want.dtypes) and dict(got.dtypes)["x"] == "double"
+    cols = sorted(set(got.columns) - {"source_file"})
+    rows = lambda df: sorted(map(tuple, df.select(cols).collect()), key=str)
+    assert rows(got) == rows(want) and got.count() == 4
+    assert got.select("source_file").distinct().count() == 2
+    as_text = RD.read_vibration(spark, mixed, "csv", T.StructType([T.StructField("accel_x", T.StringType())]))
+    assert {r.x for r in as_text.collect()} == {"1.5", "bad", "7", "10"}
+    _text_files(spark, mixed, {"d": ["x,y", "1,2"]})
+    with pytest.raises(ValueError, match="axis"):
+        RD.read_vibration(spark, mixed, "csv")
+    with pytest.raises(ValueError, match="header"):
+        empty = _dir(spark, "blank")
+        _text_files(spark, empty, {"a": ["", " "]})
+        RD.read_vibration(spark, empty, "csv")
+
+
+def test_parquet_folder_of_differently_spelled_columns(spark):
+    path = _dir(spark, "vib-mixed")
+    spark.createDataFrame([(1.0, 2.0, 3.0)], "ACC_X double, y double, z double").write.parquet(f"{path}/f1")
+    spark.createDataFrame([(4.0, 5.0, 6.0, 20.0)], "x double, accel_y double, acc_z double, temp double").write.parquet(f"{path}/f2")
+    got = RD.read_vibration(spark, path)
+    assert sorted(tuple(r) for r in got.select("x", "y", "z", F.coalesce("Temp", F.lit(-1.0))).collect()) == [
+        (1.0, 2.0, 3.0, -1.0), (4.0, 5.0, 6.0, 20.0)]
