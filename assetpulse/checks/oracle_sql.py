@@ -354,6 +354,10 @@ FROM grid g LEFT JOIN cnt c ON c.bin = g.bin""")
 
 # --- roll-ups (A1-A8) and top-k (O3, O4, O7), selectors (P5, P6) -----------
 register("block_summary", "SELECT * FROM block_sum")
+register("document_chunks", """
+SELECT *, row_number() OVER (ORDER BY block_id) - 1 AS position,
+       CAST(floor((row_number() OVER (ORDER BY block_id) - 1) / 40) AS BIGINT) AS chunk
+FROM block_sum""")
 register("location_summary", """
 SELECT site_id AS location_id, round(avg(health_score), 1) AS avg_health,
        count(DISTINCT asset_id) AS n_blocks,

@@ -76,12 +76,16 @@ def run_batch_job(spark: SparkSession, readings: DataFrame, vibration_raw: DataF
     return BatchResult(sections, scored, log, {"forest": forest, "rul": rul, "fault": fault})
 
 
-# Sections whose size does not grow with the readings (per asset / site /
-# class, top-k, distributions): they may also be gathered into one document.
-BOUNDED_SECTIONS = ["block_summary", "location_summary", "alerts", "model_comparison", "classification_report",
+# Sections whose size does not grow with the readings (per class, top-k,
+# distributions): they may also be gathered into one document.
+BOUNDED_SECTIONS = ["alerts", "model_comparison", "classification_report",
                     "confusion_matrix", "rul_scatter", "feature_importance", "alert_distribution",
                     "failure_distribution", "maintenance_distribution", "kpi", "alert_summary"]
 
+# Sections that grow with the assets, the sites or the readings, and their order: documents in chunks.
+CHUNKED_SECTIONS = {"block_summary": "block_id", "location_summary": "location_id", "time_series": "row_idx",
+                    "vibration_accel": "row_idx"}
+
 
 def model_comparison(spark: SparkSession, rul, fault) -> DataFrame:
     """One row per trained model (metric values rounded as displayed)."""
@@ -98,13 +102,18 @@ def model_comparison(spark: SparkSession, rul, fault) -> DataFrame:
 
 def save_sections(result: BatchResult, root: str) -> None:
     """K2: each section as JSON lines under ``root/<section>``, plus one JSON
-    document row holding every bounded section (``root/document``)."""
+    document row holding every bounded section (``root/document``), plus the
+    sections that may grow as ordered chunks with a manifest (``root/chunked``)."""
     K.write_sections(result.sections, root)
     spark = next(iter(result.sections.values())).sparkSession
     # Read back with the known schemas (no schema-inference pass per section).
     written = {n: spark.read.schema(result.sections[n].schema).json(f"{root}/{n}")
                for n in BOUNDED_SECTIONS if n in result.sections}
     document(written).write.mode("overwrite").json(f"{root}/document")
+    for name, key in CHUNKED_SECTIONS.items():
+        if name in result.sections:
+            rows = spark.read.schema(result.sections[name].schema).json(f"{root}/{name}")
+            K.write_chunked(rows, f"{root}/chunked/{name}", [key])
 
 
 def document(sections: dict[str, DataFrame]) -> DataFrame:

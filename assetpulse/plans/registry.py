@@ -664,6 +664,19 @@ def q_dashboard_sections(spark, sf):
     return section_counts(spark, root, res.sections)
 
 
+DOCUMENT_CHUNK_ROWS = 40
+
+
+@query("document_chunks")
+def q_document_chunks(spark, sf):
+    """K2 + S5: the asset summary written as an ordered document in chunks, checked against its manifest and read back."""
+    from ..sources.sinks import read_chunked, write_chunked
+    from ..streaming.feed import workspace
+    path = f"{workspace(spark, 'document')}/block_summary"
+    write_chunked(block_summary(spark, sf), path, ["block_id"], DOCUMENT_CHUNK_ROWS)
+    return read_chunked(spark, path)
+
+
 @query("model_comparison")
 def q_model_comparison(spark, sf):
     """One row per trained model (boosted RUL, forest classifier)."""

@@ -119,3 +119,33 @@ def test_parquet_folder_of_differently_spelled_columns(spark):
     got = RD.read_vibration(spark, path)
     assert sorted(tuple(r) for r in got.select("x", "y", "z", F.coalesce("Temp", F.lit(-1.0))).collect()) == [
         (1.0, 2.0, 3.0, -1.0), (4.0, 5.0, 6.0, 20.0)]
+
+
+def test_chunked_document_round_trip_and_manifest(spark):
+    path = _dir(spark, "chunks")
+    df = spark.range(250).select((F.col("id") * 7 % 250).alias("k"), (F.col("id") / 3).alias("v"),
+                                 F.when(F.col("id") % 5 > 0, F.concat(F.lit('a "b"\n'), F.col("id"))).alias("t")).repartition(7)
+    K.write_chunked(df, path, ["k"], rows_per_chunk=100)
+    back = K.read_chunked(spark, path)
+    rows = back.orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(250)) == [r.k for r in rows]
+    assert [r.chunk for r in rows] == [i // 100 for i in range(250)]
+    assert back.select("k", "v", "t").exceptAll(df).count() == 0
+    for name, want in (("chunk=0", range(100)), ("chunk=2", range(200, 250))):  # a page alone, in order, in one file
+        page = spark.read.json(f"{path}/chunks/{name}")
+        assert [r.position for r in page.collect()] == list(want) and len(page.inputFiles()) == 1
+    first = spark.read.text(f"{path}/chunks/chunk=1").where("value like '%\"position\":1__%'")
+    first.limit(99).coalesce(1).write.text(f"{path}/chunks/chunk=3")  # a chunk that the manifest does not know
+    with pytest.raises(ValueError, match="manifest"):
+        K.read_chunked(spark, path)
+    with pytest.raises(FileNotFoundError):
+        K.read_chunked(spark, _dir(spark, "absent"))
+    with pytest.raises(ValueError):
+        K.write_chunked(df.withColumn("position", F.lit(1)), path, ["k"])
+
+
+def test_chunked_document_of_an_empty_section(spark):
+    path = _dir(spark, "no-chunks")
+    K.write_chunked(spark.createDataFrame([], "k long, v double"), path, ["k"])
+    back = K.read_chunked(spark, path)
+    assert back.count() == 0 and back.columns == ["k", "v", "position", "chunk"]
