@@ -38,7 +38,12 @@ class BatchResult:
 
 def run_batch_job(spark: SparkSession, readings: DataFrame, vibration_raw: DataFrame,
                   gbt_iters: int = C.RUL_GBT["iters"], rf_trees: int = C.FAULT_RF["trees"],
-                  forest_trees: int = C.IFOREST["trees"]) -> BatchResult:
+                  forest_trees: int = C.IFOREST["trees"], windowed: bool = False, window_iters: int | None = None) -> BatchResult:
+    """Scores, models, alert log and sections of one run.
+
+    ``windowed`` trains M11 (``window_iters`` boosting iterations, by default ``gbt_iters``)
+    and M12 too: two more rows of ``model_comparison``, their scatter and all accuracies.
+    """
     from ..ml import iforest
     from ..ml import models as ML
     ensure_checkpoint_dir(spark)
@@ -50,12 +55,20 @@ def run_batch_job(spark: SparkSession, readings: DataFrame, vibration_raw: DataF
     log = AL.alert_log(scored, sort=False)
     vib = vibration_features(vibration_raw)
     acc, report, cm = ML.fault_metrics(fault.predictions)
-    comparison = model_comparison(spark, rul, fault)
+    models = {"forest": forest, "rul": rul, "fault": fault}
+    accuracies = [("RandomForestClassifier", acc)]
+    window_sections, window_rows = {}, []
+    if windowed:
+        window_rul, window_fault = fit_windowed(scored, gbt_iters if window_iters is None else window_iters)
+        models |= {"window_rul": window_rul[0], "window_fault": window_fault[0]}
+        window_rows = windowed_rows(window_rul, window_fault)
+        accuracies.append(("WindowMLP", window_fault[1]))
+        window_sections["window_rul_scatter"] = scatter_points(window_rul[2], "label", "pred")
+    comparison = model_comparison(spark, rul, fault, window_rows)
+    named = [a.select(F.lit(name).alias("model"), "accuracy") for name, a in accuracies]
+    window_sections["model_accuracies"] = named[0] if len(named) == 1 else named[0].unionByName(named[1])
     summary = RU.asset_summary(scored, flag_col="if_flag")
-    first = O.first_n(rul.predictions.select(*TIME_ORDER, "rul_days", "rul_pred"), TIME_ORDER, 200)
-    position = F.row_number().over(Window.orderBy(*TIME_ORDER)) + F.lit(rul.n_train - 1)  # of 200 rows
-    scatter = first.select(F.round("rul_days", 1).alias("actual"), F.round("rul_pred", 1).alias("predicted"),
-                           position.cast("long").alias("row_idx"))
+    scatter = scatter_points(rul.predictions, "rul_days", "rul_pred", rul.n_train)
     sections = {
         "block_summary": summary,
         "location_summary": RU.site_summary(scored),
@@ -72,23 +85,52 @@ def run_batch_job(spark: SparkSession, readings: DataFrame, vibration_raw: DataF
         "maintenance_distribution": RU.distribution(scored, "maintenance_action"),
         "kpi": RU.kpi(summary),
         "alert_summary": RU.alert_summary(log),
+        **window_sections,
     }
-    return BatchResult(sections, scored, log, {"forest": forest, "rul": rul, "fault": fault})
+    return BatchResult(sections, scored, log, models)
+
+
+def scatter_points(predictions: DataFrame, actual: str, predicted: str, first_position: int = 0) -> DataFrame:
+    """The first 200 test rows in time order, rounded as displayed."""
+    first = O.first_n(predictions.select(*TIME_ORDER, actual, predicted), TIME_ORDER, 200)
+    position = F.row_number().over(Window.orderBy(*TIME_ORDER)) + F.lit(first_position - 1)  # of 200 rows
+    return first.select(F.round(actual, 1).alias("actual"), F.round(predicted, 1).alias("predicted"),
+                        position.cast("long").alias("row_idx"))
+
+
+def fit_windowed(scored: DataFrame, iters: int = C.RUL_GBT["iters"]):
+    """M11 and M12 on one scored table."""
+    from ..ml import sequence_models as SM
+    return SM.fit_window_rul(scored, iters=iters), SM.fit_window_fault(scored.drop("fault_code_enc", "hmi_alert_code_enc"))
+
+
+def windowed_rows(window_rul, window_fault) -> list[dict]:
+    """The rows of the windowed models (of ``fit_windowed``)."""
+    m = window_rul[1].first()
+    layers = window_fault[0].model.stages[-1]
+    return [
+        {"model": "WindowGBT", "task": "RUL Prediction", "metric": "MAE", "value": round(m.mae, 2), "r2": round(m.r2, 4),
+         "rmse": round(m.rmse, 2), "train_time_s": round(window_rul[3], 2)},
+        {"model": "WindowMLP", "task": "Fault Classification", "metric": "Accuracy",
+         "value": round(window_fault[1].first()[0] * 100, 2), "train_time_s": round(window_fault[3], 2),
+         "epochs": layers.getMaxIter()},
+    ]
 
 
 # Sections whose size does not grow with the readings (per class, top-k,
 # distributions): they may also be gathered into one document.
 BOUNDED_SECTIONS = ["alerts", "model_comparison", "classification_report",
                     "confusion_matrix", "rul_scatter", "feature_importance", "alert_distribution",
-                    "failure_distribution", "maintenance_distribution", "kpi", "alert_summary"]
+                    "failure_distribution", "maintenance_distribution", "kpi", "alert_summary", "window_rul_scatter",
+                    "model_accuracies"]
 
 # Sections that grow with the assets, the sites or the readings, and their order: documents in chunks.
 CHUNKED_SECTIONS = {"block_summary": "block_id", "location_summary": "location_id", "time_series": "row_idx",
                     "vibration_accel": "row_idx"}
 
 
-def model_comparison(spark: SparkSession, rul, fault) -> DataFrame:
-    """One row per trained model (metric values rounded as displayed)."""
+def model_comparison(spark: SparkSession, rul, fault, more: list[dict] | None = None) -> DataFrame:
+    """One row per trained model (metric values rounded as displayed), ``more`` rows after them."""
     from ..ml import models as ML
     rul_m = rul.metrics.first()
     acc = ML.fault_metrics(fault.predictions)[0].first()[0]
@@ -97,9 +139,24 @@ def model_comparison(spark: SparkSession, rul, fault) -> DataFrame:
          "r2": round(rul_m.r2, 4), "rmse": round(rul_m.rmse, 2), "train_time_s": round(rul.train_time_s, 2)},
         {"model": "RandomForestClassifier", "task": "Fault Classification", "metric": "Accuracy",
          "value": round(acc * 100, 2), "train_time_s": round(fault.train_time_s, 2)},
+        *(more or []),
     ])
 
 
+def save_run(result: BatchResult, root: str) -> None:
+    """M17's outputs: the sections, the alert log as sorted CSV (K1) and every trained model (K3)."""
+    from ..ml import models as ML
+    spark = result.scored.sparkSession
+    save_sections(result, root)
+    K.write_table(result.alert_log, f"{root}/alert_log", fmt="csv", sort_by=[F.col("alert_score").desc(), "reading_id"])
+    result.models["forest"].save(spark, f"{root}/models/forest")
+    ML.save_model(result.models["rul"].model, f"{root}/models/rul")
+    ML.save_fault(spark, result.models["fault"], f"{root}/models/fault")
+    for name in ("window_rul", "window_fault"):
+        if name in result.models:
+            result.models[name].save(f"{root}/models/{name}")
+
+
 def save_sections(result: BatchResult, root: str) -> None:
     """K2: each section as JSON lines under ``root/<section>``, plus one JSON
     document row holding every bounded section (``root/document``), plus the

@@ -686,6 +686,13 @@ def q_model_comparison(spark, sf):
     return model_comparison(spark, ML.fit_rul(inp), ML.fit_fault(inp))
 
 
+@query("window_model_comparison")
+def q_window_model_comparison(spark, sf):
+    """The rows of the windowed models (boosted RUL, perceptron classifier), of one scored table."""
+    from .dashboard import fit_windowed, windowed_rows
+    return M.comparison(spark, windowed_rows(*fit_windowed(cut_lineage(model_input(spark, sf)))))
+
+
 @query("window_rul_eval")
 def q_window_rul_eval(spark, sf):
     """RUL from the previous 30 readings of the asset (window summaries + GBT)."""
