@@ -12,9 +12,9 @@ Training
      limit ceil(log2 psi)). The node table has at most trees * (2 psi - 1)
      rows, a bound that does not grow with the data.
 Scoring
-  ``mapInPandas`` over the readings with the node table shipped to the
-  tasks (bounded size, see above); each Arrow batch walks all trees with
-  vectorised numpy indexing. The decision threshold is the contamination
+  A vectorised function of the scaled features with the node table shipped to
+  the tasks (bounded size, see above); each Arrow batch walks all trees with
+  numpy indexing, and the readings' other columns never leave the JVM. The decision threshold is the contamination
   quantile of the training scores (exact, distributed), stored with the model.
 """
 
@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from .. import config as C
 from .. import schema as SC
 from ..operators import stats as S
+from ..session import even_tasks
 from . import features as FE
 
 EULER = 0.5772156649015329
@@ -93,50 +94,53 @@ def _fit_trees_fn(features: list[str], limit: int, seed: int):
     return fit
 
 
+#: Rows that walk the trees together: their work arrays stay in a core's cache.
+ROWS_PER_WALK = 8192
+
+
 @dataclass
 class ForestArrays:
-    """Node table as dense arrays [tree, node] for vectorised traversal."""
+    """Node table as dense arrays [tree, node] for vectorised traversal; a leaf is its own child on both sides."""
     feature: np.ndarray
     threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
+    child: np.ndarray       # [tree, 2 * node]: below the threshold, [tree, 2 * node + 1]: not below
     leaf_value: np.ndarray  # depth + c(size) at leaves
-    max_depth: int
+    depth: np.ndarray       # [tree]
 
     @staticmethod
     def from_nodes(nodes: pd.DataFrame) -> "ForestArrays":
         trees = int(nodes["tree"].max()) + 1
         width = int(nodes["node"].max()) + 1
         shape = (trees, width)
-        feat = np.full(shape, -1, np.int32)
+        feat = np.zeros(shape, np.intp)
         thr = np.zeros(shape)
-        left = np.zeros(shape, np.int32)
-        right = np.zeros(shape, np.int32)
         leaf = np.zeros(shape)
+        child = np.tile(np.repeat(np.arange(width, dtype=np.intp), 2), (trees, 1))
+        depth = np.zeros(trees, np.intp)
         t, n = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
-        feat[t, n] = nodes["feature"].to_numpy()
+        f = nodes["feature"].to_numpy()
+        inner = f >= 0
+        feat[t[inner], n[inner]] = f[inner]
         thr[t, n] = nodes["threshold"].to_numpy()
-        left[t, n] = nodes["left"].to_numpy()
-        right[t, n] = nodes["right"].to_numpy()
+        child[t[inner], 2 * n[inner]] = nodes["left"].to_numpy()[inner]
+        child[t[inner], 2 * n[inner] + 1] = nodes["right"].to_numpy()[inner]
         leaf[t, n] = nodes["depth"].to_numpy() + np.array([c_factor(s) for s in nodes["size"].to_numpy()])
-        return ForestArrays(feat, thr, left, right, leaf, int(nodes["depth"].max()))
+        np.maximum.at(depth, t, nodes["depth"].to_numpy())
+        return ForestArrays(feat, thr, child, leaf, depth)
 
     def mean_path(self, x: np.ndarray) -> np.ndarray:
         n_trees = self.feature.shape[0]
         total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for t in range(n_trees):
-            node = np.zeros(len(x), np.int32)
-            for _ in range(self.max_depth):
-                f = self.feature[t, node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                v = x[rows, np.where(inner, f, 0)]
-                go_left = v < self.threshold[t, node]
-                nxt = np.where(go_left, self.left[t, node], self.right[t, node])
-                node = np.where(inner, nxt, node)
-            total += self.leaf_value[t, node]
+        for a in range(0, len(x), ROWS_PER_WALK):
+            part = np.ascontiguousarray(x[a : a + ROWS_PER_WALK])
+            values, first = part.ravel(), np.arange(len(part)) * part.shape[1]
+            into = total[a : a + ROWS_PER_WALK]
+            for feature, threshold, child, leaf, depth in zip(self.feature, self.threshold, self.child, self.leaf_value, self.depth, strict=True):
+                node = np.zeros(len(part), np.intp)
+                for _ in range(depth):
+                    right = values.take(first + feature.take(node)) >= threshold.take(node)
+                    node = child.take(2 * node + right)
+                into += leaf.take(node)
         return total / n_trees
 
 
@@ -149,26 +153,18 @@ class IsolationForestModel:
     offset: float
     contamination: float
 
-    def _score_fn(self):
-        arrays = ForestArrays.from_nodes(self.nodes)
-        cpsi = c_factor(self.psi)
-        feats = [f"{c}__s" for c in self.features]
+    def raw_scores(self, df: DataFrame) -> DataFrame:
+        """Adds ``if_raw`` (the negated anomaly score); only the scaled features go through Python."""
+        arrays, cpsi = ForestArrays.from_nodes(self.nodes), c_factor(self.psi)
 
-        def score(batches):
-            for pdf in batches:
-                x = np.nan_to_num(pdf[feats].to_numpy(dtype=np.float64), nan=0.0)
-                s = np.power(2.0, -arrays.mean_path(x) / cpsi)
-                out = pdf.drop(columns=feats)
-                out["if_raw"] = -s  # higher is more normal, as score_samples
-                yield out
-        return score
+        @F.pandas_udf("double")
+        def score(x: pd.DataFrame) -> pd.Series:
+            values = np.nan_to_num(x.to_numpy(dtype=np.float64), nan=0.0)
+            return pd.Series(-np.power(2.0, -arrays.mean_path(values) / cpsi))  # higher is more normal, as score_samples
 
-    def raw_scores(self, df: DataFrame) -> DataFrame:
-        """Adds ``if_raw`` (the negated anomaly score)."""
         scaled = FE.apply_scaler(df, self.scaler, suffix="__s")
-        schema = T.StructType([f for f in scaled.schema.fields if not f.name.endswith("__s")]
-                              + [T.StructField("if_raw", T.DoubleType())])
-        return scaled.mapInPandas(self._score_fn(), schema)
+        names = [f"{c}__s" for c in self.features]
+        return scaled.withColumn("if_raw", score(F.struct(*names))).drop(*names)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """M6: ``if_score`` (decision value, below 0 = anomaly), ``if_label``
@@ -245,7 +241,7 @@ def fit_transform(df: DataFrame, **kwargs) -> tuple[IsolationForestModel, DataFr
     threshold is the contamination quantile of those scores and the flags are
     derived from the same (persisted) scores."""
     model = fit(df, **kwargs, _skip_offset=True)
-    raw = model.raw_scores(df).persist()
+    raw = model.raw_scores(even_tasks(df)).persist()
     q = S.quantiles(raw.select("if_raw"), {"if_raw": [model.contamination]})
     model.offset = float(q.first()[0])
     out = raw.withColumn("if_score", F.col("if_raw") - F.lit(model.offset)).drop("if_raw")

@@ -97,11 +97,9 @@ def table_statistics(df: DataFrame, spec: dict[str, list[float]], extra: dict[st
                 elif b.low == b.high:
                     out[b.column, b.q] = b.low
         wait = [b for b in wait if out[b.column, b.q] is None]
-        few, held = [], 0
-        for b in sorted(wait, key=lambda b: b.inside):
-            if b.stuck or held + b.inside <= MERGED:
-                few.append(b)
-                held += 0 if b.stuck else b.inside
+        # Merged in one pass once all fit; until then all that hold many rows are narrowed together, not one bracket a pass.
+        large = [b for b in wait if not b.stuck and b.inside > MERGED // len(wait)]
+        few = wait if sum(b.inside for b in wait if not b.stuck) <= MERGED else []
         if few:
             pairs = F.filter(F.array(*[F.when(b.holds(), F.struct(F.lit(i).alias("i"), b.value().alias("v"))) for i, b in enumerate(few)]),
                              lambda x: x.isNotNull())
@@ -119,8 +117,8 @@ def table_statistics(df: DataFrame, spec: dict[str, list[float]], extra: dict[st
         wait = [b for b in wait if out[b.column, b.q] is None]
         if wait and not few:  # narrow what still holds many rows
             row = df.agg(*[F.percentile_approx(F.when(b.holds(), b.value()), F.array(*map(F.lit, b.shares())), F.lit(ACCURACY)).alias(f"p{i}")
-                           for i, b in enumerate(wait)]).first()
-            for i, b in enumerate(wait):
+                           for i, b in enumerate(large)]).first()
+            for i, b in enumerate(large):
                 b.stuck = (b.low, b.high) == tuple(row[f"p{i}"])
                 b.low, b.high = row[f"p{i}"]
     return out, {name: first[f"x{i}"] for i, name in enumerate(extra or {})}

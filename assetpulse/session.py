@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -73,3 +75,28 @@ def cut_lineage(df):
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
+
+
+#: Rows that are worth a task of their own where every row is much work (walking a forest, training).
+ROWS_PER_TASK = 20_000
+#: Rows that a task holds at most when many small tasks are merged.
+ROWS_PER_MERGED_TASK = 200_000
+
+
+def even_tasks(df: DataFrame) -> DataFrame:
+    """``df`` in as many tasks as its rows keep busy, for steps whose rows are few bytes but much work.
+
+    Tasks follow the bytes of the files (a small file, or one row group, is one task) or the
+    shuffle's setting (hundreds of nearly empty ones). Rows are dealt out anew when the
+    fullest task holds over twice an even share of the cores, and merged when there are over
+    twice as many tasks as that. A table of up to ``ROWS_PER_TASK`` rows stays as it is.
+    """
+    sizes = [r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()]  # a row for each task
+    n = sum(sizes)
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n / ROWS_PER_TASK))
+    if tasks <= 1:
+        return df
+    wanted = max(tasks, math.ceil(n / ROWS_PER_MERGED_TASK))
+    if max(sizes) > 2 * n / tasks:
+        return df.repartition(wanted)
+    return df.coalesce(wanted) if len(sizes) > 2 * wanted else df

@@ -3,10 +3,16 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from assetpulse import session
+from assetpulse.ml import iforest
 from assetpulse.ml import sequence_models as SM
 from assetpulse.operators import order as O
+from assetpulse.operators import selection as SEL
 from assetpulse.sources import fixtures as FX
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +44,60 @@ def test_window_split_is_the_sorted_split(spark):
     assert data.count() == 200 - 3 * 6
     ids = lambda df: sorted(r[0] for r in df.where("is_test").select("reading_id").collect())
     assert ids(SM._time_cut(data, 0.2)) == ids(O.time_split(data, SM.TIME_ORDER, 0.2))
+
+
+def test_brackets_are_narrowed_together(spark, monkeypatch):
+    """Ten quantiles whose brackets do not fit one merge take a few passes, not two each."""
+    monkeypatch.setattr(SEL, "MERGED", 60)
+    values = np.random.default_rng(2).normal(size=(20_000, 2))
+    df = spark.createDataFrame(pd.DataFrame(values, columns=["a", "b"])).persist()
+    passes = []
+
+    class Counted:
+        def agg(self, *x):
+            passes.append("agg")
+            return df.agg(*x)
+
+        def select(self, *x):
+            passes.append("select")
+            return df.select(*x)
+    qs = [0.1, 0.3, 0.5, 0.7, 0.9]
+    got = SEL.table_statistics(Counted(), {"a": qs, "b": qs})[0]
+    for i, c in enumerate("ab"):
+        for q in qs:
+            assert got[c, q] == pytest.approx(np.quantile(values[:, i], q), abs=1e-12)
+    assert len(passes) <= 6
+
+
+def test_few_tasks_are_dealt_out_and_many_merged(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 1_000)
+    one = spark.range(0, 9_000, 1, 1)
+    dealt = session.even_tasks(one)
+    sizes = [len(p) for p in dealt.rdd.glom().collect()]
+    assert len(sizes) == cores and max(sizes) < 2 * 9_000 / cores
+    assert dealt.exceptAll(one).isEmpty() and dealt.count() == 9_000
+    assert session.even_tasks(spark.range(0, 9_000, 1, 90)).rdd.getNumPartitions() == cores
+    assert session.even_tasks(spark.range(0, 900, 1, 2)).rdd.getNumPartitions() == 2  # few rows stay as they are
+    assert session.even_tasks(one.limit(0)).count() == 0
+
+
+def test_forest_walk_and_what_goes_through_python(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3)).round(1)
+    grown = [iforest._grow(x[rng.choice(300, 32)], rng, 5) for _ in range(7)]
+    names = ["node", "feature", "threshold", "left", "right", "size", "depth"]
+    nodes = pd.concat([pd.DataFrame(g, columns=names).assign(tree=t) for t, g in enumerate(grown)])
+
+    def path(tree, row):
+        node = tree[0]
+        while node[1] >= 0:
+            node = tree[node[3] if row[node[1]] < node[2] else node[4]]
+        return node[6] + iforest.c_factor(node[5])
+    want = np.array([sum(path(t, row) for t in grown) / len(grown) for row in x])
+    assert iforest.ForestArrays.from_nodes(nodes).mean_path(x) == pytest.approx(want, abs=1e-12)
+    stats = iforest.FE.ScalerStats("standard", ["a", "b", "c"], dict.fromkeys("abc", 0.0), dict.fromkeys("abc", 1.0))
+    model = iforest.IsolationForestModel(["a", "b", "c"], stats, nodes, 32, 0.0, 0.08)
+    out = model.raw_scores(spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(other="kept")))
+    assert out.columns == ["a", "b", "c", "other", "if_raw"] and {r.other for r in out.collect()} == {"kept"}
+    assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()
