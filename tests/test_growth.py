@@ -14,6 +14,7 @@ from assetpulse.ml import sequence_models as SM
 from assetpulse.operators import order as O
 from assetpulse.operators import selection as SEL
 from assetpulse.sources import fixtures as FX
+from assetpulse.streaming import feed
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,3 +102,25 @@ def test_forest_walk_and_what_goes_through_python(spark):
     out = model.raw_scores(spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(other="kept")))
     assert out.columns == ["a", "b", "c", "other", "if_raw"] and {r.other for r in out.collect()} == {"kept"}
     assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_merge_arrivals_without_a_call_for_each_asset(spark):
+    """Two triggers with a redelivered reading equal the newest of all rows; untouched assets are not emitted."""
+    start, rng = 1_700_000_000_000_000, random.Random(6)
+    rows = [(f"a{i % 3}", i, start + rng.randrange(10_000), float(i), 1.0, rng.choice(["HEALTHY", "WARNING"]), "C1", 0.5, "x") for i in range(400)]
+    kind = "asset_id string, reading_id long, t_us long, vibration double, temperature double, alert_level string, fault_code string, failure_prob double, maintenance_action string"
+    none = spark.createDataFrame([], feed.OUT_SCHEMA)
+    first = feed.merge_lists(none, spark.createDataFrame(rows[:250], kind)).persist()
+    again = [r for r in first.where("asset_id = 'a0' and kind = 'reading' and rank = 1").collect()][0]
+    later = [r for r in rows[250:] if r[0] != "a2"] + [("a0", again.reading_id, again.t_us, -1.0, 1.0, "HEALTHY", "C1", 0.5, "x")]
+    out = feed.merge_lists(first, spark.createDataFrame(later, kind))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and "Pandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert {r.asset_id for r in got} == {"a0", "a1"}
+    for a in ("a0", "a1"):
+        mine = sorted((r for r in rows if r[0] == a), key=lambda r: (-r[2], -r[1]))
+        for what, want in (("reading", mine[:feed.LAST_READINGS]), ("alert", [r for r in mine if r[5] == "WARNING"][:feed.LAST_ALERTS])):
+            kept = sorted((r for r in got if (r.asset_id, r.kind) == (a, what)), key=lambda r: r["rank"])
+            assert [r.reading_id for r in kept] == [r[1] for r in want] and [r["rank"] for r in kept] == list(range(1, len(want) + 1))
+            if what == "reading":
+                assert [r.vibration for r in kept] == [r[3] for r in want]
