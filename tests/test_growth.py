@@ -6,10 +6,11 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from assetpulse import session
-from assetpulse.ml import iforest
+from assetpulse.ml import iforest, models
 from assetpulse.ml import sequence_models as SM
 from assetpulse.operators import order as O
 from assetpulse.operators import selection as SEL
@@ -124,3 +125,17 @@ def test_lists_merge_arrivals_without_a_call_for_each_asset(spark):
             assert [r.reading_id for r in kept] == [r[1] for r in want] and [r["rank"] for r in kept] == list(range(1, len(want) + 1))
             if what == "reading":
                 assert [r.vibration for r in kept] == [r[3] for r in want]
+
+
+def test_learners_train_on_rows_dealt_over_the_cores(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 500)
+    seen = []
+
+    class Learner:
+        def fit(self, data):
+            seen.append([len(p) for p in data.rdd.glom().collect()])
+            return VectorAssembler(inputCols=["y"], outputCol="made")
+    rows = spark.range(0, 4_000, 1, 1).select(F.col("id").cast("double").alias("v"), F.lit(1.0).alias("y"))
+    models.fit_cached([VectorAssembler(inputCols=["v"], outputCol="features")], Learner(), rows, "y")
+    sizes, = seen
+    assert sum(sizes) == 4_000 and len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 2 * 4_000 / len(sizes)
