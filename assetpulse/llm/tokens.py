@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 
@@ -53,6 +54,7 @@ class Encoder:
         # letter is outside the range.
         self.plain = frozenset(c for c in map(chr, range(_PLAIN_END)) if c not in "\x1c\x1d\x1e\x1fİ"
                                and not (self.lower and max(c.lower()) >= chr(_PLAIN_END)))
+        self.odd_ascii = [c for c in map(chr, range(128)) if c not in self.plain]
         model = json.loads(self.library.to_str())["model"]
         mark = model.get("end_of_word_suffix")
         size = 1 + max(model["vocab"].values())
@@ -65,7 +67,11 @@ class Encoder:
 
     def odd(self, text: str) -> bool:
         """Whether the library must encode the text whole: a character that is not plain, or the start of a special token."""
-        return "<|" in text or not self.plain.issuperset(set(text))
+        if "<|" in text:
+            return True
+        if text.isascii():  # no set of its characters is needed
+            return any(c in text for c in self.odd_ascii)
+        return not self.plain.issuperset(set(text))
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -89,13 +95,11 @@ class Encoder:
         if len(self.cache) > CACHE_ENTRIES:
             self.older, self.cache = self.cache, {}
         words = [None if self.odd(t) else self.split(t.lower() if self.lower else t) for t in texts]
-        known = self.cache.get
-        ids = [None if w is None else list(map(known, w)) for w in words]
-        missing = [i for i, found in enumerate(ids) if found is not None and None in found]
-        self._add(self._unknown({w for i in missing for w, found in zip(words[i], ids[i], strict=True) if found is None}))
-        for i in missing:
-            ids[i] = map(known, words[i])
-        return [self.whole(t) if found is None else b"".join(found) for t, found in zip(texts, ids, strict=True)]
+        cache = self.cache
+        self._add(self._unknown(set().union(*(w for w in words if w)).difference(cache)))
+        # Every word is in the cache now, so one walk over a text gives its ids.
+        return [self.whole(t) if w is None else b"".join(itemgetter(*w)(cache)) if len(w) > 1 else b"".join(map(cache.__getitem__, w))
+                for t, w in zip(texts, words, strict=True)]
 
     def _unknown(self, words: set[str]) -> list[str]:
         """Those that the older generation of the cache lacks too; what it holds comes to the newer."""

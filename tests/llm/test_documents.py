@@ -383,3 +383,29 @@ def test_deduplicated_keeps_one_of_repeated_rows(spark):
     got = near_dedup.deduplicated(df)
     assert got.columns == df.columns
     assert sorted((str(r.doc_id), r.row) for r in got.collect()) == [("10", 5), ("11", 6), ("3", 3), ("9", 4), ("9", 4)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_word_is_looked_up_once(name):
+    """op2, op5: texts with new words are not walked and looked up a second time; plain ASCII texts are told by their flag."""
+    class Counting(dict):
+        reads = 0
+
+        def get(self, *a):
+            Counting.reads += 1
+            return dict.get(self, *a)
+
+        def __getitem__(self, key):
+            Counting.reads += 1
+            return dict.__getitem__(self, key)
+
+    path = tokens.vocabulary(name)
+    made = tokens.Encoder(path)
+    made.cache = Counting()
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(200)) for _ in range(20)] + ["", "a", "x\x1cy", "é b"]
+    words = sum(len(made.split(t)) for t in texts if not made.odd(t))
+    got = list(made.encode_all(texts))
+    assert Counting.reads <= words
+    assert made.odd("x\x1cy") and not made.odd("x y") and not made.odd("é b")
+    assert got == [made.whole(t) for t in texts]
