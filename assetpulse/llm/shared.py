@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import contextlib
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetpulse.session import ensure_checkpoint_dir
+from assetpulse.session import materialise, scratch  # noqa: F401 (the operators take them from here)
 
 
 #: Bytes of one batch of rows that Spark hands to a Python worker (at least one row).
@@ -32,26 +31,6 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder; it goes when the application ends."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder as Parquet and read back.
-
-    Cuts the lineage, gives later plans true sizes, and survives the loss of
-    executors. Later readers scan only the columns that they use.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing will read again."""
     spark = df.sparkSession

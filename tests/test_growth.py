@@ -14,6 +14,7 @@ from assetpulse.ml import iforest, models
 from assetpulse.ml import sequence_models as SM
 from assetpulse.operators import order as O
 from assetpulse.operators import selection as SEL
+from assetpulse.plans import registry as RG
 from assetpulse.sources import fixtures as FX
 from assetpulse.streaming import feed
 
@@ -156,3 +157,22 @@ def test_learners_train_on_rows_dealt_over_the_cores(spark, monkeypatch):
     models.fit_cached([VectorAssembler(inputCols=["v"], outputCol="features")], Learner(), rows, "y")
     sizes, = seen
     assert sum(sizes) == 4_000 and len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 2 * 4_000 / len(sizes)
+
+
+def test_model_input_is_scored_and_relabelled_once(spark):
+    """Later passes scan stored columns: the forest, the site join and the label join are not run again for each."""
+    plan = RG.model_input(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Join" not in plan and "InMemoryTableScan" not in plan and "Python" not in plan
+
+
+def test_forest_fit_reads_its_table_once_dealt_over_the_cores(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    seen, fit = [], iforest.fit
+
+    def watched(df, **kwargs):
+        seen.append((df.storageLevel.useMemory, df.rdd.getNumPartitions()))
+        return fit(df, **kwargs)
+    monkeypatch.setattr(iforest, "fit", watched)
+    rows = _readings(spark).coalesce(1)
+    out = iforest.fit_transform(rows, trees=3)[1]
+    assert seen[0][0] and seen[0][1] > 1 and out.count() == rows.count()
