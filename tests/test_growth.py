@@ -176,3 +176,20 @@ def test_forest_fit_reads_its_table_once_dealt_over_the_cores(spark, monkeypatch
     rows = _readings(spark).coalesce(1)
     out = iforest.fit_transform(rows, trees=3)[1]
     assert seen[0][0] and seen[0][1] > 1 and out.count() == rows.count()
+
+
+def test_triggers_read_only_what_arrived_and_folds_wait_for_rows(spark, monkeypatch):
+    """A trigger's folder holds its own rows; with many assets, listed rows are not written again at every trigger."""
+    rows = _readings(spark, 240, 40).withColumn("reading_id", F.monotonically_increasing_id())
+    folds, compact = [], feed.compact
+    monkeypatch.setattr(feed, "compact", lambda spark, sink, i: (folds.append(i), compact(spark, sink, i)))
+    ws = feed.workspace(spark, "test-own")
+    feed.write_feed_files(rows, f"{ws}/source", 12)
+    feed.run_state_feed(feed.read_feed(spark, f"{ws}/source", rows.schema, 1), f"{ws}/state", f"{ws}/chk", compact_every=1)
+    # Nothing falls out of a list, so a trigger that emitted its assets' lists would repeat what was listed before.
+    lists = feed.current_lists(spark, f"{ws}/state")
+    assert lists.where("kind = 'reading'").count() == 240
+    last = feed._written(spark, f"{ws}/state", "batch")[-1]
+    own = spark.read.schema(feed.OUT_SCHEMA).parquet(f"{ws}/state/batch={last:08d}").where("kind = 'reading'").count()
+    assert own < 60 and last == 11
+    assert folds[0] == 0 and len(folds) < 12  # a fold waits for a quarter of the snapshot's rows
