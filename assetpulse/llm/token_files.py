@@ -37,25 +37,48 @@ RULES_PER_ROUND = 4096
 MAX_LENGTH = 64
 
 
-def _frequent(a: np.ndarray, b: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent pairs (left, right) among the allowed places, and each place's pair number or -1."""
-    key = (a.astype(np.uint64) << np.uint64(32)) | b
-    slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)  # 2**20 counters
+def _counted(key: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order, each place's number among them, and their counts.
+
+    Equal keys share a slot (below 2**20), and few slots hold several keys: the last key of each
+    slot is counted by the slot, and only the places of other keys are sorted.
+    """
+    last = np.empty(1 << 20, np.uint64)
+    last[slot] = key
+    other = np.flatnonzero(last[slot] != key)
+    count = np.bincount(slot, minlength=1 << 20)
+    rest, rest_inverse, rest_count = np.unique(key[other], return_inverse=True, return_counts=True)
+    np.subtract.at(count, slot[other], 1)
+    used = np.flatnonzero(count)
+    pair, number = np.concatenate((last[used], rest)), np.concatenate((count[used], rest_count))
+    order = np.argsort(pair)
+    rank = np.empty(len(pair), np.int64)
+    rank[order] = np.arange(len(pair))
+    of_slot = np.empty(1 << 20, np.int64)
+    of_slot[used] = rank[: len(used)]
+    inverse = of_slot[slot]
+    inverse[other] = rank[len(used) + rest_inverse]
+    return pair[order], inverse, number[order]
+
+
+def _frequent(a: np.ndarray, b: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent pairs (left, right) among the allowed places, the places that show one, and which one each shows."""
+    slot = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(12)).astype(np.int64)  # 2**20 counters
     slot[~allowed] = 1 << 20
     heavy = np.bincount(slot, minlength=(1 << 20) + 1) >= LEAST
     heavy[-1] = False
     at = np.flatnonzero(heavy[slot])
-    number = np.full(len(a), -1, np.int64)
     if not len(at):
-        return np.empty(0, np.uint32), np.empty(0, np.uint32), number
-    pair, inverse, count = np.unique(key[at], return_inverse=True, return_counts=True)
+        return np.empty(0, np.uint32), np.empty(0, np.uint32), at, at
+    pair, inverse, count = _counted((a[at].astype(np.uint64) << np.uint64(32)) | b[at], slot[at])
     best = np.argsort(-count, kind="stable")[:RULES_PER_ROUND]
     best = best[count[best] >= LEAST]
     rank = np.full(len(pair), -1, np.int64)
     rank[best] = np.arange(len(best))
-    number[at] = rank[inverse]
+    number = rank[inverse]
+    shown = number >= 0
     chosen = pair[best]
-    return (chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32), number
+    return (chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32), at[shown], number[shown]
 
 
 def compress(ids: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
@@ -70,22 +93,20 @@ def compress(ids: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
             break
         total = size[seq]
         allowed = ~begins[1:] & (total[:-1] + total[1:] <= MAX_LENGTH)
-        x, y, number = _frequent(seq[:-1], seq[1:], allowed)
+        x, y, at, number = _frequent(seq[:-1], seq[1:], allowed)
         if not len(x):
             break
         # Neighbouring candidate places overlap: every second one of a run, from the left.
-        place = number >= 0
-        starts_run = place & ~np.concatenate(([False], place[:-1]))
-        run_start = np.maximum.accumulate(np.where(starts_run, np.arange(len(place)), 0))
-        taken = place & ((np.arange(len(place)) - run_start) % 2 == 0)
+        run_start = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, at, 0))
+        taken = (at - run_start) & 1 == 0
+        at, number = at[taken], number[taken]
         base = len(size)
         left.append(x)
         right.append(y)
         grown = (size[x] + size[y]).astype(np.uint16)
         lengths.append(grown)
         size = np.concatenate((size, grown))
-        at = np.flatnonzero(taken)
-        seq[at] = (base + number[at]).astype(np.uint32)
+        seq[at] = (base + number).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, begins = seq[keep], begins[keep]

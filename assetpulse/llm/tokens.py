@@ -42,7 +42,7 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit bytes; one per worker process and vocabulary file."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
@@ -54,6 +54,13 @@ class Encoder:
         # letter is outside the range.
         self.plain = frozenset(c for c in map(chr, range(_PLAIN_END)) if c not in "\x1c\x1d\x1e\x1fİ"
                                and not (self.lower and max(c.lower()) >= chr(_PLAIN_END)))
+        #: Encodes runs of pre-tokens: those of the word vocabulary are small letters between spaces already.
+        self.runs = self.library
+        if self.lower:
+            self.runs = Tokenizer.from_file(path)
+            self.runs.normalizer = None
+            self.runs.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.odd_ascii = [c for c in map(chr, range(128)) if c not in self.plain]
         model = json.loads(self.library.to_str())["model"]
         mark = model.get("end_of_word_suffix")
@@ -133,7 +140,7 @@ class Encoder:
         left = []
         for i in range(0, len(words), JOINED):
             run = words[i : i + JOINED]
-            ids = np.asarray(self.library.encode_batch_fast([between.join(run)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.asarray(self.runs.encode_batch_fast([between.join(run)], add_special_tokens=False)[0].ids, "<u4")
             end = ends(run, ids)
             if len(end) != len(run) or end[-1] != len(ids):
                 left += run

@@ -221,6 +221,21 @@ def test_token_files(spark, docs, nothing, monkeypatch):
     assert token_files.token_file_round_trip(nothing, path, 2).count() == 0
 
 
+def test_pairs_are_counted_without_sorting_every_place(monkeypatch):
+    rng, unique, sizes = np.random.default_rng(5), np.unique, []
+    key = rng.integers(0, 300, 20_000).astype(np.uint64) << np.uint64(32) | rng.integers(0, 3, 20_000).astype(np.uint64)
+    for slots in (1, 40, 1 << 20):  # all keys in one slot, many in each, one in each
+        slot = (unique(key, return_inverse=True)[1] % slots).astype(np.int64)
+        for mine, its in zip(token_files._counted(key, slot), unique(key, return_inverse=True, return_counts=True), strict=True):
+            assert (mine == its).all()
+    ids = np.minimum(rng.geometric(0.05, 200_000), 200).astype(np.uint32)
+    monkeypatch.setattr(np, "unique", lambda x, *a, **b: sizes.append(len(x)) or unique(x, *a, **b))
+    g = token_files.compress(ids, np.arange(0, len(ids), 1000))
+    monkeypatch.undo()
+    assert len(g["left"]) > 1000 and (token_files.decode(g, g["symbols"]) == ids).all()
+    assert max(sizes) < len(ids) // 10
+
+
 def test_grammar_round_trip_and_compression(monkeypatch):
     monkeypatch.setattr(token_files, "LEAST", 3)
     rng = np.random.default_rng(0)
@@ -349,6 +364,13 @@ def test_seating_follows_the_process():
     assert (language_model.seat(np.array([0, 1, 1000]), np.full(3, 2.0), 0.5, rng)[:2] == [0, 1]).all()
 
 
+def test_runs_of_words_are_not_normalised_and_split_again():
+    e = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json"))
+    words = sorted({w for w in e.split("".join(sorted(e.plain)).lower() + " don't 4711 it's zürich, ÿ... Œuvre".lower())})
+    assert e.runs.normalizer is None and e._joined(words, " ", lambda run, ids: np.flatnonzero(e.measure[ids]) + 1) == []
+    assert all(e.cache[w] == e.whole(w) for w in words)
+
+
 def test_encoder_equals_the_library_on_plain_and_african_letters(monkeypatch):
     from assetpulse.llm import tokens
     rng = random.Random(12)
