@@ -141,15 +141,12 @@ def decode(g: dict[str, np.ndarray], symbols: np.ndarray, table: tuple[np.ndarra
     """The ids of a run of symbols."""
     flat, begin = table or expansions(g)
     first = int(g["first"][0])
-    rule = symbols.astype(np.int64) - first
-    count = np.where(rule >= 0, (begin[1:] - begin[:-1])[np.maximum(rule, 0)] if len(begin) > 1 else 1, 1)
+    # One table for all symbols: an id stands for itself, a nonterminal for a stretch of ``flat``.
+    stretch = np.concatenate((np.arange(first, dtype=np.uint32), flat))
+    place = np.concatenate((np.arange(first), first + begin[:-1]))
+    count = np.concatenate((np.ones(first, np.int64), np.diff(begin)))[symbols]
     ends = np.cumsum(count)
-    step = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count, count)
-    rules = np.repeat(rule, count)
-    out = np.repeat(symbols, count).astype(np.uint32)
-    inner = rules >= 0
-    out[inner] = flat[begin[rules[inner]] + step[inner]]
-    return out
+    return stretch[np.repeat(place[symbols] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 def _pack(arrays: dict[str, np.ndarray]) -> bytes:

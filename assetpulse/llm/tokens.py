@@ -61,7 +61,7 @@ class Encoder:
             self.runs.normalizer = None
             self.runs.pre_tokenizer = pre_tokenizers.Sequence([
                 pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.odd_ascii = [c for c in map(chr, range(128)) if c not in self.plain]
+        self.odd_latin = [c for c in map(chr, range(256)) if c not in self.plain]
         model = json.loads(self.library.to_str())["model"]
         mark = model.get("end_of_word_suffix")
         size = 1 + max(model["vocab"].values())
@@ -76,9 +76,11 @@ class Encoder:
         """Whether the library must encode the text whole: a character that is not plain, or the start of a special token."""
         if "<|" in text:
             return True
-        if text.isascii():  # no set of its characters is needed
-            return any(c in text for c in self.odd_ascii)
-        return not self.plain.issuperset(set(text))
+        try:
+            text.isascii() or text.encode("latin-1")
+        except UnicodeEncodeError:
+            return not self.plain.issuperset(set(text))
+        return any(c in text for c in self.odd_latin)  # no set of its characters is needed
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
